@@ -1,0 +1,4 @@
+"""Queries over the driver's tables and the DuckDB statements that give the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
