@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quorumtab.llm import exact_dedup
+from quorumtab.llm import exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op9_quality_rules": quality_rules.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
