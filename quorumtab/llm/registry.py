@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quorumtab.llm import exact_dedup, mixing, quality_rules, url_filter
+from quorumtab.llm import exact_dedup, mixing, pii, quality_rules, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op1_pii": pii.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
