@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from quorumtab.llm import exact_dedup, mixing, pii, quality_rules, url_filter
+from quorumtab.llm import bpe, chat, exact_dedup, mixing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_chat": chat.op2_chat,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_bpe": bpe.op6_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,
+    "op2_chat": chat.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
