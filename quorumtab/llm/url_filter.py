@@ -91,7 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame, junk: DataFrame, id_col: str = "pa
     lengths = sorted(r[0] for r in rules.select(path_len).distinct().collect())  # at most as many as paths have characters
 
     rows = pick(pages, page_id=id_col, url=url_col).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    seen = rows.filter("host != ''").distinct()
+    seen = rows.filter("host != ''").select("host", "path").distinct()
     most = listed.agg(F.max(F.size(F.split(F.regexp_extract("key", "^(?://)?([^/]*)", 1), r"\.")))).first()[0] or 1
     labels = F.split("host", r"\.")
     labels = F.slice(labels, F.greatest(F.size(labels) - most + 1, F.lit(1)), most)  # no listed host has more labels
