@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumtab.llm.common import kept, pick, whole
-from quorumtab.llm.substring_dedup import mixed, rolled
+from quorumtab.llm.substring_dedup import rolled
+from quorumtab.llm.word_hashes import mixed
 
 WORDS = 5
 THRESHOLD = 0.8

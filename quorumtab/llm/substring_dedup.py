@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumtab.llm.common import kept, pick, task_count, whole
+from quorumtab.llm.word_hashes import FACTORS, mixed, word_hashes
 
 SIZE = 20
 CELLS = 32
@@ -70,64 +71,35 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 class Bucket:
-    """The words and windows of a bucket's documents in order, copies apart."""
+    """The texts and windows of a bucket's documents in order, copies apart; second asks for second hashes too."""
 
-    seen: dict[bytes, int] = {}  # words met by this worker, dropped when there are many
-    low: list[int] = []
-    high: list[int] = []
-
-    def __init__(self, docs: pa.Table, copies: set[tuple[int | None, int]], size: int) -> None:
+    def __init__(self, docs: pa.Table, copies: set[tuple[int | None, int]], size: int, second: bool = False) -> None:
         ids, ties = docs.column("doc_id").to_pylist(), docs.column("tie").to_pylist()
         texts = docs.column("text").cast(pa.binary()).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, ties[i]))
-        self.ids = [ids[i] for i in order]
-        self.words = [texts[i].split() for i in order]  # bytes split at exactly the six blanks
+        self.ids, self.size = [ids[i] for i in order], size
+        self.texts = [texts[i] for i in order]
         self.copy, last = [], None
         for i in order:
             self.copy.append((ids[i], ties[i]) in copies or (ids[i], ties[i]) == last)
             last = (ids[i], ties[i])
-        self.starts, at = [], 0  # each document's first word among the words of those that take part
-        for w, copy in zip(self.words, self.copy):
-            self.starts.append(at)
-            at += 0 if copy else len(w)
-        self.size = size
-        self._hash(at)
-
-    def _numbers(self) -> list[int]:
-        import xxhash
-
-        if len(Bucket.seen) > 500_000:
-            Bucket.seen, Bucket.low, Bucket.high = {}, [], []
-        seen, low, high, out = Bucket.seen, Bucket.low, Bucket.high, []
-        for words, copy in zip(self.words, self.copy):
-            if copy:
-                continue
-            for w in words:
-                k = seen.get(w)
-                if k is None:
-                    k = seen[w] = len(low)
-                    h = xxhash.xxh3_128_intdigest(w)
-                    low.append(h & (1 << 64) - 1)
-                    high.append(h >> 64)
-                out.append(k)
-        return out
-
-    def _hash(self, n: int) -> None:
-        """Two 64-bit hashes of each window, by doubling, and the word that each window starts at."""
-        k = np.array(self._numbers(), np.int64)
-        valid = np.zeros(n, bool)
-        for s, w, copy in zip(self.starts, self.words, self.copy):
-            if not copy and len(w) >= self.size:
-                valid[s : s + len(w) - self.size + 1] = True
-        self.at = np.flatnonzero(valid)
-        self.h = []
-        for table, factor in ((Bucket.low, 0x9E3779B97F4A7C15), (Bucket.high, 0xC2B2AE3D27D4EB4F)):
-            one = np.array(table, np.uint64)[k] if n else np.zeros(0, np.uint64)
-            self.h.append(mixed(rolled(one, self.size, factor))[self.at] if len(self.at) else np.zeros(0, np.uint64))
-
-    def groups(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows by hash, equal ones in order; and which of these is the first of its kind."""
-        a, b = self.h
+        counts, self.hashes = word_hashes([t for t, copy in zip(self.texts, self.copy) if not copy], second)
+        self.ends = np.cumsum(counts)  # of those that take part, among all their words
+        n = int(self.ends[-1]) if len(counts) else 0
+        last = np.repeat(self.ends, counts) - np.arange(n)
+        self.at = np.flatnonzero(last >= size)  # words that a window starts at
+        self.a = mixed(rolled(self.hashes[0], size, FACTORS[0])[self.at]) if len(self.at) else np.zeros(0, np.uint64)
+
+    def other(self, some: np.ndarray) -> np.ndarray:
+        """A second 64-bit hash of the windows given by their places in at."""
+        spots, out = self.at[some], np.zeros(len(some), np.uint64)
+        for j in range(self.size):
+            out += self.hashes[1][spots + j] * np.uint64(pow(FACTORS[1], j, 1 << 64))
+        return mixed(out)
+
+    def groups(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those windows by hash, equal ones in order, their second hashes, and which of them is the first of its kind."""
+        a, b = self.a[some], self.other(some)
         order = np.argsort(a, kind="stable")
         same_a = a[order][1:] == a[order][:-1]
         if (same_a & (b[order][1:] != b[order][:-1])).any():
@@ -135,7 +107,21 @@ class Bucket:
             same_a = a[order][1:] == a[order][:-1]
         first = np.ones(len(order), bool)
         first[1:] = ~(same_a & (b[order][1:] == b[order][:-1]))
-        return order, first
+        return some[order], b[order], first
+
+
+def among(values: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Which values are in full, which is sorted; a table of their low bits rules most others out."""
+    if not len(full) or not len(values):
+        return np.zeros(len(values), bool)
+    mask = np.int64((1 << min(22, max(10, (8 * len(full)).bit_length()))) - 1)
+    table = np.zeros(int(mask) + 1, bool)
+    table[full & mask] = True
+    out = table[values & mask]
+    some = np.flatnonzero(out)
+    spot = np.minimum(np.searchsorted(full, values[some]), len(full) - 1)
+    out[some] = full[spot] == values[some]
+    return out
 
 
 def rolled(one: np.ndarray, size: int, factor: int) -> np.ndarray:
@@ -153,15 +139,9 @@ def rolled(one: np.ndarray, size: int, factor: int) -> np.ndarray:
     return total
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def cells_of(h: np.ndarray, width: int) -> np.ndarray:
-    """One of width cells (a power of two) for each window."""
-    return (h & np.uint64(width - 1)).astype(np.int64)
+    """One of width cells (a power of two) for each window, in the order of the hashes."""
+    return (h >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
 
 def side_copies(side: pa.Table) -> set:
@@ -202,11 +182,11 @@ def deduped(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
         b = Bucket(docs, side_copies(side), size) if docs.num_rows else None
         if b is None or not len(b.at):
             return pa.table({"shard": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "cells": pa.array([], pa.binary())})
-        order, first = b.groups()
-        cells = cells_of(b.h[0][order], width)
-        again = np.zeros(len(order), bool)  # the second of its kind; further ones add nothing
-        again[1:] = ~first[1:] & first[:-1]
-        cells = np.sort(cells[first | again])
+        a = np.sort(b.a)
+        first, again = np.ones(len(a), bool), np.zeros(len(a), bool)
+        first[1:] = a[1:] != a[:-1]
+        again[1:] = ~first[1:] & first[:-1]  # the second of its kind; further ones add nothing
+        cells = cells_of(a[first | again], width)
         bucket = docs.column("bucket")[0].as_py()
         edges = np.searchsorted(cells, np.arange(shards + 1) * (width // shards + 1))
         got = [(s, packed(cells[i:j])) for s, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
@@ -217,48 +197,50 @@ def deduped(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
         parts = [unpacked(c) for c in raw]
         every = np.sort(np.concatenate(parts))
         full = np.unique(every[1:][every[1:] == every[:-1]])
-        hits = [p[np.isin(p, full, assume_unique=False)] if len(full) else p[:0] for p in parts]
+        hits = [p[among(p, full)] for p in parts]
         got = [(o, packed(np.unique(h))) for o, h in zip(owners, hits) if len(h)]
         n = len(got)
         return pa.table({"bucket": pa.array([o for o, _ in got], pa.int64()), "kind": pa.array([HITS] * n, pa.int32()), "num": pa.nulls(n, pa.int64()), "tie": pa.nulls(n, pa.int64()), "cells": pa.array([c for _, c in got], pa.binary())})
 
+    def suspected(b: Bucket, side: pa.Table) -> np.ndarray:
+        """The windows whose cell was hit twice or more."""
+        hits = [unpacked(c) for c, k in zip(side.column("cells").to_pylist(), side.column("kind").to_pylist()) if k == HITS]
+        return np.flatnonzero(among(cells_of(b.a, width), np.sort(np.concatenate(hits)))) if hits else np.zeros(0, np.int64)
+
     def suspects(docs: pa.Table, side: pa.Table) -> pa.Table:
         none = pa.array([], pa.int64())
-        b = Bucket(docs, side_copies(side), size) if docs.num_rows else None
-        hits = [unpacked(c) for c, k in zip(side.column("cells").to_pylist(), side.column("kind").to_pylist()) if k == HITS]
-        if b is None or not hits or not len(b.at):
+        b = Bucket(docs, side_copies(side), size, second=True) if docs.num_rows else None
+        if b is None or not len(b.at):
             return pa.table({"a": none, "b": none, "place": none})
-        full = np.sort(np.concatenate(hits))
-        order, first = b.groups()
-        order = np.sort(order[first])
-        cells = cells_of(b.h[0][order], width)
-        spot = np.minimum(np.searchsorted(full, cells), len(full) - 1)
-        order = order[full[spot] == cells]
+        order, second, first = b.groups(suspected(b, side))
+        order, second = order[first], second[first]
         bucket = docs.column("bucket")[0].as_py()
-        return pa.table({"a": b.h[0][order].view(np.int64), "b": b.h[1][order].view(np.int64), "place": (np.int64(bucket) << 32) + order})
+        return pa.table({"a": b.a[order].view(np.int64), "b": second.view(np.int64), "place": (np.int64(bucket) << 32) + order})
 
     def cut(docs: pa.Table, side: pa.Table) -> pa.Table:
         kind = pa.array([], pa.string())
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": kind})
-        b = Bucket(docs, side_copies(side), size)
-        order, first = b.groups()
+        b = Bucket(docs, side_copies(side), size, second=True)
+        order, _, first = b.groups(suspected(b, side))
         later = order[~first]
         sent = side.column("num").to_numpy(zero_copy_only=False)[side.column("kind").to_numpy() == LATER].astype(np.int64)
         starts = b.at[np.union1d(later, sent & 0xFFFFFFFF).astype(np.int64)]
-        n = sum(len(w) for w, copy in zip(b.words, b.copy) if not copy)
+        n = int(b.ends[-1]) if len(b.ends) else 0
         edges = np.zeros(n + size + 1, np.int32)
         edges[starts] += 1
         edges[starts + size] -= 1
         covered = np.cumsum(edges)[:n] > 0
-        removed, texts = [], []
-        for words, copy, s in zip(b.words, b.copy, b.starts):
-            gone = covered[s : s + len(words)] if not copy else np.full(len(words), len(words) >= size)
+        counts, removed, texts, ends = [], [], [], iter(b.ends.tolist())
+        for text, copy in zip(b.texts, b.copy):
+            words = text.split()  # of bytes: at exactly the six blanks
+            end = None if copy else next(ends)
+            gone = np.full(len(words), len(words) >= size) if copy else covered[end - len(words) : end]
+            counts.append(len(words))
             removed.append(int(gone.sum()))
-            stay = words if not removed[-1] else [words[i] for i in np.flatnonzero(~gone)]
-            texts.append(b" ".join(stay))
+            texts.append(b" ".join([words[i] for i in np.flatnonzero(~gone)] if removed[-1] else words))
         return pa.table({
-            "doc_id": pa.array(b.ids, pa.int64()), "n_words": pa.array([len(w) for w in b.words], pa.int64()),
+            "doc_id": pa.array(b.ids, pa.int64()), "n_words": pa.array(counts, pa.int64()),
             "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
         })
 
@@ -274,7 +256,7 @@ def deduped(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
         F.lit(None).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("cells"),
     )
     later = kept(later, "window-later")
-    return with_side(copies.unionByName(later)).applyInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return with_side(copies.unionByName(hits).unionByName(later)).applyInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
