@@ -58,7 +58,8 @@ def incremental(steps: DataFrame, keys: list[str] = ("image_id",), patience: int
     """
     keys = list(keys)
     by = Window.partitionBy(*keys).orderBy("prefix_k")
-    steps = steps.filter((F.coalesce("value", F.lit("")) != "") | (F.col("prefix_k") == F.min("prefix_k").over(Window.partitionBy(*keys))))
+    steps = steps.withColumn("first_k", F.min("prefix_k").over(Window.partitionBy(*keys)))
+    steps = steps.filter((F.coalesce("value", F.lit("")) != "") | (F.col("prefix_k") == F.col("first_k")))
     steps = steps.withColumn("base", F.min(F.when(F.col("has_content"), F.col("prefix_k"))).over(Window.partitionBy(*keys))).withColumn("before", F.lag("value").over(by))
     same = F.col(stable) if stable else F.col("value") == F.col("before")
     steps = steps.withColumn("ok", F.coalesce((F.col("prefix_k") > F.col("base")) & same & F.col("has_content") & ~F.col("used_fallback"), F.lit(False)))

@@ -1,4 +1,394 @@
-"""Queries over the driver's tables and the DuckDB statements that give the same rows."""
+"""Queries over the driver's tables and the DuckDB statements that give the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Candidate tables come from lineitem: a supplier is a chart, a line number a sample, a ship year a row, a return flag a
+column, and the summed price the cell. Sums are of decimals, so their order doesn't matter.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quorumtab.functions import text as T
+from quorumtab.operators import consensus, convergence, evaluation, series, tables
+
+CANDIDATES = """
+SELECT l_suppkey AS image_id, l_linenumber - 1 AS sample_idx, CAST(year(l_shipdate) AS VARCHAR) AS row_label, l_returnflag AS col_label,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value
+FROM lineitem GROUP BY ALL"""
+FILLED = f"WITH cand AS ({CANDIDATES}),"
+METHODS = ["median", "mad", "mean", "medoid", "huber", "weighted_confidence", "ransac"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate cells: image_id, sample_idx, row_pos, col_pos, row_label, col_label, value."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_suppkey").alias("image_id"), (F.col("l_linenumber") - 1).alias("sample_idx"),
+        F.year("l_shipdate").cast("string").alias("row_label"), F.col("l_returnflag").alias("col_label"),
+    ).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value"))
+    return rows.withColumn("row_pos", F.col("row_label").cast("int")).withColumn("col_pos", F.ascii("col_label"))
+
+
+def candidate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates as samples: image_id, sample_idx, tsv_data with all three columns, prices to two decimals."""
+    long = candidates(spark, sf_dir)
+    flags = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
+    full = long.groupBy("image_id", "sample_idx", "row_label", "row_pos").agg(F.map_from_entries(F.collect_list(F.struct("col_label", F.col("value").cast("decimal(18,2)").cast("string")))).alias("m"))
+    cells = full.select("image_id", "sample_idx", "row_label", "row_pos", "m", F.posexplode(flags).alias("col_pos", "col_label"))
+    return tables.to_tsv(cells.withColumn("v", F.coalesce(F.try_element_at("m", F.col("col_label")), F.lit("nan"))), ["image_id", "sample_idx"], "v")
+
+
+def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skeleton for each supplier: the years 1992 to 1999, so that some cells stay empty."""
+    lines = "\n".join(["\tA\tN\tR", *[f"{y}\t_\t_\t_" for y in range(1992, 2000)]])
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_id")).distinct().withColumn("structure", F.lit(lines))
+
+
+def q_cell_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = consensus.aggregated(consensus.cell_values(candidates(spark, sf_dir), ["image_id"]), METHODS)
+    return out.select("image_id", "row_label", "col_label", F.col("n").cast("long").alias("n"), *METHODS)
+
+
+HUBER_STEPS = ",\n".join(
+    f"""h{i} AS (
+  SELECT image_id, row_label, col_label, any_value(med) AS med, any_value(mad) AS mad, any_value(close) AS close, any_value(done) OR abs(sum(w * value) / sum(w) - any_value(mu)) < 1e-6 AS done,
+         CASE WHEN any_value(done) OR abs(sum(w * value) / sum(w) - any_value(mu)) < 1e-6 THEN any_value(mu) ELSE sum(w * value) / sum(w) END AS mu
+  FROM (SELECT s.*, mu, done, CASE WHEN abs(value - mu) <= 1.345 * s.mad THEN 1.0 ELSE 1.345 * s.mad / abs(value - mu) END AS w
+        FROM s JOIN h{i - 1} USING (image_id, row_label, col_label)) GROUP BY ALL)"""
+    for i in range(1, 11)
+)
+CELL_ALL = f"""
+{FILLED}
+c AS (SELECT * FROM cand),
+g AS (SELECT *, row_number() OVER (PARTITION BY image_id, row_label, col_label ORDER BY sample_idx) AS nth, count(*) OVER (PARTITION BY image_id, row_label, col_label) AS n,
+             first_value(value) OVER (PARTITION BY image_id, row_label, col_label ORDER BY sample_idx) AS v0,
+             round(median(value) OVER (PARTITION BY image_id, row_label, col_label), 6) AS med FROM c),
+d AS (SELECT *, round(median(abs(value - med)) OVER (PARTITION BY image_id, row_label, col_label), 6) AS mad,
+             bool_and(abs(value - v0) <= 1e-8 + 1e-5 * abs(v0)) OVER (PARTITION BY image_id, row_label, col_label) AS close FROM g),
+s AS (SELECT *, row_number() OVER (PARTITION BY image_id, row_label, col_label ORDER BY abs(value - med), nth) AS near FROM d),
+h0 AS (SELECT DISTINCT image_id, row_label, col_label, med, mad, close, false AS done, med AS mu FROM s),
+{HUBER_STEPS}
+SELECT s.image_id, s.row_label, s.col_label, count(*) AS n, any_value(s.med) AS median, any_value(s.mad) AS mad, round(avg(value), 6) AS mean,
+       round(quantile_disc(value, 0.5), 6) AS medoid,
+       any_value(CASE WHEN s.mad = 0 OR s.close THEN s.med ELSE round(h10.mu, 6) END) AS huber,
+       round(avg(value) FILTER (WHERE near <= greatest(1, CAST(floor(n * 0.6) AS INT))), 6) AS weighted_confidence,
+       CASE WHEN any_value(s.mad) = 0 OR any_value(s.close) THEN any_value(s.med) ELSE coalesce(round(avg(value) FILTER (WHERE abs(value - s.med) <= 2 * s.mad), 6), any_value(s.med)) END AS ransac
+FROM s JOIN h10 USING (image_id, row_label, col_label) GROUP BY s.image_id, s.row_label, s.col_label"""
+
+
+def q_structured_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = consensus.structured(candidate_tables(spark, sf_dir), skeletons(spark, sf_dir), ["median", "mean"])
+    return out.select("image_id", "row_label", "col_label", F.col("n").cast("long").alias("n"), "median", "mad", "mean")
+
+
+STRUCTURED = f"""
+{FILLED}
+r AS (SELECT DISTINCT image_id, sample_idx, row_label FROM cand),
+f AS (SELECT r.*, c.col_label, coalesce(cand.value, 0.0) AS value FROM r CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)
+      LEFT JOIN cand USING (image_id, sample_idx, row_label, col_label)),
+w AS (SELECT image_id, CAST(y AS VARCHAR) AS row_label, col_label FROM (SELECT DISTINCT l_suppkey AS image_id FROM lineitem) CROSS JOIN range(1992, 2000) t(y) CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)),
+m AS (SELECT *, round(median(value) OVER (PARTITION BY image_id, row_label, col_label), 6) AS med FROM f),
+a AS (SELECT image_id, row_label, col_label, count(*) AS n, any_value(med) AS median, round(median(abs(value - med)), 6) AS mad, round(avg(value), 6) AS mean FROM m GROUP BY ALL)
+SELECT image_id, row_label, col_label, n, median, mad, mean FROM w LEFT JOIN a USING (image_id, row_label, col_label)"""
+
+
+def q_consensus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = candidate_tables(spark, sf_dir).withColumns({"input_tokens": F.lit(100).cast("long"), "output_tokens": F.char_length("tsv_data").cast("long")})
+    return consensus.tables(samples, "median", skeletons(spark, sf_dir))
+
+
+def q_fuzzy_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus without a skeleton, over tables whose column labels differ in case from sample to sample."""
+    samples = candidate_tables(spark, sf_dir)
+    odd = F.when(F.col("sample_idx") % 2 == 1, F.concat(F.lit("\ta\tn\tr\n"), F.substring_index("tsv_data", "\n", -8))).otherwise(F.col("tsv_data"))
+    out = consensus.free_form(samples.withColumn("tsv_data", odd), ["median"])
+    return out.select("image_id", "row_pos", "col_pos", "row_label", "col_label", "n", "median", "mad")
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median cells of each prefix of three samples or more."""
+    long = convergence.prefixes(candidates(spark, sf_dir), 3, 10)
+    return consensus.aggregated(consensus.cell_values(long, ["image_id", "prefix_k"]), ["median"])
+
+
+def q_prefix_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir).select("image_id", F.col("prefix_k").cast("long").alias("prefix_k"), "row_label", "col_label", "median", "mad")
+
+
+PREFIX = f"""
+{FILLED}
+last AS (SELECT image_id, least(max(sample_idx) + 1, 10) AS last FROM cand GROUP BY image_id),
+p AS (SELECT cand.*, k AS prefix_k FROM cand JOIN last USING (image_id) JOIN range(3, 11) t(k) ON k > sample_idx AND k <= last),
+m AS (SELECT *, round(median(value) OVER (PARTITION BY image_id, prefix_k, row_label, col_label), 6) AS med FROM p),
+steps AS (SELECT image_id, CAST(prefix_k AS BIGINT) AS prefix_k, row_label, col_label, any_value(med) AS median, round(median(abs(value - med)), 6) AS mad FROM m GROUP BY ALL)"""
+PREFIX = PREFIX.replace("GROUP BY ALL)", "GROUP BY image_id, prefix_k, row_label, col_label)").replace("FROM lineitem GROUP BY image_id, prefix_k, row_label, col_label)", "FROM lineitem GROUP BY ALL)")
+
+
+def q_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = convergence.stability(_steps(spark, sf_dir), tolerance=0.05, coverage=0.5)
+    return out.select("image_id", F.col("prefix_k").cast("long").alias("prefix_k"), "same_cells", F.round("stable_share", 9).alias("stable_share"), "exact", "stable")
+
+
+STABILITY = (
+    PREFIX
+    + """,
+b AS (SELECT coalesce(x.image_id, y.image_id) AS image_id, coalesce(x.prefix_k + 1, y.prefix_k) AS prefix_k, x.median AS was, y.median AS now
+      FROM steps x FULL JOIN steps y ON x.image_id = y.image_id AND x.prefix_k + 1 = y.prefix_k AND x.row_label = y.row_label AND x.col_label = y.col_label),
+s AS (SELECT image_id, prefix_k, bool_and(was IS NOT NULL AND now IS NOT NULL) AS same_cells, avg(CASE WHEN abs(was - now) <= greatest(0.1, 0.05 * abs(was)) THEN 1.0 ELSE 0.0 END) AS share,
+             bool_and(was IS NOT DISTINCT FROM now) AS exact FROM b GROUP BY image_id, prefix_k HAVING count(was) > 0 AND count(now) > 0)
+SELECT image_id, prefix_k, same_cells, round(share, 9) AS stable_share, exact, same_cells AND share >= 0.5 AS stable FROM s"""
+)
+
+
+def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tolerant convergence with patience 2; a prefix's value is its number of cells and their sum."""
+    cells = _steps(spark, sf_dir)
+    value = cells.groupBy("image_id", "prefix_k").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    steps = value.join(convergence.stability(cells, tolerance=0.3, coverage=0.5).select("image_id", "prefix_k", "stable_share"), ["image_id", "prefix_k"], "left")
+    steps = steps.withColumns({"calm": F.coalesce(F.col("stable_share") >= 0.5, F.lit(False)), "has_content": F.lit(True), "used_fallback": F.lit(False)})
+    out = convergence.incremental(steps, patience=2, stable="calm")
+    return out.select("image_id", "converged", F.col("convergence_iteration").cast("long").alias("convergence_iteration"), "value")
+
+
+INCREMENTAL = (
+    PREFIX
+    + """,
+b AS (SELECT coalesce(x.image_id, y.image_id) AS image_id, coalesce(x.prefix_k + 1, y.prefix_k) AS prefix_k, x.median AS was, y.median AS now
+      FROM steps x FULL JOIN steps y ON x.image_id = y.image_id AND x.prefix_k + 1 = y.prefix_k AND x.row_label = y.row_label AND x.col_label = y.col_label),
+s AS (SELECT image_id, prefix_k, avg(CASE WHEN abs(was - now) <= greatest(0.1, 0.3 * abs(was)) THEN 1.0 ELSE 0.0 END) >= 0.5 AS calm FROM b GROUP BY image_id, prefix_k HAVING count(was) > 0 AND count(now) > 0),
+v AS (SELECT image_id, prefix_k, CAST(count(*) AS VARCHAR) AS value FROM steps GROUP BY image_id, prefix_k),
+o AS (SELECT v.*, coalesce(calm, false) AND v.prefix_k > min(v.prefix_k) OVER (PARTITION BY image_id) AS ok, lag(value) OVER (PARTITION BY image_id ORDER BY prefix_k) AS before FROM v LEFT JOIN s USING (image_id, prefix_k)),
+i AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY prefix_k) AS island FROM o),
+r AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, island ORDER BY prefix_k) AS run FROM i),
+e AS (SELECT image_id, min(prefix_k) FILTER (WHERE run >= 2) AS k, arg_min(before, prefix_k) FILTER (WHERE run >= 2) AS settled, arg_max(value, prefix_k) AS latest FROM r GROUP BY image_id)
+SELECT image_id, k IS NOT NULL AS converged, k AS convergence_iteration, CASE WHEN k IS NOT NULL THEN settled ELSE latest END AS value FROM e"""
+)
+
+
+def q_variance_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = convergence.variance(_steps(spark, sf_dir), threshold=20_000.0, every_cell=False, patience=2)
+    return out.select("image_id", F.col("prefix_k").cast("long").alias("prefix_k"), F.round("mad", 4).alias("mad"), F.col("run").cast("long").alias("run"), "done")
+
+
+VARIANCE = (
+    PREFIX
+    + """,
+a AS (SELECT image_id, prefix_k, avg(mad) AS mad, avg(mad) <= 20000 AS ok FROM steps GROUP BY image_id, prefix_k),
+i AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY prefix_k) AS island FROM a),
+r AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, island ORDER BY prefix_k) AS run FROM i)
+SELECT image_id, prefix_k, round(mad, 4) AS mad, CAST(run AS BIGINT) AS run, run >= 2 AS done FROM r"""
+)
+
+
+def q_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as samples: the status repeats."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("sample_idx"), F.col("o_orderstatus").alias("tsv_data"))
+    return convergence.exact_match(o, 2).select("image_id", "sample_idx", "done")
+
+
+EXACT = "SELECT o_custkey AS image_id, o_orderkey AS sample_idx, coalesce(lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = o_orderstatus, false) AS done FROM orders"
+
+
+def q_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("num_samples"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).cast("long").alias("total_tokens"))
+
+
+TOKENS = "SELECT conv_id, count(*) AS num_samples, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_tokens FROM conversations GROUP BY conv_id"
+
+
+def q_diversity_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("model"))
+    variants = _table(spark, sf_dir, "region").select(F.col("r_name").alias("prompt_variant"))
+    return convergence.diversity_plan(models, variants, 2).select("model", "prompt_variant", F.col("sample_idx").cast("long").alias("sample_idx"))
+
+
+DIVERSITY = "SELECT n_name AS model, r_name AS prompt_variant, CAST(i AS BIGINT) AS sample_idx FROM nation CROSS JOIN region CROSS JOIN range(0, 2) t(i)"
+
+
+def q_normalize_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    raw = F.element_at(F.array(F.format_string(" $%d,%03dM ", F.floor(F.col("o_totalprice") / 1000), F.floor(F.col("o_totalprice") % 1000)), F.format_string("%d%%", F.col("o_custkey")), F.lit("n/a"), F.format_string("-%dE+02x", F.col("o_orderkey")), F.format_string(".%d", F.col("o_custkey"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return o.select("o_orderkey", raw.alias("raw"), T.cell_number(raw).alias("value"), T.cell_number(raw, "null").alias("value_or_null"))
+
+
+NORMALIZE = r"""
+WITH r AS (SELECT o_orderkey, CASE o_orderkey % 5
+    WHEN 0 THEN format(' ${},{:03d}M ', CAST(floor(o_totalprice / 1000) AS BIGINT), CAST(floor(o_totalprice % 1000) AS BIGINT)) WHEN 1 THEN o_custkey || '%' WHEN 2 THEN 'n/a'
+    WHEN 3 THEN '-' || o_orderkey || 'E+02x' ELSE '.' || o_custkey END AS raw FROM orders),
+t AS (SELECT *, regexp_replace(regexp_replace(lower(trim(raw)), '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g') AS t FROM r),
+v AS (SELECT o_orderkey, raw, CAST(coalesce(nullif(regexp_extract(t, '-?\d+(?:\.\d+)?e[+-]?\d+'), ''), nullif(regexp_extract(t, '-?\d+(?:\.\d+)?'), '')) AS DOUBLE) AS x FROM t)
+SELECT o_orderkey, raw, coalesce(x, 0.0) AS value, x AS value_or_null FROM v"""
+
+
+def q_fenced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    head = F.substring("text", 1, 20)
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```tsv\n"), head, F.lit("\n```\nand ```more```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("```csv\n"), head, F.lit("\n```"))).otherwise(head)
+    return c.select("conv_id", "turn", T.fenced_table(said).alias("tsv_data"))
+
+
+FENCED = r"""
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN regexp_replace(left(text, 20), '^\s+|\s+$', '', 'g')
+  WHEN 1 THEN regexp_replace('csv' || chr(10) || left(text, 20), '^\s+|\s+$', '', 'g') END AS tsv_data FROM conversations WHERE text IS NOT NULL"""
+
+
+def q_conforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as row labels against a skeleton of the brand's first part; cells by size."""
+    p = _table(spark, sf_dir, "part")
+    text = F.concat(F.lit(" \tA  \n\n"), F.col("p_brand"), F.lit(" \t"), F.col("p_size"), F.when(F.col("p_size") % 2 == 0, F.lit("\t9")).otherwise(F.lit("")))
+    structure = F.concat(F.lit("\tA\n"), F.lit("Brand#11\t_\n"))
+    return p.select("p_partkey", tables.conforms(F.concat(F.lit("x"), text), F.concat(F.lit("x "), structure)).alias("conforms"))
+
+
+CONFORMS = "SELECT p_partkey, p_brand = 'Brand#11' AND p_size % 2 = 1 AS conforms FROM part"
+
+
+def q_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("/home/x/data/png/"), F.col("c_name"), F.lit(".PNG"))
+    temperature = F.when(F.col("c_custkey") % 2 == 0, F.lit(0.0))
+    return c.select("c_custkey", T.sample_key(path, F.lit("gpt-x"), temperature, F.lit("read")).alias("key"), T.structure_key(path, F.lit("gpt-x")).alias("structure_key"), T.image_type(path).alias("kind"), T.provider(F.lit("gpt-x")).alias("provider"))
+
+
+CACHE_KEY = """
+SELECT c_custkey, sha256('data/png/' || c_name || '.PNG|gpt-x|' || CASE WHEN c_custkey % 2 = 0 THEN '0.0' ELSE 'None' END || '|read') AS key,
+       sha256('/home/x/data/png/' || c_name || '.PNG|gpt-x') AS structure_key, 'png' AS kind, 'openai' AS provider FROM customer"""
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_name").distinct()
+
+
+def q_anls_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different part names (a fixed vocabulary, 64 of them) against each other."""
+    n = _names(spark, sf_dir)
+    both = n.select(F.col("p_name").alias("target")).crossJoin(F.broadcast(n.select(F.col("p_name").alias("prediction"))))
+    return both.withColumn("anls", F.round(T.anls(F.col("target"), F.col("prediction")), 9))
+
+
+ANLS = """
+WITH n AS (SELECT DISTINCT p_name FROM part), d AS (SELECT a.p_name AS target, b.p_name AS prediction, levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS d FROM n a CROSS JOIN n b)
+SELECT target, prediction, round(CASE WHEN target = prediction THEN 1.0 WHEN d < 0.5 THEN 1 - d ELSE 0.0 END, 9) AS anls FROM d"""
+
+
+def q_value_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem")
+    t = F.when(F.col("l_linenumber") == 1, F.lit("0")).when(F.col("l_linenumber") == 2, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%"))).when(F.col("l_linenumber") == 3, F.lit("nan")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    p = F.when(F.col("l_linenumber") == 3, F.lit("nan")).when(F.col("l_linenumber") == 4, F.col("l_shipdate").cast("string")).otherwise((F.col("l_quantity") + F.col("l_partkey") % 3).cast("int").cast("string"))
+    return li.select("l_orderkey", "l_linenumber", F.round(T.value_penalty(t, p), 9).alias("penalty")).filter("l_linenumber != 4")
+
+
+PENALTY = """
+WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN floor(l_quantity) / 100 ELSE floor(l_quantity) END AS t, floor(l_quantity + l_partkey % 3) AS p FROM lineitem WHERE l_linenumber <> 4),
+y AS (SELECT *, least(abs((t - p) / t), 1.0) AS d FROM x)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber = 1 THEN 0.0 WHEN l_linenumber = 3 THEN 1.0 WHEN d < 0.1 THEN d ELSE 1.0 END, 9) AS penalty FROM y"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's first sample as the truth, and the second as the prediction."""
+    t = candidate_tables(spark, sf_dir)
+    both = t.filter("sample_idx < 2").groupBy("image_id").agg(F.min_by("tsv_data", "sample_idx").alias("gt_answer"), F.max_by("tsv_data", "sample_idx").alias("model_answer"))
+    return both.withColumnRenamed("image_id", "pair_id")
+
+
+def q_rms_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.per_pair(_pairs(spark, sf_dir))
+
+
+def q_eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.evaluate(_pairs(spark, sf_dir))
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly totals of orders by priority and nation, with some made null by their number."""
+    o, c, n = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    long = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    out = long.groupBy(F.col("o_orderpriority").alias("series_name"), F.col("n_name").alias("country_name"), F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"), F.min("n_nationkey").alias("k"))
+    return out.withColumn("value", F.when((F.col("k") * 7 + F.col("year")) % 23 != 0, F.col("value"))).drop("k")
+
+
+def q_prune_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.pruned(_wide(spark, sf_dir), large=2.5e6)
+
+
+WIDE = """
+WITH w AS (SELECT o_orderpriority AS series_name, n_name AS country_name, CAST(year(o_orderdate) AS INT) AS year,
+                  CASE WHEN (min(n_nationkey) * 7 + year(o_orderdate)) % 23 <> 0 THEN CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value
+           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY o_orderpriority, n_name, year(o_orderdate))"""
+PRUNE = (
+    WIDE
+    + """,
+s AS (SELECT series_name, country_name, min(year) FILTER (WHERE value IS NOT NULL) AS a, max(year) FILTER (WHERE value IS NOT NULL) AS b, count(*) FILTER (WHERE value IS NULL) AS gaps, coalesce(max(abs(value)) >= 2.5e6, false) AS huge FROM w GROUP BY ALL),
+ok AS (SELECT * FROM s WHERE gaps < 32 AND NOT huge AND NOT EXISTS (SELECT 1 FROM w WHERE w.series_name = s.series_name AND w.country_name = s.country_name AND w.value IS NULL AND w.year BETWEEN s.a AND s.b))
+SELECT w.* FROM w SEMI JOIN ok USING (series_name, country_name)"""
+)
+
+
+def q_sample_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.sampled(_wide(spark, sf_dir), n=1000)
+    return out.select("series_name", F.col("set_no").cast("long").alias("set_no"), F.array_join("countries", "|").alias("countries"))
+
+
+SAMPLE = (
+    WIDE
+    + """,
+p AS (SELECT DISTINCT series_name, country_name FROM w),
+a AS (SELECT *, row_number() OVER (PARTITION BY series_name ORDER BY md5('42|' || series_name || '|' || country_name)) - 1 AS nth,
+             CASE WHEN CAST('0x' || left(md5('42|' || series_name), 1) AS BIGINT) % 2 = 0 THEN 2 ELSE 3 END AS size FROM p),
+s AS (SELECT series_name, nth // size AS part, string_agg(country_name, '|' ORDER BY country_name) AS countries FROM a GROUP BY ALL)
+SELECT series_name, row_number() OVER (ORDER BY md5('42|' || series_name || '|' || part)) AS set_no, countries FROM s QUALIFY set_no <= 1000"""
+)
+
+
+def q_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each type of event, 15 at most, evenly spaced."""
+    e = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.sort_array(F.collect_set(F.dayofyear("ts"))).alias("days"))
+    return e.select("event_type", F.posexplode(series.subsampled(F.col("days"))).alias("i", "day")).select("event_type", F.col("i").cast("long").alias("i"), F.col("day").cast("long").alias("day"))
+
+
+SUBSAMPLE = """
+WITH d AS (SELECT event_type, list_sort(list(DISTINCT dayofyear(ts))) AS days FROM events GROUP BY event_type),
+x AS (SELECT event_type, days, unnest(range(0, least(len(days), 15))) AS i FROM d)
+SELECT event_type, CAST(i AS BIGINT) AS i, CAST(CASE WHEN len(days) <= 15 THEN days[i + 1] ELSE days[(i * (len(days) - 1)) // 14 + 1] END AS BIGINT) AS day FROM x"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _wide(spark, sf_dir)
+    by = Window.partitionBy("series_name").orderBy("country_name")
+    names = w.select("series_name", "country_name").distinct().withColumn("series_pos", F.row_number().over(by) - 1)
+    return w.join(names, ["series_name", "country_name"]).select(F.col("series_name").alias("chart_id"), "series_pos", "country_name", "year", "value")
+
+
+def q_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry of grouped and of stacked bars."""
+    p = _points(spark, sf_dir)
+    both = series.grouped_bars(p).join(series.stacked(p).select("chart_id", "country_name", "year", "bottom", "top"), ["chart_id", "country_name", "year"])
+    return both.select(T.axis_label(F.col("chart_id")).alias("label"), "country_name", "year", *[F.round(c, 4).alias(c) for c in ("x", "width", "height", "bottom", "top")])
+
+
+BARS = (
+    WIDE
+    + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY series_name ORDER BY country_name) - 1 AS pos, count(*) OVER (PARTITION BY series_name) AS n FROM (SELECT DISTINCT series_name, country_name FROM w)),
+y AS (SELECT series_name, list_sort(list(DISTINCT year)) AS years FROM w GROUP BY series_name),
+p AS (SELECT w.*, pos, CASE WHEN len(years) > 1 THEN years[2] - years[1] ELSE 1 END AS spacing, n FROM w JOIN n USING (series_name, country_name) JOIN y USING (series_name))
+SELECT upper(left(replace(series_name, '_', ' '), 1)) || lower(substr(replace(series_name, '_', ' '), 2)) AS label, country_name, year,
+       round(year - 0.4 * spacing + 0.8 * spacing / n * (pos + 0.5), 4) AS x, round(0.8 * spacing / n, 4) AS width, round(coalesce(value, 0.0), 4) AS height,
+       round(coalesce(sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 4) AS bottom,
+       round(sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos), 4) AS top FROM p"""
+)
+
+QUERIES: dict = {f.__name__: f for f in (
+    q_cell_all, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
+    q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
+)}
+ORACLES: dict = {
+    "q_cell_all": CELL_ALL, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
+    "q_variance_convergence": VARIANCE, "q_exact_match": EXACT, "q_token_totals": TOKENS, "q_diversity_plan": DIVERSITY, "q_normalize_value": NORMALIZE, "q_fenced_table": FENCED,
+    "q_conforms": CONFORMS, "q_cache_key": CACHE_KEY, "q_anls_pairs": ANLS, "q_value_penalty": PENALTY, "q_prune_series": PRUNE, "q_sample_datasets": SAMPLE, "q_subsample": SUBSAMPLE, "q_bars": BARS,
+}
