@@ -174,6 +174,7 @@ def deduped(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
 
     digests = kept(rows.select("doc_id", "tie", "bucket", F.sha2("text", 256).alias("sha")), "window-digests")
     firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = kept(firsts, "window-firsts")  # a plain table on this side, so that the join below can split a hot digest
     copies = digests.join(firsts, "sha").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     copies = copies.select("bucket", F.lit(COPY).alias("kind"), F.col("doc_id").alias("num"), "tie", F.lit(None).cast("binary").alias("cells"))
     copies = kept(copies, "window-copies")
