@@ -58,7 +58,9 @@ def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_th
         d = d.sort_values(["t_pos", "p_pos"])
         n = d["t_pos"].nunique()
         m = len(d) // n
-        picked = assigned(1 - d["key_score"].to_numpy().reshape(n, m))
+        key = d["key_score"].to_numpy().reshape(n, m)
+        same = np.argwhere(key == 1)  # equal keys; where one side's keys are all among the other's, that is the optimum
+        picked = same.tolist() if len(same) == min(n, m) else assigned(1 - key)
         return d.iloc[[i * m + j for i, j in picked]][schema.names]
 
     return both.groupBy(*keys).applyInPandas(solve, schema)
