@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quorumtab.functions import robust
 from quorumtab.functions.text import bare, python_text
-from quorumtab.operators.tables import cells, has_content, skeleton_cells, to_tsv
+from quorumtab.operators.tables import cells, corners, has_content, skeleton_cells, to_tsv
 
 
 def cell_values(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,7 +117,7 @@ def tables(samples: DataFrame, method: str = "median", skeletons: DataFrame | No
     """The consensus of each chart as text: keys, tsv_data, mad_tsv, used_fallback, num_samples, token totals.
 
     No usable sample: empty texts. One: that sample, as it is. No cells in common: the first usable sample, marked as a
-    fallback. Only with a skeleton there is no fallback.
+    fallback. With a skeleton the header is the skeleton's, and a chart falls back only if it has none.
     """
     keys = list(keys)
     ok = usable(samples)
@@ -126,10 +126,12 @@ def tables(samples: DataFrame, method: str = "median", skeletons: DataFrame | No
         F.count(F.when(bare(F.col("tsv_data")) != "", 1)).alias("n_usable"), F.min_by(F.when(bare(F.col("tsv_data")) != "", F.col("tsv_data")), F.when(bare(F.col("tsv_data")) != "", F.col("sample_idx"))).alias("first"),
     )
     long = structured(ok, skeletons, [method], keys) if skeletons is not None else free_form(ok, [method], keys, **options)
-    corner = "" if skeletons is not None else "X"
-    value, spread = to_tsv(long.withColumn("v", python_text(F.col(method))), keys, "v", corner, "value_tsv"), to_tsv(long.withColumn("v", python_text(F.col("mad"))), keys, "v", corner, "spread_tsv")
+    value, spread = (to_tsv(long.withColumn("v", python_text(F.col(c))), keys, "v", "X" if skeletons is None else "", name) for c, name in ((method, "value_tsv"), ("mad", "spread_tsv")))
     both = sums.join(value, keys, "left").join(spread, keys, "left")
-    many, made = F.col("n_usable") > 1, has_content(F.col("value_tsv"))
+    if skeletons is not None:
+        both = both.join(corners(skeletons, keys), keys, "left").withColumns({c: F.concat(F.coalesce("corner", F.lit("")), c) for c in ("value_tsv", "spread_tsv")})
+    many = F.col("n_usable") > 1
+    made = has_content(F.col("value_tsv")) if skeletons is None else F.col("value_tsv").isNotNull()
     return both.select(
         *keys, F.when(F.col("n_usable") == 0, "").when(~many, F.col("first")).when(made, F.col("value_tsv")).otherwise(F.col("first")).alias("tsv_data"),
         F.when(many & made, F.col("spread_tsv")).otherwise("").alias("mad_tsv"), (many & ~made).alias("used_fallback"),

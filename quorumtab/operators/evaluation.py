@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,23 +49,34 @@ def assigned(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5) -> DataFrame:
-    """Optimally matched datapoints: keys, key_score, t_value, p_value. A task works on one pair of tables at a time."""
-    t = targets.select(*keys, F.col("pos").alias("t_pos"), F.col("key").alias("t_key"), F.col("value").alias("t_value"))
-    p = predictions.select(*keys, F.col("pos").alias("p_pos"), F.col("key").alias("p_key"), F.col("value").alias("p_value"))
-    both = t.join(p, keys).withColumn("key_score", anls(F.col("t_key"), F.col("p_key"), text_theta))
-    both = both.select(*keys, "t_pos", "p_pos", "key_score", "t_value", "p_value")
-    schema = both.select(*keys, "key_score", "t_value", "p_value").schema
-
-    def solve(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["t_pos", "p_pos"])
-        n = d["t_pos"].nunique()
-        m = len(d) // n
-        key = d["key_score"].to_numpy().reshape(n, m)
-        same = np.argwhere(key == 1)  # equal keys; where one side's keys are all among the other's, that is the optimum
-        picked = same.tolist() if len(same) == min(n, m) else assigned(1 - key)
-        return d.iloc[[i * m + j for i, j in picked]][schema.names]
-
-    return both.groupBy(*keys).applyInPandas(solve, schema)
+    """Optimally matched datapoints: keys, key_score, t_value, p_value.
+
+    A pair of tables is one row, with a matrix of key scores only where neither side's keys are all among the other's;
+    elsewhere matching equal keys is the optimum, and the only one.
+    """
+    def side(points: DataFrame, name: str) -> DataFrame:
+        return points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "value"))).alias(name))
+
+    both = side(targets, "t").join(side(predictions, "p"), keys)
+    shared = F.size(F.array_intersect(F.col("t")["key"], F.col("p")["key"]))
+    matrix = F.transform("t", lambda a: F.transform("p", lambda b: anls(a["key"], b["key"], text_theta)))
+    both = both.withColumn("matrix", F.when(shared < F.least(F.size("t"), F.size("p")), matrix))
+    equal = F.filter(F.transform("t", lambda a, i: F.struct(i.alias("i"), (F.array_position(F.col("p")["key"], a["key"]).cast("int") - 1).alias("j"))), lambda x: x["j"] >= 0)
+
+    def solve(batches: Iterator) -> Iterator:
+        for batch in batches:
+            found = [[{"i": i, "j": j} for i, j in assigned(1 - np.array(m))] for m in batch.column("matrix").to_pylist()]
+            yield batch.append_column("picked", pa.array(found, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))))
+
+    hard = both.filter("matrix IS NOT NULL")
+    pairs = "picked array<struct<i:int,j:int>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hard.schema) + ", " + pairs
+    picked = both.filter("matrix IS NULL").withColumn("picked", equal).select(*keys, "t", "p", "matrix", "picked")
+    picked = picked.unionByName(hard.mapInArrow(solve, schema))
+    at = lambda c, k: F.get(F.col(c), F.col(f"x.{k}"))
+    score = F.when(F.col("matrix").isNull(), F.lit(1.0)).otherwise(F.get(at("matrix", "i"), F.col("x.j")))
+    long = picked.withColumn("x", F.explode("picked"))
+    return long.select(*keys, score.alias("key_score"), at("t", "i")["value"].alias("t_value"), at("p", "j")["value"].alias("p_value"))
 
 
 def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5, number_theta: float = 0.1) -> DataFrame:

@@ -49,6 +49,11 @@ def skeleton_cells(skeletons: DataFrame, keys: list[str], text_col: str = "struc
     return rows.filter("col_pos > 0").select(*keys, "row_pos", "col_pos", "row_label", "col_label")
 
 
+def corners(samples: DataFrame, keys: list[str], text_col: str = "structure") -> DataFrame:
+    """The first cell of each text's header: keys, corner."""
+    return _grids(samples.select(*keys, text_col), text_col).select(*keys, F.get(F.get("grid", 0), 0).alias("corner"))
+
+
 def to_tsv(long: DataFrame, keys: list[str], value: str, corner: str = "", name: str = "tsv_data") -> DataFrame:
     """One text per key: a header, then a row for each row_pos; null values are empty. No line end at the end."""
     cell = F.struct("col_pos", "col_label", F.coalesce(F.col(value), F.lit("")).alias("v"))
@@ -65,8 +70,7 @@ def normalized_tsv(samples: DataFrame, keys: list[str], text_col: str = "tsv_dat
     from quorumtab.functions.text import cell_number_text
 
     long = cells(samples, keys, text_col).withColumn("v", cell_number_text(F.col("raw")))
-    corner = _grids(samples.select(*keys, text_col), text_col).select(*keys, F.get(F.get("grid", 0), 0).alias("corner"))
-    out = to_tsv(long, keys, "v").join(corner, keys)
+    out = to_tsv(long, keys, "v").join(corners(samples, keys, text_col), keys)
     return out.select(*keys, F.concat("corner", "tsv_data", F.lit("\n")).alias(text_col))
 
 

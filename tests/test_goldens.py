@@ -58,8 +58,8 @@ def test_structured_consensus(spark):
     samples = spark.createDataFrame([("i", k, t, 1, 2) for k, t in enumerate(texts)], "image_id string, sample_idx int, tsv_data string, input_tokens long, output_tokens long")
     skeleton = spark.createDataFrame([("i", "Year\tA\tB\n2000\t_\t_\n2001\t_\t_\n2009\t_\t_")], "image_id string, structure string")
     r = consensus.tables(samples, "median", skeleton).first()
-    assert r.tsv_data == "\tA\tB\n2000\t12.0\t2.0\n2001\t21.0\t4.0\n2009\t\t"
-    assert r.mad_tsv == "\tA\tB\n2000\t2.0\t1.0\n2001\t1.0\t1.0\n2009\t\t" and (r.num_samples, r.total_input_tokens, r.used_fallback) == (3, 3, False)
+    assert r.tsv_data == "Year\tA\tB\n2000\t12.0\t2.0\n2001\t21.0\t4.0\n2009\t\t"
+    assert r.mad_tsv == "Year\tA\tB\n2000\t2.0\t1.0\n2001\t1.0\t1.0\n2009\t\t" and (r.num_samples, r.total_input_tokens, r.used_fallback) == (3, 3, False)
     free = consensus.tables(samples.withColumn("tsv_data", F.when(F.col("sample_idx") == 2, F.lower("tsv_data")).otherwise(F.col("tsv_data")))).first()
     assert free.tsv_data == "X\tA\tB\n2000\t12.0\t2.0\n2001\t21.0\t4.0"
     assert consensus.tables(samples.limit(1)).first().tsv_data in texts
