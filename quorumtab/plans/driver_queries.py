@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumtab.functions import text as T
-from quorumtab.operators import consensus, convergence, evaluation, series, tables
+from quorumtab.operators import consensus, convergence, evaluation, series, strategies, tables
+from quorumtab.sources import caches
 
 CANDIDATES = """
 SELECT l_suppkey AS image_id, l_linenumber - 1 AS sample_idx, CAST(year(l_shipdate) AS VARCHAR) AS row_label, l_returnflag AS col_label,
@@ -383,12 +384,201 @@ SELECT upper(left(replace(series_name, '_', ' '), 1)) || lower(substr(replace(se
        round(sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos), 4) AS top FROM p"""
 )
 
+
+def q_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each candidate table with rows and columns swapped."""
+    t = candidate_tables(spark, sf_dir).select("image_id", "sample_idx", tables.transposed(tables.plain_table(F.col("tsv_data"))).alias("t"))
+    rows = t.select("image_id", "sample_idx", F.col("t.headers").alias("h"), F.explode("t.rows").alias("r"))
+    out = rows.select("image_id", "sample_idx", F.get("r", 0).alias("row_label"), F.posexplode(F.arrays_zip("h", "r")).alias("i", "x"))
+    return out.filter("i > 0").select("image_id", "sample_idx", "row_label", F.col("x.h").alias("col_label"), F.col("x.r").alias("value"))
+
+
+GRID = f"""
+{FILLED}
+r AS (SELECT DISTINCT image_id, sample_idx, row_label FROM cand),
+f AS (SELECT r.*, lower(col_label) AS col_label, col_pos, coalesce(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), 'nan') AS value FROM r CROSS JOIN (VALUES ('A', 1), ('N', 2), ('R', 3)) c(col_label, col_pos)
+      LEFT JOIN cand USING (image_id, sample_idx, row_label, col_label))"""
+TRANSPOSE = GRID + " SELECT image_id, sample_idx, col_label AS row_label, row_label AS col_label, value FROM f"
+
+
+def q_datapoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datapoints of candidate tables whose row labels are decades, so that keys repeat: the first place, the last value."""
+    long = candidates(spark, sf_dir).groupBy("image_id", "sample_idx", "row_pos", F.substring("row_label", 1, 3).alias("row_label"))
+    full = long.agg(F.map_from_entries(F.collect_list(F.struct("col_label", F.col("value").cast("decimal(18,2)").cast("string")))).alias("m"))
+    cells = full.select("image_id", "sample_idx", "row_pos", "row_label", "m", F.posexplode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("col_pos", "col_label"))
+    text = tables.to_tsv(cells.withColumn("v", F.coalesce(F.try_element_at("m", F.col("col_label")), F.lit("nan"))), ["image_id", "sample_idx"], "v")
+    return evaluation.datapoints(text.withColumn("table", tables.plain_table(F.col("tsv_data"))), ["image_id", "sample_idx"])
+
+
+DATAPOINTS = (
+    GRID
+    + """,
+d AS (SELECT image_id, sample_idx, left(row_label, 3) || ' ' || col_label AS key, 3 * (dense_rank() OVER (PARTITION BY image_id, sample_idx ORDER BY row_label) - 1) + col_pos AS pos, value FROM f
+      UNION ALL SELECT DISTINCT image_id, sample_idx, 'title', 0, '' FROM cand)
+SELECT image_id, sample_idx, key, CAST(min(pos) AS INT) AS pos, arg_max(value, pos) AS value FROM d GROUP BY image_id, sample_idx, key"""
+)
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample as the prediction, and the largest value of each of its supplier's cells as the truth, which has all its keys."""
+    long = candidates(spark, sf_dir).groupBy("image_id", "row_pos", "row_label", "col_label").agg(F.max("value").alias("value"))
+    full = long.groupBy("image_id", "row_pos", "row_label").agg(F.map_from_entries(F.collect_list(F.struct("col_label", F.col("value").cast("decimal(18,2)").cast("string")))).alias("m"))
+    cells = full.select("image_id", "row_pos", "row_label", "m", F.posexplode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("col_pos", "col_label"))
+    truth = tables.to_tsv(cells.withColumn("v", F.coalesce(F.try_element_at("m", F.col("col_label")), F.lit("nan"))), ["image_id"], "v", "year", "gt_answer")
+    told = candidate_tables(spark, sf_dir).withColumn("model_answer", F.concat(F.lit("year"), "tsv_data"))
+    return told.join(truth, "image_id").withColumn("pair_id", F.concat_ws("-", "image_id", "sample_idx"))
+
+
+def q_rms_f1_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.per_pair(_nested(spark, sf_dir))
+    return out.select("pair_id", "transposed", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", *evaluation.BUCKETS)])
+
+
+NESTED = (
+    GRID
+    + """,
+g AS (SELECT image_id, row_label, col_label, max(TRY_CAST(nullif(value, 'nan') AS DOUBLE)) AS t FROM f GROUP BY image_id, row_label, col_label),
+ng AS (SELECT image_id, count(*) + 1 AS ng FROM g GROUP BY image_id),
+x AS (SELECT image_id, sample_idx, CASE WHEN abs(t - p) / t < 0.1 THEN abs(t - p) / t ELSE 1.0 END AS pen
+      FROM (SELECT *, TRY_CAST(nullif(value, 'nan') AS DOUBLE) AS p FROM f) JOIN g USING (image_id, row_label, col_label)),
+s AS (SELECT image_id, sample_idx, 1 + sum(1 - pen) AS score, sum(pen) AS pen, count(*) + 1 AS np FROM x GROUP BY image_id, sample_idx),
+e AS (SELECT *, score <= 1 AS turned, ng + np AS total FROM s JOIN ng USING (image_id)),
+n AS (SELECT image_id || '-' || sample_idx AS pair_id, turned AS transposed, round(score / np, 6) AS "precision", round(score / ng, 6) AS recall, round(2 * score / total, 6) AS f1, round(200 * score / total, 6) AS correct,
+             round(CASE WHEN turned THEN 0.0 ELSE 200 * pen / total END, 6) AS value_errors, 0.0 AS label_errors,
+             round(100.0 * CASE WHEN turned THEN ng - 1 ELSE ng - np END / total, 6) AS missing_datapoints, round(100.0 * CASE WHEN turned THEN np - 1 ELSE 0 END / total, 6) AS extra_datapoints FROM e)"""
+)
+
+
+def q_eval_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.evaluate(_nested(spark, sf_dir))
+    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
+
+
+EVAL_NESTED = NESTED + ' SELECT round(100 * avg("precision"), 4) AS "precision", round(100 * avg(recall), 4) AS recall, round(100 * avg(f1), 4) AS f1, ' + ", ".join(f"round(avg({b}), 4) AS {b}" for b in evaluation.BUCKETS) + " FROM n"
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cells = _steps(spark, sf_dir)
+    return cells, cells.groupBy("image_id", "prefix_k").agg(F.count(F.lit(1)).cast("string").alias("value"))
+
+
+def q_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convergence.fixed(_sized(spark, sf_dir)[1], 5)
+
+
+FIXED = PREFIX + " SELECT image_id, CAST(count(*) AS VARCHAR) AS value, false AS converged FROM steps WHERE prefix_k = 5 GROUP BY image_id"
+
+
+def q_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first prefix of four samples or more whose mean MAD is small; its value is its number of cells."""
+    cells, sized = _sized(spark, sf_dir)
+    done = convergence.variance(cells, threshold=20_000.0, every_cell=False).select("image_id", "prefix_k", "done")
+    out = convergence.adaptive(sized.join(done, ["image_id", "prefix_k"]), "done", 4)
+    return out.withColumn("convergence_iteration", F.col("convergence_iteration").cast("long"))
+
+
+ADAPTIVE = (
+    PREFIX
+    + """,
+v AS (SELECT image_id, prefix_k, CAST(count(*) AS VARCHAR) AS value, avg(mad) <= 20000 AND prefix_k >= 4 AS ok FROM steps GROUP BY image_id, prefix_k),
+o AS (SELECT image_id, min(prefix_k) FILTER (WHERE ok) AS k, arg_min(value, prefix_k) FILTER (WHERE ok) AS hit, arg_max(value, prefix_k) AS latest FROM v GROUP BY image_id)
+SELECT image_id, k IS NOT NULL AS converged, k AS convergence_iteration, CASE WHEN k IS NULL THEN latest ELSE hit END AS value FROM o"""
+)
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidate_tables(spark, sf_dir).withColumns({"input_tokens": F.lit(100).cast("long"), "output_tokens": F.char_length("tsv_data").cast("long")})
+
+
+def q_incremental_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.incremental(_samples(spark, sf_dir), strategies.Sampling(exact_match=False, tolerance=0.3, coverage=0.5))
+
+
+def q_structured_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against the shape of each supplier's first sample; suppliers whose next two samples differ in shape have an error."""
+    t = _samples(spark, sf_dir)
+    shape = t.filter("sample_idx = 0").select("image_id", F.regexp_replace("tsv_data", r"\t(?:[0-9.]+|nan)", "\t_").alias("structure"))
+    return strategies.structured(t, shape, strategies.Sampling(exact_match=False))
+
+
+def q_first_conforming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as attempts, of which those with status O conform."""
+    o = _table(spark, sf_dir, "orders").withColumn("attempt", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    tries = o.select("o_custkey", "attempt", F.concat_ws("/", "o_orderkey", "o_orderpriority").alias("tsv_data"), (F.col("o_orderstatus") == "O").alias("ok"))
+    return convergence.first_conforming(tries, "ok", ["o_custkey"], 3)
+
+
+CONFORMING = """
+WITH a AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS attempt, o_orderkey || '/' || o_orderpriority AS tsv_data, o_orderstatus = 'O' AS ok FROM orders QUALIFY attempt < 3)
+SELECT o_custkey, coalesce(arg_min(tsv_data, attempt) FILTER (WHERE ok), arg_max(tsv_data, attempt)) AS tsv_data, bool_or(ok) AS cached FROM a GROUP BY o_custkey"""
+
+
+def q_unpivot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly totals laid out wide, as the CSV files are, and read back."""
+    wide = _wide(spark, sf_dir).groupBy("series_name", "country_name").pivot("year", list(range(1992, 1999))).agg(F.first("value"))
+    text = wide.select("series_name", F.lit("-").alias("code"), "country_name", F.lit("-").alias("country_code"), *[F.coalesce(F.col(str(y)).cast("string"), F.lit("..")).alias(f"{y} [YR{y}]") for y in range(1992, 1999)])
+    return caches.unpivoted(text)
+
+
+UNPIVOT = (
+    WIDE
+    + """,
+g AS (SELECT DISTINCT series_name, country_name, y AS year FROM w CROSS JOIN range(1992, 1999) t(y))
+SELECT g.series_name, g.country_name, CAST(g.year AS INT) AS year, w.value FROM g LEFT JOIN w ON g.series_name = w.series_name AND g.country_name = w.country_name AND g.year = w.year"""
+)
+
+
+def q_area_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of stacked areas, of plain areas and of lines, where gaps are null."""
+    p = _points(spark, sf_dir)
+    keys = ["chart_id", "series_pos", "country_name", "year"]
+    kinds = {"stacked": series.area_points(p, True), "plain": series.area_points(p, False, "bokeh"), "line": series.line_points(p, "plotly")}
+    out = None
+    for name, df in kinds.items():
+        one = df.select(*keys, F.round("value", 4).alias(name))
+        out = one if out is None else out.join(one, keys)
+    return out.withColumn("series_pos", F.col("series_pos").cast("long"))
+
+
+AREA = (
+    WIDE
+    + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY series_name ORDER BY country_name) - 1 AS pos FROM (SELECT DISTINCT series_name, country_name FROM w))
+SELECT series_name AS chart_id, pos AS series_pos, country_name, year, round(sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos), 4) AS stacked,
+       round(coalesce(value, 0.0), 4) AS plain, round(value, 4) AS line FROM w JOIN n USING (series_name, country_name)"""
+)
+
+
+def q_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as a dataset: chart type, library and two of its style's options."""
+    out = series.charts(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("set_no")))
+    return out.select("set_no", "chart_type", "library", F.col("style")["title"].alias("title"), F.coalesce(F.col("style")["width"], F.lit("-")).alias("width"))
+
+
+def _drawn(what: str, options: list[str]) -> str:
+    return f"[{', '.join(repr(o) for o in options)}][1 + CAST('0x' || left(md5('{what}|' || c_custkey), 7) AS BIGINT) % {len(options)}]"
+
+
+CHARTS = f"""
+WITH c AS (SELECT c_custkey, {_drawn("type", list(series.CHART_TYPES))} AS chart_type, {_drawn("library", list(series.LIBRARIES))} AS library, {_drawn("title", series.TITLES)} AS title FROM customer)
+SELECT c_custkey AS set_no, chart_type, library, title,
+       CASE WHEN library IN ('plotly', 'bokeh') THEN CAST(800 + CAST('0x' || left(md5('width|' || c_custkey), 7) AS BIGINT) % 201 AS VARCHAR) ELSE '-' END AS width FROM c"""
+
+
+def q_line_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A color and line options for each nation in each priority's chart."""
+    return series.line_styles(_points(spark, sf_dir), 25)
+
+
 QUERIES: dict = {f.__name__: f for f in (
     q_cell_all, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
+    q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_area_line, q_charts, q_line_styles,
 )}
 ORACLES: dict = {
     "q_cell_all": CELL_ALL, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
     "q_variance_convergence": VARIANCE, "q_exact_match": EXACT, "q_token_totals": TOKENS, "q_diversity_plan": DIVERSITY, "q_normalize_value": NORMALIZE, "q_fenced_table": FENCED,
     "q_conforms": CONFORMS, "q_cache_key": CACHE_KEY, "q_anls_pairs": ANLS, "q_value_penalty": PENALTY, "q_prune_series": PRUNE, "q_sample_datasets": SAMPLE, "q_subsample": SUBSAMPLE, "q_bars": BARS,
+    "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
+    "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_area_line": AREA, "q_charts": CHARTS,
 }

@@ -40,7 +40,11 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
     "" and ".." are null; another text that isn't a number is an error. Of a repeated series and country the last row counts.
     """
-    wide = spark.read.csv(path, header=True)
+    return unpivoted(spark.read.csv(path, header=True))
+
+
+def unpivoted(wide: DataFrame) -> DataFrame:
+    """read_series() of a table of strings in that layout."""
     names = wide.columns
     ids = wide.select(F.col(f"`{names[0]}`").alias("series_name"), F.col(f"`{names[2]}`").alias("country_name"), F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(c.split()[0]) for c in names[4:]])
     long = ids.unpivot(["series_name", "country_name", "row"], [c.split()[0] for c in names[4:]], "year", "raw")
