@@ -14,6 +14,11 @@ PROMPT = "Read the chart in the image and write its data as tab-separated values
 SKELETON_PROMPT = "Read the chart in the image and write the headers and row labels of its data as tab-separated values in a fenced tsv block, with _ in each cell."
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def bare(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -83,9 +88,9 @@ def relative_distance(target: Column, prediction: Column, theta: float = 0.1, ze
 
 def value_penalty(target: Column, prediction: Column, text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match") -> Column:
     """Distance of numbers where both are numbers; else 0 for equal texts and 1 - anls for others."""
-    t, p = percent_or_number(target), percent_or_number(prediction)
     texts = F.when(target == prediction, F.lit(0.0)).otherwise(1 - anls(target, prediction, text_theta))
-    return F.when(t.isNotNull() & p.isNotNull(), relative_distance(t, p, number_theta, zero_target)).otherwise(texts)
+    numbers = lambda x: F.when(x["t"].isNotNull() & x["p"].isNotNull(), relative_distance(x["t"], x["p"], number_theta, zero_target))
+    return F.coalesce(let(F.struct(percent_or_number(target).alias("t"), percent_or_number(prediction).alias("p")), numbers), texts)
 
 
 def axis_label(series: Column) -> Column:

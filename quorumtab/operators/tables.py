@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumtab.functions.text import bare, cell_number
+from quorumtab.functions.text import bare, cell_number, let
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -93,20 +93,35 @@ def conforms(text: Column, structure: Column) -> Column:
 
 def plain_table(text: Column) -> Column:
     """Struct of title, headers, rows: lower case, cells stripped, a first line "title<tab>..." taken off."""
-    lower = F.lower(text)
-    lines = F.split(F.regexp_replace(lower, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
-    lines = F.when(lower == "", F.array().cast("array<string>")).otherwise(lines)
-    titled = F.coalesce(F.get(lines, 0).startswith("title\t"), F.lit(False))
-    title = F.when(titled, bare(F.substring(F.get(lines, 0), 7, 1 << 30)))
-    body = F.when(titled, F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
-    grid = F.transform(body, lambda x: F.transform(F.split(x, "\t", -1), lambda c: bare(c)))
-    return F.struct(title.alias("title"), F.coalesce(F.get(grid, 0), F.array().cast("array<string>")).alias("headers"), F.when(F.size(grid) > 1, F.slice(grid, F.lit(2), F.greatest(F.size(grid), F.lit(1)))).otherwise(F.array().cast("array<array<string>>")).alias("rows"))
+    nothing = F.array().cast("array<string>")
+
+    def lines(low: Column) -> Column:
+        return F.when(low == "", nothing).otherwise(F.split(F.regexp_replace(low, f"(?:{LINE_END})\\z", ""), LINE_END, -1))
+
+    def parts(lines: Column) -> Column:
+        titled = F.coalesce(F.get(lines, F.lit(0)).startswith("title\t"), F.lit(False))
+        title = F.when(titled, bare(F.substring(F.get(lines, F.lit(0)), 7, 1 << 30)))
+        body = F.when(titled, F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+        return F.struct(title.alias("title"), F.transform(body, lambda x: F.transform(F.split(x, "\t", -1), lambda c: bare(c))).alias("grid"))
+
+    return let(let(let(F.lower(text), lines), parts), lambda p: _shaped(p["title"], p["grid"]))
+
+
+def _shaped(title: Column, grid: Column) -> Column:
+    """A grid's first row as headers and the others as rows."""
+    rows = F.when(F.size(grid) > 1, F.slice(grid, F.lit(2), F.greatest(F.size(grid), F.lit(1)))).otherwise(F.array().cast("array<array<string>>"))
+    return F.struct(title.alias("title"), F.coalesce(F.get(grid, F.lit(0)), F.array().cast("array<string>")).alias("headers"), rows.alias("rows"))
 
 
 def transposed(table: Column) -> Column:
     """A plain_table() with rows and columns swapped; short rows are filled with empty cells."""
-    grid = F.concat(F.array(table["headers"]), table["rows"])
-    width = F.array_max(F.transform(grid, lambda r: F.size(r)))
-    turned = F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(grid, lambda r: F.coalesce(F.get(r, j), F.lit(""))))).otherwise(F.array().cast("array<array<string>>"))
-    none = F.array().cast("array<string>")
-    return F.struct(table["title"].alias("title"), F.coalesce(F.get(turned, 0), none).alias("headers"), F.slice(turned, F.lit(2), F.greatest(F.size(turned), F.lit(1))).alias("rows"))
+    def turned(grid: Column) -> Column:
+        width = F.array_max(F.transform(grid, lambda r: F.size(r)))
+        swapped = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(grid, lambda r: F.coalesce(F.get(r, j), F.lit(""))))
+        return F.when(width > 0, swapped).otherwise(F.array().cast("array<array<string>>"))
+
+    def swap(table: Column) -> Column:
+        grid = F.concat(F.array(table["headers"]), table["rows"])
+        return F.struct(table["title"].alias("title"), let(grid, turned).alias("grid"))
+
+    return let(let(table, swap), lambda p: _shaped(p["title"], p["grid"]))
