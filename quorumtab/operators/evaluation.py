@@ -52,10 +52,13 @@ def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_th
     """Optimally matched datapoints: keys, key_score, t_value, p_value.
 
     A pair of tables is one row, with a matrix of key scores only where neither side's keys are all among the other's;
-    elsewhere matching equal keys is the optimum, and the only one.
+    elsewhere matching equal keys is the optimum, and the only one. Rows are few bytes and much work, so they are dealt
+    to a fixed number of tasks that adaptive execution doesn't join.
     """
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def side(points: DataFrame, name: str) -> DataFrame:
-        return points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "value"))).alias(name))
+        return points.repartition(tasks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "value"))).alias(name))
 
     both = side(targets, "t").join(side(predictions, "p"), keys)
     shared = F.size(F.array_intersect(F.col("t")["key"], F.col("p")["key"]))
