@@ -444,7 +444,7 @@ x AS (SELECT image_id, sample_idx, CASE WHEN abs(t - p) / t < 0.1 THEN abs(t - p
 s AS (SELECT image_id, sample_idx, 1 + sum(1 - pen) AS score, sum(pen) AS pen, count(*) + 1 AS np FROM x GROUP BY image_id, sample_idx),
 e AS (SELECT *, score <= 1 AS turned, ng + np AS total FROM s JOIN ng USING (image_id)),
 n AS (SELECT image_id || '-' || sample_idx AS pair_id, turned AS transposed, round(score / np, 6) AS "precision", round(score / ng, 6) AS recall, round(2 * score / total, 6) AS f1, round(200 * score / total, 6) AS correct,
-             round(CASE WHEN turned THEN 0.0 ELSE 200 * pen / total END, 6) AS value_errors, 0.0 AS label_errors,
+             round(CASE WHEN turned THEN 0.0 ELSE 200 * pen / total END, 6) AS value_errors, CAST(0 AS DOUBLE) AS label_errors,
              round(100.0 * CASE WHEN turned THEN ng - 1 ELSE ng - np END / total, 6) AS missing_datapoints, round(100.0 * CASE WHEN turned THEN np - 1 ELSE 0 END / total, 6) AS extra_datapoints FROM e)"""
 )
 
