@@ -207,11 +207,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = kept(sided(small), "join-edges")
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, threshold: Fraction, two: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of each set within a task, weighed by copies, and the root of its tree in a spanning forest of them.
 
-    Where there are two sides only pairs across them count. Sets go by size, so a set meets only those after it that are
-    not too large for the threshold.
+    For a tile of two blocks only pairs across its sides count, also where one of them is empty. Sets go by size, so a set
+    meets only those after it that are not too large for the threshold.
     """
     n = len(sets)
     links, root = np.zeros(n, np.int64), list(range(n))
@@ -222,7 +222,6 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, thresh
     sizes, sides_, ends = sizes[order], sides[order], np.cumsum(sizes[order])
     starts = ends - sizes
     mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, np.uint8)
-    two = (sides_ != sides_[0]).any() if n else False
     num, den = threshold.numerator, threshold.denominator
     reach = np.searchsorted(sizes, sizes * den // num, side="right")
 
@@ -277,7 +276,8 @@ def verified(docs: DataFrame, wanted: DataFrame, words: int, threshold: float) -
     tiles = tiles.select("task", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp", "block", "unit", "copies", "text")
     limit = Fraction(str(threshold))
 
-    def compare(t: pa.Table) -> pa.Table:
+    def compare(tile: tuple, t: pa.Table) -> pa.Table:
+        two = tile[1].as_py() != tile[2].as_py()
         shingles, out = Shingler(words), ([], [], [])
         comp, unit = t.column("comp").to_numpy(), t.column("unit").to_numpy()
         order = np.lexsort((unit, comp))
@@ -290,7 +290,7 @@ def verified(docs: DataFrame, wanted: DataFrame, words: int, threshold: float) -
         cuts = np.append(np.flatnonzero(np.append(True, comp[1:] != comp[:-1])), len(comp))
         for a, b in zip(cuts[:-1], cuts[1:]):
             sets = [shingles(texts[i].as_py()) for i in range(a, b)]
-            links, root = linked(sets, side[a:b], copies[a:b], limit)
+            links, root = linked(sets, side[a:b], copies[a:b], limit, two)
             some = np.flatnonzero(links)
             for values, got in zip(out, (unit[a:b][some], links[some], unit[a:b][root[some]])):
                 values.append(got)

@@ -69,6 +69,17 @@ def test_tiles_equal_all_pairs(spark, rows, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in joined(df).collect()) == brute(rows)
 
 
+def test_empty_blocks_count_no_link_twice(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 60)  # two blocks for each pair below, one of them often empty
+    rng, rows = random.Random(6), []
+    for g in range(24):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in joined(df).collect())
+    assert got == brute(rows) and {n for _, _, n in got} == {1}
+
+
 def test_survivors(spark, rows):
     twice = rows + rows[:50] + [(None, "no id of its own at all"), (None, "no id of its own at all")]
     df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(twice)], "doc_id long, text string, class_id long")
