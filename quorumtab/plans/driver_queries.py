@@ -291,10 +291,11 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber = 1 THEN 0.0 WHEN
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's first sample as the truth, and the second as the prediction."""
+    """Each supplier's first sample as the truth, and each further one as a prediction: pair_id is supplier and sample."""
     t = candidate_tables(spark, sf_dir)
-    both = t.filter("sample_idx < 2").groupBy("image_id").agg(F.min_by("tsv_data", "sample_idx").alias("gt_answer"), F.max_by("tsv_data", "sample_idx").alias("model_answer"))
-    return both.withColumnRenamed("image_id", "pair_id")
+    first = t.groupBy("image_id").agg(F.min("sample_idx").alias("first"), F.min_by("tsv_data", "sample_idx").alias("gt_answer"))
+    both = t.join(first, "image_id").filter("sample_idx > first")
+    return both.select(F.concat_ws("-", "image_id", "sample_idx").alias("pair_id"), "gt_answer", F.col("tsv_data").alias("model_answer"))
 
 
 def q_rms_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
