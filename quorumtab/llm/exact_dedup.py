@@ -1,64 +1,75 @@
 """Exact duplicates by a content sort.
 
-The rows are range-partitioned between sampled splitters on a short routing key of the normalised bytes, every
-partition is sorted externally so that equal texts stand next to each other, and neighbours are compared in full.
-
-Routing key: the first 32 normalised characters, a hash of the whole case-folded text, and a salt. Splitters thus have
-a bounded size however long texts are; the hash comes from a coarser folding than the normalisation, so equal texts
-always share it, and the comparison of neighbours looks at whole normalised texts. A text with so many copies that they
-would fill more than its share of a partition ("hot") gets a salt from its id, so its copies lie in as many ranges as
-they need; the totals of such groups come from a partial aggregation.
-
-Null counts as empty; empty texts are one group. Of rows with one id and one text all are returned, and all are kept
-when that id is the group's. An empty table gives an empty result. content_sort() ignores other columns; survivors()
+Sampled splitters range-partition the rows by the head of their normalised text (HEAD characters, so that splitters have a
+bounded size however long texts are), every partition is sorted externally by the whole normalised text, so that equal
+texts stand next to each other, and neighbours are compared in full.
+
+Only where one head or one text has more rows than its share of a partition are rows told apart further. A hot head is
+cut by a hash of the whole text, which equal texts share (it comes from a coarser folding than the normalisation). A text
+with so many copies is dealt by its ids, so its copies lie in as many ranges as they need; each range then has one best
+row for it, and those few are compared by digest. Hot heads and texts are found by one count of hashes with partial
+aggregation; there are at most four for each partition, so they are broadcast.
+
+Null counts as empty; empty texts are one group. Of rows with one id and one text all are returned and one of them is
+kept when that id is the group's. An empty table gives an empty result. content_sort() ignores other columns; survivors()
 carries them along, and gives a null text that stays back as an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumtab.llm.common import lower_ascii, pick, task_count, whole
+from quorumtab.llm.common import kept, lower_ascii, pick, task_count, whole
+
+HEAD = 64
+#: A partition's share of the rows is never set lower than this.
+LEAST_SHARE = 64
+
 
-#: Up to this many rows of hot totals are broadcast (56 bytes each); more take a shuffled join.
-BROADCAST_ROWS = 200_000
+def _hot(rows: DataFrame, head: Column, fold: Column) -> DataFrame:
+    """(hot, ways): hashes of heads and of texts with more rows than a share, and into how many parts they are dealt."""
+    share = max(LEAST_SHARE, rows.count() // (2 * task_count(rows.sparkSession)))
+    counts = rows.select(F.explode(F.array(head, fold)).alias("hot")).groupBy("hot").count().filter(F.col("count") > share)
+    return kept(counts.select("hot", F.ceil(F.col("count") / share).cast("int").alias("ways")), "dedup-hot")
 
 
 def _runs(rows: DataFrame, keep: str, carried: list[str]) -> DataFrame:
-    """rows (doc_id, text, carried...) with keep_id, group_size, text_sha256, and place: 1 for one row of its group's part."""
+    """rows (doc_id, text, carried...) with keep_id, group_size, text_sha256, parts (null: the text isn't hot), and place: 1 for the best row here."""
     best = {"smallest": F.min, "largest": F.max}[keep]
-    rows = rows.withColumn("text", whole(F.col("text"))).withColumn("fold", F.xxhash64(F.lower("text")))
-    rows = rows.withColumn("head", lower_ascii(F.substring("text", 1, 32)))
-
-    parts = task_count(rows.sparkSession)
-    share = max(64, rows.count() // (2 * parts))  # so at most 2 * parts texts are hot
-    hot = rows.groupBy("fold").count().filter(F.col("count") > share)
-    hot = hot.select("fold", F.ceil(F.col("count") / share).cast("int").alias("salts"))
-    salted = rows.join(F.broadcast(hot), "fold", "left")
-    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).cast("int"))
-
-    key = ["head", "fold", "salt"]
-    ranged = salted.repartitionByRange(*key).withColumn("norm", lower_ascii(F.col("text")))
+    rows = rows.withColumn("text", whole(F.col("text")))
+    rows = rows.withColumn("head", lower_ascii(F.substring("text", 1, HEAD))).withColumn("fold", F.xxhash64(F.lower("text")))
+    head = F.xxhash64("head", F.lit("head"))
+    hot = F.broadcast(_hot(rows, head, F.col("fold")))
+    rows = rows.withColumn("head_hash", head).join(hot.select(F.col("hot").alias("head_hash"), F.col("ways").alias("cuts")), "head_hash", "left")
+    rows = rows.join(hot.select(F.col("hot").alias("fold"), F.col("ways").alias("parts")), "fold", "left")
+    rows = rows.withColumn("cut", F.coalesce(F.pmod("fold", F.col("cuts")), F.lit(0)).cast("int"))
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")) + 1, F.lit(0)).cast("int"))
+
+    key = ["head", "cut", "part"]
+    ranged = rows.repartitionByRange(*key).withColumn("norm", lower_ascii(F.col("text")))
     sort = Window.partitionBy(*key).orderBy("norm")
     run = Window.partitionBy(*key, "run")
     first = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
-    runs = (
+    return (
         ranged.withColumn("starts", F.coalesce((F.lag("norm").over(sort) != F.col("norm")).cast("int"), F.lit(0)))
         .withColumn("run", F.sum("starts").over(sort.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("doc_id", *carried, "fold", *key[:1], "salt", "run", F.sha2("norm", 256).alias("text_sha256"))
+        .select("doc_id", *carried, *key, "run", "parts", F.sha2("norm", 256).alias("text_sha256"))
         .withColumn("place", F.row_number().over(run.orderBy(first)))
         .withColumn("keep_id", best("doc_id").over(run))
         .withColumn("group_size", F.count(F.lit(1)).over(run))
+        .drop(*key, "run")
     )
-    if hot.isEmpty():
-        return runs
-    of_hot = rows.join(F.broadcast(hot), "fold").groupBy("fold", F.sha2(lower_ascii(F.col("text")), 256).alias("text_sha256"))
-    totals = of_hot.agg(best("doc_id").alias("all_id"), F.count(F.lit(1)).alias("all_size"))
-    small = totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = runs.join(F.broadcast(totals) if small else totals, ["fold", "text_sha256"], "left")
-    both = both.withColumn("keep_id", F.coalesce("all_id", "keep_id"))
-    return both.withColumn("group_size", F.coalesce("all_size", "group_size"))
+
+
+def _whole_groups(runs: DataFrame, keep: str) -> DataFrame:
+    """_runs() rows, kept, with keep_id and group_size over all parts of a hot text: at most two parts a partition in all."""
+    best = {"smallest": F.min, "largest": F.max}[keep]
+    parts = runs.filter((F.col("place") == 1) & F.col("parts").isNotNull()).groupBy("text_sha256")
+    totals = parts.agg(best("keep_id").alias("all_id"), F.sum("group_size").alias("all_size"))
+    both = runs.join(F.broadcast(totals), "text_sha256", "left")
+    both = both.withColumn("keep_id", F.when(F.col("all_size").isNull(), F.col("keep_id")).otherwise(F.col("all_id")))
+    return both.withColumn("group_size", F.coalesce("all_size", "group_size")).drop("all_id", "all_size")
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -66,8 +77,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep: "smallest" or "largest" id of a group of equal texts stays.
     """
-    out = _runs(pick(docs, doc_id=id_col, text=text_col), keep, [])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = _whole_groups(kept(_runs(pick(docs, doc_id=id_col, text=text_col), keep, []), "dedup-runs"), keep)
+    stays = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return out.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
 
 
 def survivors(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -77,7 +89,8 @@ def survivors(docs: DataFrame, keep: str = "largest") -> DataFrame:
     rows = rows.withColumns({"doc_id": F.col(own[cols.index("doc_id")]), "text": F.col(own[cols.index("text")])})
     rows = rows.drop(own[cols.index("text")])
     carried = [c for c in own if c != own[cols.index("text")]] + ["text"]
-    out = _runs(rows, keep, carried).filter((F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    out = kept(_runs(rows, keep, carried).filter("place = 1"), "dedup-runs")
+    out = _whole_groups(out, keep).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return out.select(*[F.col("text" if c == "text" else o).alias(c) for c, o in zip(cols, own)])
 
 
@@ -90,6 +103,6 @@ WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
   FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+       doc_id = max(doc_id) OVER w AND row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm)
 """

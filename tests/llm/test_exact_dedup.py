@@ -1,5 +1,6 @@
 import hashlib
 
+from quorumtab.llm import exact_dedup
 from quorumtab.llm.exact_dedup import content_sort, survivors
 
 ROWS = (
@@ -29,7 +30,26 @@ def test_groups_by_brute_force(spark):
             r = got[i]
             assert r.group_size == len(ids) and r.keep_id == best((x for x in ids if x is not None), default=None)
             assert r.text_sha256 == hashlib.sha256(lower(t).encode()).hexdigest()
-            assert r.kept == (i == r.keep_id)
+        for text, ids in groups.items():
+            mine = [r for r in out if r.text_sha256 == hashlib.sha256(text.encode()).hexdigest()]
+            assert [r.doc_id for r in mine if r.kept] == [best((x for x in ids if x is not None), default=None)]
+
+
+def test_hot_heads_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_SHARE", 4)
+    head = "The same Head of very many texts, longer than the characters that splitters see: "
+    rows = [(i, head + str(i % 120)) for i in range(300)] + [(1000 + i, (head + "HOT").upper() if i % 2 else head + "hot") for i in range(300)]
+    rows += [(5000, head + "hot"), (5000, head + "hot")] + [(None, head + "hot")] * 3 + [(2000 + i, f"own {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(lower(t), []).append(i)
+    out = content_sort(df, keep="largest").collect()
+    assert len(out) == len(rows) and sum(r.kept for r in out) == len(groups)
+    want = {hashlib.sha256(t.encode()).hexdigest(): (max(x for x in ids if x is not None), len(ids)) for t, ids in groups.items()}
+    assert {r.text_sha256: (r.keep_id, r.group_size) for r in out} == want
+    left = survivors(df).collect()
+    assert sorted(r.doc_id for r in left) == sorted(k for k, _ in want.values())
 
 
 def test_survivors_keep_columns_and_one_row(spark):
