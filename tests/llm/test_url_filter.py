@@ -1,4 +1,9 @@
-from quorumtab.llm.url_filter import JUNK_HOSTS, RULES, bloom_of, judge, possible_hits
+import pytest
+
+from quorumtab.llm import url_filter
+from quorumtab.llm.url_filter import RULES, bloom_of, judge, possible_hits
+
+LISTED = ["cheap-pills.example.com/en", "www.spam-farm.example.net", "foo.org", "a.com/df", "never.seen/at/all"]
 
 URLS = [
     None, "", "no scheme", "http://A.EXAMPLE.org/en/1?x", "http://example.org/en/2", "https://xexample.org/es/", "https://b.c.example.org/es/q#t",
@@ -17,14 +22,16 @@ def brute(url):
     path = path[: min((path.index(c) for c in "?#" if c in path), default=len(path))]
     fits = lambda h: host == h or host.endswith("." + h)
     best = max(((len(k), k, v) for k, v in RULES if fits(k.split("/")[0]) and path.startswith(k[k.index("/") :])), default=None)
-    return host, path, best and best[1], best[2] if best else "block" if any(map(fits, JUNK_HOSTS)) else "allow"
+    return host, path, best and best[1], best[2] if best else "block" if host and host + path.rstrip("/") in LISTED else "allow"
 
 
 def lists(spark):
-    return spark.createDataFrame(RULES, "key string, verdict string"), spark.createDataFrame([(h,) for h in JUNK_HOSTS], "host string")
+    return spark.createDataFrame(RULES, "key string, verdict string"), spark.createDataFrame([(u,) for u in LISTED], "url string")
 
 
-def test_verdicts_by_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_verdicts_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_BLOCKS", most)
     df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(URLS * 2)], "page_id long, url string, key string")
     out = judge(df, *lists(spark)).collect()
     assert len(out) == 2 * len(URLS)
@@ -32,7 +39,9 @@ def test_verdicts_by_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute((URLS * 2)[r.page_id])
 
 
-def test_filter_loses_no_listed_key_and_drops_most_others(spark):
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_filter_loses_no_listed_key_and_drops_most_others(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_BLOCKS", most)
     listed = spark.range(20_000).selectExpr("concat('h', id, '.org/') AS key")
     assert possible_hits(listed, listed, 20_000).count() == 20_000
     others = spark.range(20_000).selectExpr("concat('other', id, '.org/') AS key")
@@ -43,6 +52,6 @@ def test_filter_loses_no_listed_key_and_drops_most_others(spark):
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert judge(pages, *lists(spark)).count() == 0
-    rules, junk = (x.limit(0) for x in lists(spark))
+    rules, none = (x.limit(0) for x in lists(spark))
     one = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
-    assert judge(one, rules, junk).first().verdict == "allow"
+    assert judge(one, rules, none).first().verdict == "allow"
