@@ -1,30 +1,28 @@
 """Chat formatting by schema fingerprints.
 
-The nested field paths of a record, those that some layout knows, are sorted and hashed; the fingerprint picks one of
-the declarative mappings in LAYOUTS, which says where the turns are. So prompts with responses, instructions, and lists
-of messages all become canonical turns (conv_id, turn, role, text). A table of turns is recognised alike, by the paths
-of its schema. Records that match no mapping come back with a null role and the fingerprint, none is dropped.
+Records are JSON texts of several layouts. The nested field paths that a record holds, of those that some layout knows, are
+sorted and hashed; the fingerprint picks one of the declarative mappings in LAYOUTS, which says where the turns are. So
+prompts with responses, instructions, and lists of messages all become canonical turns (role, text). All of it is built-in
+expressions: a record is parsed once by the union of the layouts' fields. Records that match no mapping come back with
+null turns and their fingerprint, none is dropped.
 
-format_turns() writes a conversation as one string: START role newline text END newline for each turn. Control strings
+formatted() writes a conversation as one string: START role newline text END newline for each turn. Control strings
 inside roles and texts are escaped: backslashes are doubled, then each control string gets a backslash after its first
 letter, and a newline in a role becomes backslash and n; read_back() undoes it. The loss mask is the spans of the
 assistants' texts, in code points of the formatted string.
 
 Null roles and texts count as empty. Rows of a turn that occurs twice are ordered by role and text and all kept; a null
 turn comes first, and null ids are one conversation. An empty table gives an empty result. A conversation is one row of
-the output, so it must fit a row.
+the output, so it must fit a row. Other columns are ignored, also those that share a name but for its case.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quorumtab.llm.common import pick
 
@@ -43,14 +41,14 @@ LAYOUTS = {
     "prompt": {"needs": ["prompt", "response"], "may": ["system"], "fields": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
     "completion": {"needs": ["prompt", "completion"], "may": ["system"], "fields": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]},
     "question": {"needs": ["question", "answer"], "may": ["context"], "fields": [("user", ["context", "question"]), ("assistant", ["answer"])]},
-    "turn_rows": {"needs": ["conv_id", "turn", "role", "text"], "may": [], "row": ("conv_id", "turn", "role", "text")},
 }
-KNOWN = {p for layout in LAYOUTS.values() for p in (*layout["needs"], *layout["may"])}
+KNOWN = sorted({p for layout in LAYOUTS.values() for p in (*layout["needs"], *layout["may"])})
+TURNS = "array<struct<role:string,text:string>>"
 
 
 def fingerprint(paths: set[str]) -> str:
     """Hash of the sorted paths that some layout knows; other fields don't matter."""
-    return hashlib.sha256("\n".join(sorted(paths & KNOWN)).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(paths & set(KNOWN))).encode()).hexdigest()
 
 
 def registry() -> dict[str, str]:
@@ -63,70 +61,61 @@ def registry() -> dict[str, str]:
     return out
 
 
-def value_paths(value: object, at: str = "") -> set[str]:
-    """Paths of a parsed record's fields with a value that isn't null."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in value_paths(v, at + "[]")}
-    return set() if value is None else {at}
+def union_schema() -> str:
+    """The fields of all layouts, as strings."""
+    plain = [f"`{p}` string" for p in KNOWN if "[]" not in p]
+    lists: dict[str, list[str]] = {}
+    for p in KNOWN:
+        if "[]." in p:
+            lists.setdefault(p.split("[].")[0], []).append(p.split("[].")[1])
+    return ", ".join(plain + [f"`{name}` array<struct<{', '.join(f'`{f}`: string' for f in fields)}>>" for name, fields in lists.items()])
 
 
-def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
-    if isinstance(kind, T.StructType):
-        return {p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)}
-    if isinstance(kind, T.ArrayType):
-        return schema_paths(kind.elementType, at + "[]")
-    return {at}
+def held(record: Column, path: str) -> Column:
+    """Whether a parsed record has a value that isn't null at a path."""
+    name, _, field = path.partition("[].")
+    return F.exists(record[name], lambda x: x[field].isNotNull()) if field else record[name].isNotNull()
 
 
-def mapped(record: dict, layout: dict) -> list[tuple[str, str]]:
-    """The turns that a layout's mapping finds in a record."""
-    text = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
+def mapped(record: Column, layout: dict) -> Column:
+    """The turns that a layout's mapping finds in a parsed record."""
+    canonical = lambda r: F.coalesce(*[F.when(r == a, F.lit(b)) for a, b in ROLES.items()], r, F.lit(""))
+    turn = lambda role, text: F.struct(canonical(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if "list" in layout:
         name, role, said = layout["list"]
-        found = [(text(m.get(role)), text(m.get(said))) for m in record[name] if isinstance(m, dict)]
-    elif "row" in layout:
-        found = [(text(record[layout["row"][2]]), text(record[layout["row"][3]]))]
-    else:
-        parts = [(role, [text(record[f]) for f in names if record.get(f) is not None]) for role, names in layout["fields"]]
-        found = [(role, "\n\n".join(p for p in said if p)) for role, said in parts if said]
-    return [(ROLES.get(role, role), said) for role, said in found]
-
-
-def turns_of_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
-    """JSON records as turns: conv_id, turn, role, text, layout, fingerprint. Unmatched ones: one row, role and text null."""
-    rows = pick(records, conv_id=id_col, record=record_col)
-    known = registry()
-
-    def turns(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for raw in texts:
-            try:
-                record = json.loads(raw or "null")
-            except ValueError:
-                record = None
-            print_ = fingerprint(value_paths(record) if isinstance(record, dict) else set())
-            name = known.get(print_)
-            said = mapped(record, LAYOUTS[name]) if name else []
-            out.append((name, print_, [{"role": r, "text": t} for r, t in said]))
-        return pd.DataFrame(out, columns=["layout", "fingerprint", "turns"])
-
-    parse = F.pandas_udf(turns, "layout string, fingerprint string, turns array<struct<role:string,text:string>>")
-    got = rows.withColumn("got", parse("record")).select("conv_id", "got.*", F.posexplode_outer("got.turns").alias("turn", "said"))
+        return F.transform(F.filter(record[name], lambda m: m.isNotNull()), lambda m: turn(m[role], m[said]))
+    turns = []
+    for role, names in layout["fields"]:
+        some = F.coalesce(*[record[f] for f in names]).isNotNull()
+        turns.append(F.when(some, turn(F.lit(role), F.concat_ws("\n\n", *[F.nullif(record[f], F.lit("")) for f in names]))))
+    return F.filter(F.array(*turns), lambda t: t.isNotNull())
+
+
+def conversations_of(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
+    """JSON records as conversations: conv_id, turns (array of role, text; null where no mapping fits), layout, fingerprint."""
+    rows = pick(records, conv_id=id_col, record=record_col).select("conv_id", F.from_json("record", union_schema()).alias("r"))
+    paths = F.filter(F.array(*[F.when(held(F.col("r"), p), F.lit(p)) for p in KNOWN]), lambda p: p.isNotNull())
+    rows = rows.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256))
+    known = F.create_map(*[F.lit(x) for pair in registry().items() for x in pair])
+    rows = rows.withColumn("layout", F.try_element_at(known, F.col("fingerprint")))
+    turns = F.lit(None).cast(TURNS)
+    for name, layout in LAYOUTS.items():
+        turns = F.when(F.col("layout") == name, mapped(F.col("r"), layout).cast(TURNS)).otherwise(turns)
+    return rows.select("conv_id", turns.alias("turns"), "layout", "fingerprint")
+
+
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """conversations_of() with a row for each turn: conv_id, turn, role, text, layout, fingerprint; one with nulls where there is none."""
+    got = conversations.select("conv_id", "layout", "fingerprint", F.posexplode_outer("turns").alias("turn", "said"))
     return got.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), "said.role", "said.text", "layout", "fingerprint")
 
 
-def turns_of_table(table: DataFrame) -> DataFrame:
-    """A table with a row for each turn, recognised by its schema's fingerprint: conv_id, turn, role, text."""
-    paths = schema_paths(table.schema)
-    name = registry().get(fingerprint(paths & set(LAYOUTS["turn_rows"]["needs"]) if set(LAYOUTS["turn_rows"]["needs"]) <= paths else paths))
-    if name is None or "row" not in LAYOUTS[name]:
-        raise ValueError(f"no row layout has the paths {sorted(paths)}")
-    conv, turn, role, text = LAYOUTS[name]["row"]
-    rows = pick(table, conv_id=conv, turn=turn, role=role, text=text)
-    role = F.coalesce(*[F.when(F.col("role") == a, F.lit(b)) for a, b in ROLES.items()], "role", F.lit(""))
-    return rows.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def gathered(table: DataFrame) -> DataFrame:
+    """A table of turns (conv_id, turn, role, text) as conversations: conv_id, turns in order."""
+    rows = pick(table, "conv_id", "turn", "role", "text")
+    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    each = rows.select("conv_id", row.alias("row")).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return each.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -142,12 +131,13 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss (array of spans s, e)."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
-    row = F.struct("turn", role.alias("role"), text.alias("text"), head.alias("head"), escaped(text).alias("body"))
-    each = turns.select("conv_id", row.alias("row")).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+def formatted(conversations: DataFrame) -> DataFrame:
+    """One row per conversation (conv_id, turns): conv_id, formatted, loss (array of spans s, e)."""
+    def parts(t: Column) -> Column:
+        head = F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+        return F.struct(t["role"].alias("role"), head.alias("head"), escaped(t["text"]).alias("body"))
+
+    each = conversations.select("conv_id", F.transform(F.coalesce("turns", F.array().cast(TURNS)), parts).alias("rows"))
     joined = F.array_join(F.transform("rows", lambda r: F.concat(r["head"], r["body"], F.lit(END + "\n"))), "")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("loss"))
 
@@ -160,8 +150,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return each.select("conv_id", joined.alias("formatted"), F.aggregate("rows", start, step, lambda acc: acc["loss"]).alias("loss"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """format_turns() rows with what their strings say: turns (array of role, text) and loss_text, unescaped."""
+def read_back(strings: DataFrame) -> DataFrame:
+    """formatted() rows with what their strings say: turns (array of role, text) and loss_text, unescaped."""
     pieces = F.filter(F.split("formatted", F.lit(r"<\|im_end\|>\n"), -1), lambda p: p != "")
     body = lambda p: F.substring(p, len(START) + 1, F.char_length(p))
     turn = lambda p: F.struct(
@@ -169,14 +159,45 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
     turns = F.transform(F.transform(pieces, body), turn)
     loss = F.transform("loss", lambda x: unescaped(F.substring(F.col("formatted"), (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int"))))
-    return formatted.withColumns({"turns": turns, "loss_text": F.array_join(loss, "")})
+    return strings.withColumns({"turns": turns, "loss_text": F.array_join(loss, "")})
+
+
+def mixed_records(conversations: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turns) written as JSON records of all layouts: conv_id, record. What a mixed crawl looks like.
+
+    A question with its answer takes one of the four layouts that say no more than that, with a system text before it one
+    of three, and all others a list of messages in one of three layouts; a hash of conv_id chooses.
+    """
+    turns, pick_of = F.col("turns"), lambda n: F.pmod(F.xxhash64("conv_id"), F.lit(n))
+    roles = F.transform(turns, lambda t: t["role"])
+    is_ = lambda *want: roles == F.array(*[F.lit(w) for w in want])
+    text = lambda i: F.get(turns, i)["text"]
+    record = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+    def messages(name: str, role: str, said: str, odd: dict[str, str]) -> Column:
+        called = lambda r: F.coalesce(*[F.when(r == a, F.lit(b)) for a, b in odd.items()], r)
+        return record(**{name: F.transform(turns, lambda t: F.struct(called(t["role"]).alias(role), t["text"].alias(said)))})
+
+    two, three = is_("user", "assistant"), is_("system", "user", "assistant")
+    out = F.when(two & (pick_of(4) == 0), record(prompt=text(0), response=text(1), id=F.lit(7)))
+    out = out.when(two & (pick_of(4) == 1), record(prompt=text(0), completion=text(1)))
+    out = out.when(two & (pick_of(4) == 2), record(instruction=text(0), output=text(1)))
+    out = out.when(two, record(question=text(0), answer=text(1)))
+    out = out.when(three & (pick_of(3) == 0), record(system=text(0), prompt=text(1), response=text(2)))
+    out = out.when(three & (pick_of(3) == 1), record(system=text(0), prompt=text(1), completion=text(2)))
+    out = out.when(three, record(system=text(0), instruction=text(1), output=text(2)))
+    out = out.when(pick_of(3) == 0, messages("messages", "role", "content", {"": ""}))
+    out = out.when(pick_of(3) == 1, messages("conversations", "from", "value", {"user": "human", "assistant": "gpt"}))
+    return conversations.select("conv_id", out.otherwise(messages("dialog", "speaker", "text", {"assistant": "bot"})).alias("record"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations as records of mixed layouts, recognised, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     stored = pick(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
-    out = read_back(format_turns(turns_of_table(stored.unionByName(extra))))
+    records = mixed_records(gathered(stored.unionByName(extra)))
+    out = read_back(formatted(conversations_of(records)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -3,7 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quorumtab.llm.chat import CONTROLS, END, START, format_turns, read_back, turns_of_records, turns_of_table
+from quorumtab.llm.chat import CONTROLS, END, LAYOUTS, START, conversations_of, fingerprint, formatted, gathered, mixed_records, read_back, turns_of
 
 NASTY = st.lists(st.sampled_from([*CONTROLS, "\\", "\n", "n", "<", "|", "im_end", "|>", "s", ">", "[", "é", "😀", " ", "<\\", "\\n"]), max_size=12).map("".join)
 
@@ -18,8 +18,8 @@ def test_escaping_is_reversible(spark):
 
     gather()
     rows = [(i // 3, i % 3, r, t) for i, (r, t) in enumerate(made)]
-    formatted = format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    for r in read_back(formatted).collect():
+    strings = formatted(gathered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    for r in read_back(strings).collect():
         want = [(a, b) for c, _, a, b in rows if c == r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == want
         assert r.formatted.count(START) == r.formatted.count(END) == len(want)
@@ -30,12 +30,13 @@ def test_escaping_is_reversible(spark):
 def test_table_rows_with_nulls_ties_and_clashing_columns(spark):
     rows = [(1, 0, "user", None, "x"), (1, 0, "user", None, "x"), (1, 1, "gpt", "hi", "y"), (2, None, None, "t" * 100_000, "z"), (None, 0, "assistant", "", "q")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss string")
-    out = {r.conv_id: r for r in read_back(format_turns(turns_of_table(df))).collect()}
+    through = lambda df: read_back(formatted(conversations_of(mixed_records(gathered(df)))))
+    out = {r.conv_id: r for r in through(df).collect()}
     assert [(t.role, t.text) for t in out[1].turns] == [("user", ""), ("user", ""), ("assistant", "hi")] and out[1].loss_text == "hi"
     assert [(t.role, len(t.text)) for t in out[2].turns] == [("", 100_000)]
     s = out[1].loss[0]
     assert out[1].formatted[s.s : s.e] == "hi"
-    assert out[None].loss_text == "" and read_back(format_turns(turns_of_table(df.limit(0)))).count() == 0
+    assert out[None].loss_text == "" and through(df.limit(0)).count() == 0
 
 
 def test_fingerprints_choose_mappings(spark):
@@ -47,9 +48,22 @@ def test_fingerprints_choose_mappings(spark):
     ]
     raw = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, "not json"), (91, None), (92, "[1]")]
     got = {}
-    for r in turns_of_records(spark.createDataFrame(raw, "conv_id long, record string")).orderBy("conv_id", "turn").collect():
+    for r in turns_of(conversations_of(spark.createDataFrame(raw, "conv_id long, record string"))).orderBy("conv_id", "turn").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
     pair = [("user", "a"), ("assistant", "b")]
     assert got[0] == got[1] == got[2] == got[4] == got[5] == pair
     assert got[3] == [("system", "s"), ("user", "a\n\nc"), ("assistant", "b")] and got[7] == [("assistant", "b")]
     assert got[6] == got[90] == got[91] == got[92] == [(None, None)]
+
+
+def test_mixed_records_use_all_layouts_and_come_back(spark):
+    plain, turns = ["x", "", 'q"\\', "é\n\t\x01", "</s>", "[INST]"], []
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user"], ["user", "assistant", "user", "assistant"], ["tool", "assistant"]]
+    for c in range(200):
+        turns += [(c, i, role, plain[(c + i) % len(plain)]) for i, role in enumerate(shapes[c % len(shapes)])]
+    records = mixed_records(gathered(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    got = conversations_of(records).collect()
+    assert {r.layout for r in got} == set(LAYOUTS)
+    for r in got:
+        assert [(t.role, t.text) for t in r.turns] == [(a, b) for c, _, a, b in turns if c == r.conv_id]
+        assert r.fingerprint == fingerprint({*LAYOUTS[r.layout]["needs"], *({"system"} if len(r.turns) == 3 else set())})
