@@ -2,18 +2,26 @@
 
 1. Each text gets a label of LABEL min-hashes in each of TREES trees. Equal texts are one unit from here on.
 2. Forest: a tree is its labels in sorted order, a prefix trie laid flat; range partitioning sorts all trees at once and
-   neighbours tell how long a prefix they share. The length that must match starts at the whole label and is shortened
-   until a pair at the threshold shares it in some tree with the target recall (with 32 trees and 0.9999: 6 of 8), and
-   a pair more alike is found more surely. A run of neighbours over that prefix is a node of the trie; a node links its
-   members to its first one, so candidates grow with the rows and not with the square of a node.
-3. The candidates' connected components are what is verified: within one, every pair of texts that the threshold lets
-   have their sizes is compared exactly (on 64-bit shingle hashes), in tasks for many small components, or for tiles of
-   two blocks of a large one, of bounded size. A task gives counts and a spanning forest of links, never the pairs.
+   neighbours tell how long a prefix they share. Each unit is linked to the first one of the deepest node of the trie that
+   it shares with those before it, so links grow with the rows and not with the square of a node, and those of k values or
+   more join all nodes at depth k.
+3. Matching starts at whole labels. What a depth joins is verified exactly (on 64-bit shingle hashes), which gives each
+   unit its links with their similarities s. A pair of similarity s shares a prefix of k values in some tree with the
+   probability p(k, s) = 1 - (1 - s**k)**TREES, so every link found stands for 1 / p(k, s) links there are, and one more at
+   the threshold is assumed for each unit: its recall is (links + p(k, threshold)) / (sum of 1 / p(k, s) + 1). Units that
+   have reached the target recall stop; the others' prefixes are shortened by a value, and only pairs with such a unit are
+   compared, until all have reached it. With 32 trees and 0.9999 a unit with 28 close links or more stops at 8 values,
+   with 5 or more at 7, and all at 6, where a single pair at the threshold reaches the target.
 4. Links found give the final classes.
 
+Verification is by groups of joined nodes: a task takes many small groups, or a tile of two blocks of a large one. Blocks
+grow with the root of a group, so a text is copied as often as the root of its group's size, and units that have stopped
+meet only the blocks of those that haven't. A task counts links and gives a spanning forest of them, never the pairs;
+in groups of many texts only those that share one of their rarest shingles are compared (prefix filter).
+
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged; a text of one to four words is one shingle. A text without words (null,
 empty, blank) links with nothing, copies of it neither. Repeated rows count as copies; ids may be null or repeat. An
-empty table gives an empty result; other columns are ignored. An edge's recall is that of step 2, 0.9999 at 0.8.
+empty table gives an empty result; other columns are ignored. An edge's recall is that of step 3, 0.9999 at 0.8.
 """
 
 from __future__ import annotations
@@ -35,20 +43,27 @@ THRESHOLD = 0.8
 TREES = 32
 LABEL = 8
 RECALL = 0.9999
-#: A tile compares at most about this many texts, or shingles, on either side.
+#: A block holds about this many texts, more as the root of its group's size, and so many shingles at most but for a longest text.
 BLOCK_TEXTS = 400
-BLOCK_SHINGLES = 600_000
+BLOCK_GROWTH = 10
+BLOCK_SHINGLES = 2_000_000
+#: A task of small groups has about so many texts or shingles.
+TASK_TEXTS = 800
+TASK_SHINGLES = 1_200_000
+#: In groups of more texts than this the prefix filter is worth its index.
+INDEXED = 64
 #: Up to this many rows of keys (48 bytes each) are broadcast; more take a shuffled join.
 BROADCAST_KEYS = 200_000
 SIGNED_AT_ONCE = 1 << 15
 
 
-def recall(length: int, similarity: float, trees: int = TREES) -> float:
+def recall(length: int, similarity: float | np.ndarray, trees: int = TREES) -> float | np.ndarray:
     """How surely a pair of that similarity shares a prefix of that length in some tree."""
     return 1 - (1 - similarity**length) ** trees
 
 
 def matched_length(threshold: float, target: float, trees: int = TREES, label: int = LABEL) -> int:
+    """The length at which a single pair at the threshold reaches the target, so no prefix needs to be shorter."""
     for length in range(label, 1, -1):
         if recall(length, threshold, trees) >= target:
             return length
@@ -134,54 +149,70 @@ def signed(rows: DataFrame, words: int, trees: int, label: int) -> DataFrame:
     return rows.withColumn("key", key_of(F.col("text"))).select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key binary, n bigint, label binary")
 
 
-def trie_links(units: DataFrame, length: int, trees: int, label: int) -> DataFrame:
-    """Candidate links (a, b) of units (unit, label): each node of the sorted tries links its members to its first one."""
+def trie_links(units: DataFrame, least: int, trees: int, label: int) -> DataFrame:
+    """Links (a, b, level) of units (unit, label): b shares `level` values with a, the first unit of their node at that depth."""
     spark = units.sparkSession
     width = 2 * label
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("label"), t * width + 1, F.lit(width)))).alias("tree", "leaf")
     leaves = units.select("unit", tree)
     sort = ["tree", "leaf", "unit"]
+    levels = range(least, label + 1)
+
+    def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many leading values rows of leaf bytes share, -1 where their first byte, the tree, differs."""
+        same = x[:, 1:].reshape(len(x), label, 2) == y[:, 1:].reshape(len(y), label, 2)
+        deep = np.cumprod(same.all(axis=2), axis=1).sum(axis=1)
+        return np.where(x[:, 0] == y[:, 0], deep, -1)
 
     def walk(batches: Iterator) -> Iterator:
-        """Runs of equal prefixes within a sorted partition; its two ends also come out, for runs that go on elsewhere."""
+        """Links within a sorted partition; its two ends also come out, for nodes that go on elsewhere."""
         from pyspark import TaskContext
 
-        head = last = first = None
-        size = 2 * length
-        none = pa.array([], pa.int64())
+        heads, last, first = {}, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree = batch.column("tree").to_numpy(zero_copy_only=False).astype(np.int64)
-            leaf = np.frombuffer(b"".join(batch.column("leaf").to_pylist()), np.uint8).reshape(-1, width)[:, :size]
-            unit = batch.column("unit").to_numpy(zero_copy_only=False)
-            new = np.ones(len(unit), bool)
-            new[1:] = (tree[1:] != tree[:-1]) | (leaf[1:] != leaf[:-1]).any(axis=1)
-            node = lambda i: (int(tree[i]), leaf[i].tobytes())  # noqa: B023, E731
-            new[0] = last is None or last != node(0)
-            starts = np.flatnonzero(new)
-            heads = np.full(len(unit), -1 if head is None else head, np.int64)
-            if len(starts):
-                heads[starts[0] :] = np.repeat(unit[starts], np.diff(np.append(starts, len(unit))))
-            first = first or (node(0), int(unit[0]))
-            head, last = int(heads[-1]), node(-1)
-            on = heads != unit
-            yield table(heads[on], unit[on], none)
+            tree = batch.column("tree").to_numpy(zero_copy_only=False).astype(np.uint8)
+            leaf = np.frombuffer(b"".join(batch.column("leaf").to_pylist()), np.uint8).reshape(-1, width)
+            node = np.concatenate([tree[:, None], leaf], axis=1)
+            unit = batch.column("unit").to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.concatenate([node[:1] if last is None else last, node[:-1]])
+            deep = shared(before, node)
+            if last is None:
+                deep[0], first = -1, (node[0].tobytes(), int(unit[0]))
+            index, links = np.arange(len(unit)), []
+            for k in levels:
+                start = np.where(deep < k, index, -1)
+                at = np.maximum.accumulate(start)
+                head = np.where(at >= 0, unit[at], heads.get(k, -1))
+                on = np.flatnonzero((deep == k) & (head != unit))
+                links.append((head[on], unit[on], np.full(len(on), k)))
+                heads[k] = int(head[-1])
+            last = node[-1:]
+            yield table(*(np.concatenate(x) for x in zip(*links)))
         if first:
             at = TaskContext.get().partitionId()
-            ends = [(first[0], first[1]), (last, head)]
-            yield table(np.array([x[1] for x in ends]), np.array([x[1] for x in ends]), pa.array([2 * at, 2 * at + 1], pa.int64()), [bytes([x[0][0]]) + x[0][1] for x in ends])
+            ends = [(first[1], -1, 2 * at, first[0]), *((heads[k], k, 2 * at + 1, last.tobytes()) for k in levels)]
+            a, k, end, nodes = zip(*ends)
+            yield table(a, a, k, end, nodes)
 
-    def table(a, b, end, leaves=()) -> pa.RecordBatch:
+    def table(a, b, level, end=None, node=None) -> pa.RecordBatch:
         n = len(a)
-        end = end if len(end) else pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), end, pa.array(list(leaves) or [None] * n, pa.binary())], ["a", "b", "end", "node"])
+        end, node = pa.array(end, pa.int64()) if end else pa.nulls(n, pa.int64()), pa.array(node, pa.binary()) if node else pa.nulls(n, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(level, pa.int32()), end, node], ["a", "b", "level", "end", "node"])
 
     ranged = leaves.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    found = kept(ranged.mapInArrow(walk, "a bigint, b bigint, end bigint, node binary"), "join-trie")
-    ends = [(r.node, r.a) for r in found.filter("end IS NOT NULL").orderBy("end").collect()]  # two rows a partition
-    over = [(x[1], y[1]) for x, y in zip(ends, ends[1:]) if x[0] == y[0] and x[1] != y[1]]
-    return found.filter("end IS NULL").select("a", "b").unionByName(spark.createDataFrame(over, "a bigint, b bigint")).distinct()
+    found = kept(ranged.mapInArrow(walk, "a bigint, b bigint, level int, end bigint, node binary"), "join-trie")
+    over, heads, last = [], {}, None
+    for r in found.filter("end IS NOT NULL").orderBy("end", "level").collect():  # a few rows a partition
+        node = np.frombuffer(bytes(r.node), np.uint8)[None]
+        if r.end % 2 == 0:
+            deep = int(shared(last, node)[0]) if last is not None else -1
+            if deep >= least and heads[deep] != r.a:
+                over.append((heads[deep], r.a, deep))
+        else:
+            heads[r.level], last = r.a, node
+    return found.filter("end IS NULL").select("a", "b", "level").unionByName(spark.createDataFrame(over, "a bigint, b bigint, level int"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,31 +230,85 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("hi").alias("unit"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("unit"), F.col("lo").alias("root")).distinct())
         before = state
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "join-least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = kept(sided(large), "join-large")
-        least = kept(large.groupBy("hi").agg(F.min("lo").alias("m")), "join-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = sided(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("hi").alias("a"), F.col("m").alias("b")))
         edges = kept(sided(small), "join-edges")
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, threshold: Fraction, two: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set within a task, weighed by copies, and the root of its tree in a spanning forest of them.
-
-    For a tile of two blocks only pairs across its sides count, also where one of them is empty. Sets go by size, so a set
-    meets only those after it that are not too large for the threshold.
+class Sets:
+    """The shingle sets of a group by size, and which later ones a set can be like."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: Fraction) -> None:
+        self.num, self.den = threshold.numerator, threshold.denominator
+        sizes = np.array([len(s) for s in sets], np.int64)
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes, self.ends = sizes[self.order], np.cumsum(sizes[self.order])
+        self.starts = self.ends - self.sizes
+        _, flat, counts = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)
+        self.flat, self.mark = flat, np.zeros(len(counts), np.uint8)
+        self.low = np.searchsorted(self.sizes, -(-self.sizes * self.num // self.den), side="left")
+        self.reach = np.searchsorted(self.sizes, self.sizes * self.den // self.num, side="right")
+        self.posted = None
+        if len(sets) > INDEXED:
+            self._index(counts)
+
+    def _index(self, counts: np.ndarray) -> None:
+        """Postings of each set's rarest shingles: two sets that are alike share one of them."""
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        ranks = rank[self.flat]
+        by = np.lexsort((ranks, of))
+        most = self.sizes - -(-self.sizes * self.num // self.den) + 1
+        rare = np.arange(len(of)) - self.starts[of] < most[of]
+        self.rarest, self.rare_ends = ranks[by][rare], np.cumsum(most)
+        owners = of[rare]  # by keeps the sets' order, so of[by] is of
+        turn = np.lexsort((owners, self.rarest))
+        self.posted = owners[turn]
+        self.post_ends = np.cumsum(np.bincount(self.rarest, minlength=len(counts)))
+
+    def candidates(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Sets from lo to hi that may be like set i: all of them, or where that is less work those with a rare shingle in common."""
+        if self.posted is not None:
+            end = self.rare_ends[i]
+            mine = self.rarest[end - (self.sizes[i] - -(-self.sizes[i] * self.num // self.den) + 1) : end]
+            ends = self.post_ends[mine]
+            starts = np.where(mine > 0, self.post_ends[mine - 1], 0)
+            if 4 * int((ends - starts).sum()) < int(self.ends[hi - 1] - self.starts[lo]):
+                found = np.unique(np.concatenate([self.posted[a:b] for a, b in zip(starts, ends)]))
+                return found[(found >= lo) & (found < hi) & (found != i)]
+        every = np.arange(lo, hi)
+        return every[every != i] if lo <= i < hi else every
+
+    def shared(self, i: int, js: np.ndarray) -> np.ndarray:
+        """How many shingles set i has in common with each of some sets, in order."""
+        own = self.flat[self.starts[i] : self.ends[i]]
+        self.mark[own] = 1
+        if js[-1] - js[0] + 1 == len(js):
+            hits = self.mark[self.flat[self.starts[js[0]] : self.ends[js[-1]]]]
+        else:
+            hits = self.mark[self.flat[np.concatenate([np.arange(self.starts[j], self.ends[j]) for j in js])]]
+        self.mark[own] = 0
+        return np.add.reduceat(hits, np.cumsum(self.sizes[js]) - self.sizes[js], dtype=np.int64)
+
+
+def linked(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, threshold: Fraction, two: bool, before: np.ndarray, open_: np.ndarray, met: int) -> dict[str, np.ndarray]:
+    """Links of each set within a task, weighed by copies; pairs and, at prefixes of `met` values, the sum of 1 / p - 1 over
+    them; and the root of its tree in a spanning forest of links.
+
+    Pairs count that lay in different groups before and have a set that is open. For a tile of two blocks only pairs across
+    its sides count, also where one of them is empty. Sets go by size, so a set meets only those of a size that fits.
     """
     n = len(sets)
-    links, root = np.zeros(n, np.int64), list(range(n))
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    flat = np.concatenate([sets[i] for i in order]) if n else np.zeros(0, np.uint64)
-    _, flat = np.unique(flat, return_inverse=True)
-    sizes, sides_, ends = sizes[order], sides[order], np.cumsum(sizes[order])
-    starts = ends - sizes
-    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, np.uint8)
-    num, den = threshold.numerator, threshold.denominator
-    reach = np.searchsorted(sizes, sizes * den // num, side="right")
+    out = {"links": np.zeros(n, np.int64), "pairs": np.zeros(n, np.int64), "missed": np.zeros(n), "root": np.arange(n)}
+    root = list(range(n))
+    if n < 2:
+        return out
+    s = Sets(sets, threshold)
+    sides, before, open_ = sides[s.order], before[s.order], open_[s.order]
+    every = bool(open_.all())
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -231,72 +316,133 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, thresh
             i = root[i]
         return i
 
-    for i in range(n - 1):
-        j = int(reach[i])
-        if j <= i + 1:
+    for i in np.flatnonzero(open_).tolist():
+        lo, hi = i + 1 if every else int(s.low[i]), int(s.reach[i])
+        if hi <= lo:
             continue
-        own = flat[starts[i] : ends[i]]
-        mark[own] = 1
-        hits = mark[flat[starts[i + 1] : ends[j - 1]]]
-        mark[own] = 0
-        shared = np.add.reduceat(hits, starts[i + 1 : j] - starts[i + 1], dtype=np.int64)
-        ok = shared * den >= num * (sizes[i] + sizes[i + 1 : j] - shared)
+        js = s.candidates(i, lo, hi)
+        js = js[(before[js] != before[i]) & ((js > i) | ~open_[js])]
         if two:
-            ok &= sides_[i + 1 : j] != sides_[i]
-        partners = np.flatnonzero(ok) + i + 1
-        if len(partners):
-            x, ys = order[i], order[partners]
-            links[x] += copies[ys].sum()
-            links[ys] += copies[x]
-            for y in ys.tolist():
-                a, b = find(int(x)), find(y)
-                root[max(a, b)] = min(a, b)
-    return links, np.array([find(i) for i in range(n)], np.int64)
-
-
-def verified(docs: DataFrame, wanted: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Exact links in the candidate components: (unit, links, root), a row for each task that found the unit a link.
-
-    wanted: (key, rep, unit, copies, comp, n); docs: (doc_id, text).
+            js = js[sides[js] != sides[i]]
+        if not len(js):
+            continue
+        both = s.shared(i, js)
+        union = s.sizes[i] + s.sizes[js] - both
+        ok = both * s.den >= s.num * union
+        if not ok.any():
+            continue
+        x, ys = int(s.order[i]), s.order[js[ok]]
+        missed = 1 / recall(met, both[ok] / union[ok]) - 1
+        out["links"][x] += copies[ys].sum()
+        out["links"][ys] += copies[x]
+        out["pairs"][x] += len(ys)
+        out["pairs"][ys] += 1
+        out["missed"][x] += missed.sum()
+        out["missed"][ys] += missed
+        for y in ys.tolist():
+            a, b = find(x), find(y)
+            root[max(a, b)] = min(a, b)
+    out["root"] = np.array([find(i) for i in range(n)], np.int64)
+    return out
+
+
+FOUND = "unit bigint, links bigint, pairs bigint, missed double, root bigint"
+
+
+def verified(texts: DataFrame, wanted: DataFrame, words: int, threshold: float, met: int) -> DataFrame:
+    """Exact links in groups of candidates: FOUND, a row for each task that found the unit a link.
+
+    wanted: (unit, copies, n, root, before, open); texts: (unit, text). Blocks of open units come first, and only they meet
+    others.
     """
-    sizes = wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    sizes = kept(sizes.select("comp", blocks.alias("blocks"), "shingles"), "join-sizes")
-    total = sizes.agg(F.sum("shingles")).first()[0] or 0
-    buckets = max(1, -(-total // (2 * BLOCK_SHINGLES)))
-    dealt = wanted.join(sizes.drop("shingles"), "comp")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("task", F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("comp"), F.lit(buckets))).otherwise(F.col("comp")))
-    dealt = kept(dealt.select(F.col("key").alias("k"), "rep", "unit", "copies", "comp", "blocks", "block", "task"), "join-dealt")
+    is_open = F.col("open").cast("long")
+    groups = wanted.groupBy("root").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"), F.sum(is_open).alias("open_texts"), F.sum(is_open * F.col("n")).alias("open_shingles")
+    )
+    side = F.greatest(F.lit(float(BLOCK_TEXTS)), BLOCK_GROWTH * F.sqrt("texts"))
+    blocks = lambda t, n: F.greatest(F.ceil(t / side), F.ceil(n / F.lit(BLOCK_SHINGLES))).cast("int")
+    groups = groups.withColumn("whole", blocks(F.col("texts"), F.col("shingles")) <= 1)
+    groups = groups.withColumn("first", F.when(F.col("whole"), 1).otherwise(blocks(F.col("open_texts"), F.col("open_shingles"))))
+    groups = groups.withColumn("rest", F.when(F.col("whole"), 0).otherwise(blocks(F.col("texts") - F.col("open_texts"), F.col("shingles") - F.col("open_shingles"))))
+    groups = kept(groups, "join-groups")
+    total = groups.filter("whole").agg(F.sum("texts"), F.sum("shingles")).first()
+    buckets = max(1, -(-(total[0] or 0) // TASK_TEXTS), -(-(total[1] or 0) // TASK_SHINGLES))
+    dealt = wanted.join(groups.select("root", "first", "rest", "whole"), "root")
+    place = F.xxhash64("unit")
+    block = F.when(F.col("whole"), 0).when(F.col("open"), F.pmod(place, F.col("first"))).otherwise(F.col("first") + F.pmod(place, F.greatest(F.col("rest"), F.lit(1))))
+    dealt = dealt.withColumn("block", block.cast("int"))
+    dealt = dealt.withColumn("task", F.when(F.col("whole"), -1 - F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")))
+    last = F.when(F.col("block") < F.col("first"), F.col("first") + F.col("rest")).otherwise(F.col("first")) - 1
+    dealt = kept(dealt.select("unit", "copies", "root", "before", "open", "block", "task", last.alias("last")), "join-dealt")
 
-    rows = docs.withColumn("key", key_of(F.col("text")))
     few = dealt.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = rows.join(F.broadcast(dealt) if few else dealt, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("task", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp", "block", "unit", "copies", "text")
+    tiles = texts.join(F.broadcast(dealt) if few else dealt, "unit").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    tiles = tiles.select("task", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "root", "before", "open", "block", "unit", "copies", "text")
     limit = Fraction(str(threshold))
 
     def compare(tile: tuple, t: pa.Table) -> pa.Table:
         two = tile[1].as_py() != tile[2].as_py()
-        shingles, out = Shingler(words), ([], [], [])
-        comp, unit = t.column("comp").to_numpy(), t.column("unit").to_numpy()
-        order = np.lexsort((unit, comp))
+        shingles, out = Shingler(words), {k: [] for k in ("unit", "links", "pairs", "missed", "root")}
+        group, unit = t.column("root").to_numpy(), t.column("unit").to_numpy()
+        order = np.lexsort((unit, group))
         new = np.ones(len(order), bool)
-        new[1:] = (unit[order][1:] != unit[order][:-1]) | (comp[order][1:] != comp[order][:-1])
+        new[1:] = unit[order][1:] != unit[order][:-1]
         order = order[new]  # a unit once, also where its row repeats
-        t = t.take(pa.array(order))
-        comp, unit, side, copies = comp[order], unit[order], t.column("block").to_numpy(), t.column("copies").to_numpy()
-        texts = t.column("text").cast(pa.binary())
-        cuts = np.append(np.flatnonzero(np.append(True, comp[1:] != comp[:-1])), len(comp))
+        group, unit, texts = group[order], unit[order], t.column("text").combine_chunks().take(pa.array(order)).cast(pa.binary())
+        side, copies, before, open_ = (t.column(c).to_numpy()[order] for c in ("block", "copies", "before", "open"))
+        cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
         for a, b in zip(cuts[:-1], cuts[1:]):
             sets = [shingles(texts[i].as_py()) for i in range(a, b)]
-            links, root = linked(sets, side[a:b], copies[a:b], limit, two)
-            some = np.flatnonzero(links)
-            for values, got in zip(out, (unit[a:b][some], links[some], unit[a:b][root[some]])):
-                values.append(got)
-        return pa.table({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in zip(("unit", "links", "root"), out)})
+            got = linked(sets, side[a:b], copies[a:b], limit, two, before[a:b], open_[a:b], met)
+            some = np.flatnonzero(got["pairs"])
+            got["unit"], got["root"] = unit[a:b], unit[a:b][got["root"]]
+            for k, values in out.items():
+                values.append(got[k][some])
+        kinds = {k: pa.float64() if k == "missed" else pa.int64() for k in out}
+        return pa.table({k: pa.array(np.concatenate(v), kinds[k]) for k, v in out.items()})
+
+    return tiles.groupBy("task", "lo", "hi").applyInArrow(compare, FOUND)
+
+
+def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (unit, root) after further links (a, b) of units."""
+    of = lambda name: groups.select(F.col("unit").alias(name), F.col("root").alias(name + "_root"))
+    tops = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    tops = tops.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a != b").distinct()
+    up = kept(components(tops), "join-up")
+    every = groups.unionByName(up.select("unit", F.col("unit").alias("root")).join(groups, "unit", "left_anti"))
+    return every.join(up.select(F.col("unit").alias("root"), F.col("root").alias("top")), "root", "left").select("unit", F.coalesce("top", "root").alias("root"))
 
-    return tiles.groupBy("task", "lo", "hi").applyInArrow(compare, "unit bigint, links bigint, root bigint")
+
+def links_of(units: DataFrame, docs: DataFrame, words: int, threshold: float, target: float) -> DataFrame:
+    """FOUND rows of all depths; units: (unit, key, rep, copies, n, label), docs: (doc_id, text)."""
+    spark = units.sparkSession
+    least = matched_length(threshold, target)
+    trie = kept(trie_links(units, least, TREES, LABEL).distinct(), "join-links")
+    deep = {r.level for r in trie.select("level").distinct().collect()}  # at most LABEL rows
+    linked_units = trie.select(F.col("a").alias("unit")).unionByName(trie.select(F.col("b").alias("unit"))).distinct()
+    named = kept(units.join(linked_units, "unit").select("unit", "copies", "n", F.col("key").alias("k"), "rep"), "join-named")
+    few = named.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    rows = docs.withColumn("key", key_of(F.col("text")))
+    texts = rows.join(F.broadcast(named) if few else named, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = kept(texts.select("unit", "text"), "join-texts")  # the texts that have a candidate, once for all depths
+
+    groups, found = spark.createDataFrame([], "unit bigint, root bigint"), spark.createDataFrame([], FOUND)
+    for k in range(LABEL, least - 1, -1):
+        if k not in deep:
+            continue
+        after = kept(grown(groups, trie.filter(F.col("level") == k).select("a", "b")), "join-grown")
+        so_far = found.groupBy("unit").agg(F.sum("pairs").alias("pairs"), F.sum("missed").alias("missed"))
+        pairs, missed = F.coalesce("pairs", F.lit(0)), F.coalesce("missed", F.lit(0.0))
+        met = recall(k + 1, threshold) if k < LABEL else 0.0
+        open_ = pairs + F.lit(met) < F.lit(target) * (pairs + missed + 1)
+        all_ = after.join(groups.select("unit", F.col("root").alias("before")), "unit", "left").join(so_far, "unit", "left")
+        all_ = all_.select("unit", "root", F.coalesce("before", "unit").alias("before"), open_.alias("open")).join(named.select("unit", "copies", "n"), "unit")
+        todo = all_.groupBy("root").agg(F.min("before").alias("x"), F.max("before").alias("y"), F.max("open").alias("some")).filter("some AND x < y")
+        wanted = kept(all_.join(todo.select("root"), "root", "left_semi"), "join-wanted")
+        found = found.unionByName(kept(verified(texts, wanted, words, threshold, k), "join-found"))
+        groups = after
+    return found
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
@@ -310,12 +456,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("label").alias("label")
     )
     units = kept(units.withColumn("unit", F.monotonically_increasing_id()), "join-units")
-    candidates = trie_links(units, matched_length(threshold, target), TREES, LABEL)
-    comps = kept(components(candidates), "join-comps")
-    wanted = units.drop("label").join(comps.withColumnRenamed("root", "comp"), "unit")
-    found = kept(verified(docs, wanted, words, threshold), "join-found")
+    found = kept(links_of(units, docs, words, threshold, target), "join-found")
     links = found.groupBy("unit").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("unit").alias("a"), F.col("root").alias("b")))
+    roots = kept(components(found.select(F.col("unit").alias("a"), F.col("root").alias("b"))), "join-roots")
     parts = units.select("unit", "key", "rep", "copies").join(links, "unit", "left").join(roots, "unit", "left")
     parts = kept(parts.withColumn("root", F.coalesce("root", "unit")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1), "join-parts")
     first = kept(parts.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "unit")).alias("f")).select("root", F.col("f.rep").alias("class_id"), F.col("f.unit").alias("first")), "join-first")
