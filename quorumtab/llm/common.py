@@ -57,13 +57,39 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, lineage cut, and safe when executors are lost."""
+    """The rows as a table in the shared folder: computed once, lineage cut, and safe when executors are lost.
+
+    Results are lazy, so the tables stay until the checkpoint folder is cleared: by its owner when the application has
+    ended, as with checkpoints.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = _path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_buckets(df: DataFrame, n: int, bucket: str, slot: str, name: str) -> DataFrame:
+    """kept() for rows that already lie in n partitions, numbered by `bucket`: operators keyed by `slot` read it without a shuffle.
+
+    slot is a number that Spark's hash deals to the bucket's place; there is one for each bucket, so buckets don't meet.
+    """
+    spark = df.sparkSession
+    most = "spark.sql.sources.bucketing.maxBuckets"
+    if n > int(spark.conf.get(most)):
+        spark.conf.set(most, str(n))
+    number = F.col("id").cast("int")
+    slots = spark.range(n * (20 + n.bit_length())).groupBy(F.pmod(F.hash(number), F.lit(n)).cast("long").alias(bucket)).agg(F.min(number).alias(slot))
+    path, table = _path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    dealt = df.join(F.broadcast(slots), bucket, "left")
+    dealt = dealt.withColumn(slot, F.coalesce(slot, F.raise_error(F.lit("more partitions than buckets")).cast("int")))
+    dealt.write.bucketBy(n, slot).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

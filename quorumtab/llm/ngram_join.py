@@ -230,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("hi").alias("unit"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("unit"), F.col("lo").alias("root")).distinct())
         before = state
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "join-least")  # a plain table, so that the join can split a hub
         large = sided(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("hi").alias("a"), F.col("m").alias("b")))

@@ -3,21 +3,22 @@
 A window is `size` consecutive words of a document. A word goes when a window over it also starts earlier, in a smaller
 doc_id or further up in the same document; windows are judged on the input.
 
-Documents are dealt into buckets by ranges of doc_id, so a window's place in the order of all windows is its bucket and
-its rank there, one long. Exact copies of a text are found first, by digest; all their windows start earlier in the
+Documents are dealt once into buckets by sampled ranges of doc_id, in order, and written as a table that is bucketed by
+them, so each further pass reads its bucket without a shuffle. A window's place in the order of all windows is its bucket
+and its rank there, one long. Exact copies of a text are found first, by digest; all their windows start earlier in the
 first one, and they take no further part. Then:
 
-1. Each bucket sends a sketch of its windows: the cells they hash to, sorted, once or twice, as gaps, cut into shards.
-   A shard merges the sketches of all buckets and gives each bucket the cells that were hit twice or more in all. The
-   merged counts are a count-min sketch of one row with CELLS cells a window; since sketches travel sparse, bytes follow
-   the number of windows and not of cells, so one wide row costs less than several narrow ones at the same error. A cell
-   counts every window that hashes to it, so no repeated window is missed.
-2. A bucket sends the windows whose cell was hit twice, each different one once, with a 128-bit hash and the place; they
-   are grouped exactly, and all but the earliest of a group go back to their bucket.
+1. Prefilter: a count-min sketch of ROWS rows with CELLS counters a window each, which saturate at two. Each bucket counts
+   its own windows and sends its sketch by shards, as the counters that aren't zero; a shard adds up the sketches of all
+   buckets in one array of fixed width, and tells each bucket which of its counters reached two in all. A window's
+   estimate is the least of its counters; collisions only raise it, so no repeated window is missed.
+2. A bucket sends the windows estimated at two or more, each different one once, with two independent 64-bit hashes and
+   the place; they are grouped exactly, and all but the earliest of a group go back to their bucket. A group has a row for
+   each bucket at most, 24 bytes, however many documents share the passage.
 3. A bucket marks those and the windows that started earlier within itself, and drops the covered words.
 
-All three passes read the documents from one and the same shuffle. Nothing is broadcast but the range splitters (8 bytes
-a bucket). A passage that a third of all documents share sends one row for each bucket.
+At large sizes buckets and shards both grow with the root of the input, so that what a bucket sends to a shard stays a
+block of counters. Nothing is broadcast but a number for each bucket.
 
 Null and empty texts have no words. Rows that share a doc_id are ordered by a hash of their text; a null id comes after
 all others. Repeated rows are copies of the first. An empty table gives an empty result; other columns are ignored.
@@ -30,15 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumtab.llm.common import kept, pick, task_count, whole
+from quorumtab.llm.common import kept, kept_buckets, pick, task_count, whole
 from quorumtab.llm.word_hashes import FACTORS, mixed, word_hashes
 
 SIZE = 20
-CELLS = 32
+#: Rows of the sketch, and counters a window in each.
+ROWS = 2
+CELLS = 8
 BUCKET_BYTES = 8 << 20
-SHARD_WINDOWS = 2_000_000
-COPY, HITS, LATER = 0, 1, 2  # kinds of side rows
-SIDE = "bucket bigint, kind int, num bigint, tie bigint, cells binary"
+MOST_BUCKETS = 1 << 20
+#: Counters of a shard, one byte each; more only where a bucket would send it fewer windows than LEAST_SENT.
+SHARD_CELLS = 1 << 23
+LEAST_SENT = 64
+#: Kinds of side rows; HITS + i is for row i of the sketch.
+COPY, LATER, HITS = 0, 1, 2
+SIDE = "slot int, kind int, num bigint, tie bigint, cells binary"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -139,11 +146,26 @@ def rolled(one: np.ndarray, size: int, factor: int) -> np.ndarray:
     return total
 
 
-def cells_of(h: np.ndarray, width: int) -> np.ndarray:
-    """One of width cells (a power of two) for each window, in the order of the hashes."""
+def cells_of(h: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The counter of each window in a row of width counters (a power of two)."""
+    h = mixed(h + np.uint64(row * FACTORS[1] % (1 << 64))) if row else h
     return (h >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
 
+def counters(parts: list[np.ndarray], n: int) -> np.ndarray:
+    """The sum of some sketches, each a sorted list with a counter's number once or twice; counts stop at two."""
+    out, at = np.zeros(n, np.uint8), 0
+    while at < len(parts):
+        end, m = at + 1, len(parts[at])
+        while end < len(parts) and m < 1 << 20:
+            m += len(parts[end])
+            end += 1
+        cells, counts = np.unique(np.concatenate(parts[at:end]), return_counts=True)
+        out[cells] = np.minimum(out[cells] + np.minimum(counts, 2), 2)
+        at = end
+    return out
+
+
 def side_copies(side: pa.Table) -> set:
     kind = side.column("kind").to_numpy()
     mine = side.take(pa.array(np.flatnonzero(kind == COPY)))
@@ -155,68 +177,69 @@ def deduped(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long"), whole(F.col("text")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    known = rows.select("doc_id", F.octet_length("text").alias("n"))
-    total = (known.agg(F.sum("n")).first()[0] or 0) + 1
-    buckets = max(2 * task_count(spark), -(-total // BUCKET_BYTES))
-    shards = max(2 * task_count(spark), total // (6 * SHARD_WINDOWS))
+    total = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) + 1
+    buckets = max(2 * task_count(spark), min(-(-total // BUCKET_BYTES), MOST_BUCKETS))
     width = 1 << (max(CELLS * total // 6, 1 << 16) - 1).bit_length()
-    error = min(0.01, 0.25 / buckets)
-    cuts = np.array(rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], error) or [0.0])
+    shards = max(2 * task_count(spark), min(width // SHARD_CELLS, total // (6 * buckets * LEAST_SENT)))
+    step = width // shards + 1
 
-    def dealt(ids):
-        import pandas as pd
+    ranged = rows.repartitionByRange(buckets, F.col("doc_id").asc_nulls_last(), "tie").withColumn("bucket", F.spark_partition_id().cast("long"))
+    rows = kept_buckets(ranged, buckets, "bucket", "slot", "windows")
 
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy("float64"), side="left").astype("int64"))
-
-    deal = F.pandas_udf(dealt, "bigint", F.PandasUDFType.SCALAR)
-    of_null = F.lit(buckets) + F.pmod(F.shiftrightunsigned("tie", 40), F.lit(buckets)) * 0 + F.shiftrightunsigned("tie", 44)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), of_null).otherwise(deal(F.coalesce("doc_id", F.lit(0)))))
-
-    digests = kept(rows.select("doc_id", "tie", "bucket", F.sha2("text", 256).alias("sha")), "window-digests")
+    digests = kept(rows.select("doc_id", "tie", "slot", F.sha2("text", 256).alias("sha")), "window-digests")
     firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     firsts = kept(firsts, "window-firsts")  # a plain table on this side, so that the join below can split a hot digest
     copies = digests.join(firsts, "sha").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    copies = copies.select("bucket", F.lit(COPY).alias("kind"), F.col("doc_id").alias("num"), "tie", F.lit(None).cast("binary").alias("cells"))
+    copies = copies.select("slot", F.lit(COPY).alias("kind"), F.col("doc_id").alias("num"), "tie", F.lit(None).cast("binary").alias("cells"))
     copies = kept(copies, "window-copies")
 
     def sketch(docs: pa.Table, side: pa.Table) -> pa.Table:
         b = Bucket(docs, side_copies(side), size) if docs.num_rows else None
-        if b is None or not len(b.at):
-            return pa.table({"shard": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "cells": pa.array([], pa.binary())})
-        a = np.sort(b.a)
-        first, again = np.ones(len(a), bool), np.zeros(len(a), bool)
-        first[1:] = a[1:] != a[:-1]
-        again[1:] = ~first[1:] & first[:-1]  # the second of its kind; further ones add nothing
-        cells = cells_of(a[first | again], width)
-        bucket = docs.column("bucket")[0].as_py()
-        edges = np.searchsorted(cells, np.arange(shards + 1) * (width // shards + 1))
-        got = [(s, packed(cells[i:j])) for s, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
-        return pa.table({"shard": pa.array([s for s, _ in got], pa.int64()), "bucket": pa.array([bucket] * len(got), pa.int64()), "cells": pa.array([c for _, c in got], pa.binary())})
+        got = []
+        if b is not None and len(b.at):
+            a = np.sort(b.a)
+            first, again = np.ones(len(a), bool), np.zeros(len(a), bool)
+            first[1:] = a[1:] != a[:-1]
+            again[1:] = ~first[1:] & first[:-1]  # the second of its kind; further ones add nothing
+            some, slot = a[first | again], docs.column("slot")[0].as_py()
+            for row in range(ROWS):
+                cells = np.sort(cells_of(some, row, width))
+                new = np.ones(len(cells), bool)
+                new[2:] = cells[2:] != cells[:-2]  # a counter twice at most
+                cells = cells[new]
+                edges = np.searchsorted(cells, np.arange(shards + 1) * step)
+                got += [(row * shards + s, slot, packed(cells[i:j] - s * step)) for s, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+        shard, slot, cells = zip(*got) if got else ((), (), ())
+        return pa.table({"shard": pa.array(shard, pa.int64()), "slot": pa.array(slot, pa.int32()), "cells": pa.array(cells, pa.binary())})
 
     def merge(blobs: pa.Table) -> pa.Table:
-        owners, raw = blobs.column("bucket").to_pylist(), blobs.column("cells").to_pylist()
-        parts = [unpacked(c) for c in raw]
-        every = np.sort(np.concatenate(parts))
-        full = np.unique(every[1:][every[1:] == every[:-1]])
-        hits = [p[among(p, full)] for p in parts]
-        got = [(o, packed(np.unique(h))) for o, h in zip(owners, hits) if len(h)]
+        row, s = divmod(blobs.column("shard")[0].as_py(), shards)
+        slots, parts = blobs.column("slot").to_pylist(), [unpacked(c.as_py()) for c in blobs.column("cells")]
+        counts = counters(parts, step)
+        got = [(o, packed(np.unique(p[counts[p] >= 2]) + s * step)) for o, p in zip(slots, parts)]
+        got = [(o, c) for o, c in got if c]
         n = len(got)
-        return pa.table({"bucket": pa.array([o for o, _ in got], pa.int64()), "kind": pa.array([HITS] * n, pa.int32()), "num": pa.nulls(n, pa.int64()), "tie": pa.nulls(n, pa.int64()), "cells": pa.array([c for _, c in got], pa.binary())})
+        return pa.table({"slot": pa.array([o for o, _ in got], pa.int32()), "kind": pa.array([HITS + row] * n, pa.int32()), "num": pa.nulls(n, pa.int64()), "tie": pa.nulls(n, pa.int64()), "cells": pa.array([c for _, c in got], pa.binary())})
 
     def suspected(b: Bucket, side: pa.Table) -> np.ndarray:
-        """The windows whose cell was hit twice or more."""
-        hits = [unpacked(c) for c, k in zip(side.column("cells").to_pylist(), side.column("kind").to_pylist()) if k == HITS]
-        return np.flatnonzero(among(cells_of(b.a, width), np.sort(np.concatenate(hits)))) if hits else np.zeros(0, np.int64)
+        """The windows of which the least counter is two."""
+        kinds, cells = side.column("kind").to_numpy(), side.column("cells")
+        left = np.arange(len(b.a))
+        for row in range(ROWS):
+            hits = [unpacked(cells[i].as_py()) for i in np.flatnonzero(kinds == HITS + row).tolist()]
+            full = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+            left = left[among(cells_of(b.a[left], row, width), full)]
+        return left
 
     def suspects(docs: pa.Table, side: pa.Table) -> pa.Table:
         none = pa.array([], pa.int64())
         b = Bucket(docs, side_copies(side), size, second=True) if docs.num_rows else None
         if b is None or not len(b.at):
-            return pa.table({"a": none, "b": none, "place": none})
+            return pa.table({"a": none, "b": none, "place": none, "slot": none.cast(pa.int32())})
         order, second, first = b.groups(suspected(b, side))
         order, second = order[first], second[first]
-        bucket = docs.column("bucket")[0].as_py()
-        return pa.table({"a": b.a[order].view(np.int64), "b": second.view(np.int64), "place": (np.int64(bucket) << 32) + order})
+        bucket, slot = docs.column("bucket")[0].as_py(), docs.column("slot")[0].as_py()
+        return pa.table({"a": b.a[order].view(np.int64), "b": second.view(np.int64), "place": (np.int64(bucket) << 32) + order, "slot": pa.array(np.full(len(order), slot), pa.int32())})
 
     def cut(docs: pa.Table, side: pa.Table) -> pa.Table:
         kind = pa.array([], pa.string())
@@ -246,16 +269,15 @@ def deduped(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
         })
 
     def with_side(side: DataFrame):
-        return rows.select("bucket", "doc_id", "tie", "text").groupBy("bucket").cogroup(side.groupBy("bucket"))
+        return rows.groupBy("slot").cogroup(side.groupBy("slot"))
 
-    blobs = with_side(copies).applyInArrow(sketch, "shard bigint, bucket bigint, cells binary")
+    blobs = with_side(copies).applyInArrow(sketch, "shard bigint, slot int, cells binary")
     hits = kept(blobs.groupBy("shard").applyInArrow(merge, SIDE), "window-hits")
-    found = with_side(copies.unionByName(hits)).applyInArrow(suspects, "a bigint, b bigint, place bigint")
-    numbered = found.withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy("place")))
-    later = numbered.filter("nth > 1").select(
-        F.shiftright("place", 32).alias("bucket"), F.lit(LATER).alias("kind"), F.col("place").alias("num"),
-        F.lit(None).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("cells"),
-    )
+    found = with_side(copies.unionByName(hits)).applyInArrow(suspects, "a bigint, b bigint, place bigint, slot int")
+    firsts = found.withColumn("first", F.min("place").over(Window.partitionBy("a", "b")))
+    later = firsts.filter("place > first").select(
+        "slot", F.lit(LATER).alias("kind"), F.col("place").alias("num"), F.lit(None).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("cells")
+    )
     later = kept(later, "window-later")
     return with_side(copies.unionByName(hits).unionByName(later)).applyInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 

@@ -46,6 +46,30 @@ def test_equals_plain_scan(spark, monkeypatch, bucket):
     assert got == plain(rows)
 
 
+@pytest.mark.parametrize("cells", [1, 8])
+def test_repeated_rows_and_shared_ids(spark, monkeypatch, cells):
+    monkeypatch.setattr(substring_dedup, "CELLS", cells)  # few counters: many false estimates, the same result
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(300)]
+    shared = rng.choices(vocab, k=40)
+    rows = [(d, " ".join(rng.choices(vocab, k=30) + shared * (d % 2))) for d in range(40)]
+    rows += [(5, rows[5][1])] * 2 + [(100, " ".join(rng.choices(vocab, k=25)))] * 3 + [(None, " ".join(shared))] * 2
+    got = sorted((tuple(r) for r in deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain(rows)
+
+
+def test_counters_add_up_and_saturate():
+    rng = np.random.default_rng(2)
+    parts = [np.sort(rng.integers(0, 500, 60)) for _ in range(9)]
+    want = np.minimum(np.bincount(np.concatenate(parts), minlength=600), 2)
+    assert (substring_dedup.counters(parts, 600) == want).all()
+
+
+def test_documents_are_shuffled_once(spark, sf_dir):
+    plan = deduped(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(slot") == 1
+
+
 def test_query_equals_plain_scan(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = sorted((d, n, gone, hashlib.sha256(t.encode()).hexdigest()) for d, n, gone, t in plain(rows))
