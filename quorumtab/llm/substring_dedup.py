@@ -37,7 +37,7 @@ from quorumtab.llm.word_hashes import FACTORS, mixed, word_hashes
 SIZE = 20
 #: Rows of the sketch, and counters a window in each.
 ROWS = 2
-CELLS = 8
+CELLS = 4
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 1 << 20
 #: Counters of a shard, one byte each; more only where a bucket would send it fewer windows than LEAST_SENT.
@@ -49,32 +49,26 @@ SIDE = "slot int, kind int, num bigint, tie bigint, cells binary"
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as gaps, seven bits a byte, the last byte of each below 128."""
-    gaps = np.diff(values, prepend=0).astype(np.uint64)
-    size = np.ones(len(gaps), np.int64)
-    for bits in range(7, 63, 7):
-        size += gaps >= (1 << bits)
-    out = np.empty(int(size.sum()), np.uint8)
-    ends = np.cumsum(size)
-    left, step = np.arange(len(gaps)), 0
-    while len(left):
-        more = size[left] > step + 1
-        out[(ends - size)[left] + step] = (gaps[left] >> np.uint64(7 * step) & np.uint64(127)).astype(np.uint8) | (more * 128).astype(np.uint8)
-        left, step = left[more], step + 1
-    return out.tobytes()
+    """Sorted numbers in little more than the bits they need: whole low bytes, and of the rest a bit a number and a step."""
+    n = len(values)
+    if not n:
+        return b""
+    top = int(values[-1])
+    low = min(range(1, 8), key=lambda k: 8 * k * n + (top >> 8 * k))
+    steps = np.zeros((top >> 8 * low) + n, np.uint8)
+    steps[(values >> 8 * low) + np.arange(n)] = 1
+    bytes_ = values.astype("<i8").view(np.uint8).reshape(n, 8)[:, :low]
+    return bytes([low]) + n.to_bytes(4, "little") + bytes_.tobytes() + np.packbits(steps).tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8)
-    last = np.flatnonzero(b < 128)
-    start = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    gaps, width, step = np.zeros(len(last), np.int64), last - start + 1, 0
-    left = np.arange(len(last))
-    while len(left):
-        gaps[left] |= (b[start[left] + step] & np.int64(127)).astype(np.int64) << (7 * step)
-        step += 1
-        left = left[width[left] > step]
-    return np.cumsum(gaps)
+    if not raw:
+        return np.zeros(0, np.int64)
+    low, n = raw[0], int.from_bytes(raw[1:5], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :low] = np.frombuffer(raw, np.uint8, n * low, 5).reshape(n, low)
+    steps = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=5 + n * low)))
+    return out.view("<i8").ravel() + ((steps - np.arange(n)) << 8 * low)
 
 
 class Bucket:
@@ -178,9 +172,9 @@ def deduped(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long"), whole(F.col("text")).alias("text")).withColumn("tie", F.xxhash64("text"))
     total = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) + 1
-    buckets = max(2 * task_count(spark), min(-(-total // BUCKET_BYTES), MOST_BUCKETS))
+    buckets = max(task_count(spark), min(-(-total // BUCKET_BYTES), MOST_BUCKETS))
     width = 1 << (max(CELLS * total // 6, 1 << 16) - 1).bit_length()
-    shards = max(2 * task_count(spark), min(width // SHARD_CELLS, total // (6 * buckets * LEAST_SENT)))
+    shards = max(1, min(width // SHARD_CELLS, total // (6 * buckets * LEAST_SENT)))  # by the data alone: blocks are buckets times shards
     step = width // shards + 1
 
     ranged = rows.repartitionByRange(buckets, F.col("doc_id").asc_nulls_last(), "tie").withColumn("bucket", F.spark_partition_id().cast("long"))
