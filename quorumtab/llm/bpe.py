@@ -131,8 +131,8 @@ class Codec:
         return " ".join([self.tokens[i] for i in ids])
 
 
-def encode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, ids (array of int), decoded (the text that the ids give).
+def encode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+    """One row per document: doc_id, ids (array of int), and unless decoded is off, decoded (the text that the ids give).
 
     The vocabulary file is read on the driver and sent to each worker once, 1.7 MB whatever the input.
     """
@@ -145,20 +145,22 @@ def encode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         codec = Codec(spec.value)
+        names = ["doc_id", "ids", *(["decoded"] if decoded else [])]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_A_BATCH):
                 part = batch.slice(at, ROWS_A_BATCH)
-                flat, ends, decoded = [], [0], []
+                flat, ends, back = [], [0], []
                 for text in part.column("text"):
                     ids = codec.encode(text.as_py() or "")
                     flat.append(np.asarray(ids, dtype=np.int32))
                     ends.append(ends[-1] + len(ids))
-                    decoded.append(codec.decode(ids))
+                    if decoded:
+                        back.append(codec.decode(ids))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, *([pa.array(back, pa.string())] if decoded else [])], names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def ids_text(ids: Column) -> Column:

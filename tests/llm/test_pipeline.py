@@ -70,3 +70,17 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    words = lambda i, n=40: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(1, None, "en", "a", 0, "p"), (2, "", "en", "a", 0, "p"), (3, words(3), "en", None, 0, "p"), (3, words(3), "en", None, 0, "p"), (4, words(4), None, "b", 0, "p"),
+            (5, words(4).upper(), "en", "b", 0, "p"), (None, words(6), "en", "b", 0, "p"), (7, words(7), "en", "b", 0, "p"), (8, words(7) + " and one", "en", "b", 0, "q"), (9, words(9, 5000), "en", "c", 0, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, other string").withColumnRenamed("other", "Key")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "Key"], name
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == sorted([3, 5, None, 7, 9], key=str)
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    out = corpus_pipeline.encode(spark, mixed, "").collect()
+    assert len(out) == mixed.count() and {r.doc_id for r in out} <= {3, 5, None, 7, 9}
