@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each but the last returns the columns of documents, and
 the last one the tokens of each document of the mix, a row for each time that the mix takes it.
+
+Null texts count as empty and fail the quality rules. A null source is a source of its own, null ids are ids like others.
+Of equal texts, and of repeated rows, one row stays, that with the largest doc_id; of a class of near-duplicates that with
+the least. Other columns are carried along, also those whose names differ only in case. An empty table gives an empty
+result at each stage.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids."""
-    out = bpe.encode(docs, bpe.vocabulary())
+    out = bpe.encode(docs, bpe.vocabulary(), decoded=False)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
