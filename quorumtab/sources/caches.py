@@ -9,8 +9,12 @@ SAMPLE = "array<struct<csv_data:string,input_tokens:bigint,output_tokens:bigint>
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    key = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    return spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(key.alias("image_id"), "value")
+    """Whole files with their key: that of the folder image_id=key which they are in, or their name without .json."""
+    name = F.input_file_name()
+    folder = F.regexp_extract(name, r"/image_id=([^/]+)/[^/]*$", 1)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    key = F.when(folder != "", plain(plain(folder))).otherwise(F.regexp_extract(name, r"([^/]+)\.json$", 1))
+    return spark.read.text(path, wholetext=True, pathGlobFilter="*.{json,txt}").select(key.alias("image_id"), "value")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -19,6 +23,29 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("image_id", "sample_idx", F.col("s.csv_data").alias("tsv_data"), "s.input_tokens", "s.output_tokens")
 
 
+def sample_lists(samples: DataFrame) -> DataFrame:
+    """The samples of each key as a JSON list in order of sample_idx: image_id, value."""
+    one = F.struct("sample_idx", F.struct(F.col("tsv_data").alias("csv_data"), "input_tokens", "output_tokens").alias("s"))
+    lists = samples.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return lists.select("image_id", F.to_json(F.transform("all", lambda x: x["s"]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Samples as a JSON list per key, each in a folder image_id=key; read_samples() reads them, ids as text."""
+    sample_lists(samples).write.mode("overwrite").partitionBy("image_id").text(path)
+
+
+def next_samples(samples: DataFrame, cursors: DataFrame, n: int = 1) -> DataFrame:
+    """The next n stored samples of each key of cursors (image_id, next_idx), in their order, and what must be made.
+
+    image_id, sample_idx, tsv_data, stored: false for places beyond the stored samples, whose text is null. A key without a
+    cursor isn't asked for; afterwards its cursor is next_idx + n.
+    """
+    asked = cursors.select("image_id", F.explode(F.sequence(F.col("next_idx"), F.col("next_idx") + n - 1)).alias("sample_idx"))
+    found = asked.join(samples.select("image_id", "sample_idx", "tsv_data", F.lit(True).alias("stored")), ["image_id", "sample_idx"], "left")
+    return found.withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 def read_skeletons(spark: SparkSession, path: str) -> DataFrame:
     """A folder with a JSON object per key, or a list whose first element counts: image_id, structure."""
     one, many = F.from_json("value", "struct<structure:string>"), F.from_json("value", "array<struct<structure:string>>")
@@ -26,11 +53,6 @@ def read_skeletons(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("image_id", F.when(listed, F.get(many, 0)["structure"]).otherwise(one["structure"]).alias("structure")).filter("structure IS NOT NULL")
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    """Samples as JSON lines in a folder for each image_id, readable by spark.read.json."""
-    samples.write.mode("overwrite").partitionBy("image_id").json(path)
-
-
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp,gif}").load(path).select("path", "content")
 

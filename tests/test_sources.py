@@ -15,6 +15,20 @@ def test_stored_samples_and_skeletons(spark, tmp_path):
     assert sorted(tuple(r) for r in caches.read_skeletons(spark, str(tmp_path / "t")).collect()) == [("new", "x"), ("old", "y")]
 
 
+def test_samples_written_are_read_back(spark, tmp_path):
+    rows = [("k 1/é+%", 1, 'a\t"b"\nc\t1', 3, 4), ("k 1/é+%", 0, None, 0, None), ("7", 0, "", 1, 2)]
+    samples = spark.createDataFrame(rows, "image_id string, sample_idx int, tsv_data string, input_tokens long, output_tokens long")
+    caches.write_samples(samples, str(tmp_path / "w"))
+    assert sorted(map(tuple, caches.read_samples(spark, str(tmp_path / "w")).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_next_samples(spark):
+    stored = spark.createDataFrame([("a", i, f"t{i}") for i in range(3)], "image_id string, sample_idx int, tsv_data string")
+    cursors = spark.createDataFrame([("a", 1), ("b", 0)], "image_id string, next_idx int")
+    got = sorted(map(tuple, caches.next_samples(stored, cursors, 3).collect()))
+    assert got == [("a", 1, "t1", True), ("a", 2, "t2", True), ("a", 3, None, False), ("b", 0, None, False), ("b", 1, None, False), ("b", 2, None, False)]
+
+
 def test_series(spark, tmp_path):
     (tmp_path / "w.csv").write_text("Series,Code,Country,CC,2000 [YR2000],2001 [YR2001]\nGDP,x,A,a,1.5,..\nGDP,x,B,b,,7\nGDP,x,B,b,3,8\n")
     got = sorted(tuple(r) for r in caches.read_series(spark, str(tmp_path / "w.csv")).collect())
