@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quorumtab.functions import robust
 from quorumtab.functions.text import bare, python_text
-from quorumtab.operators.tables import cells, corners, has_content, skeleton_cells, to_tsv
+from quorumtab.operators.tables import cells, corners, has_content, skeleton_cells, to_tsvs
 
 
 def cell_values(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +32,7 @@ def aggregated(values: DataFrame, methods: list[str] = tuple(robust.METHODS)) ->
     return out.withColumns({m: f(F.col("xs"), F.col("median"), F.col("mad")) for m, f in chosen.items() if m not in ("median", "mad")})
 
 
-def structured(samples: DataFrame, skeletons: DataFrame, methods: list[str] = ("median",), keys: list[str] = ("image_id",)) -> DataFrame:
+def structured(samples: DataFrame, skeletons: DataFrame, methods: list[str] = ("median",), keys: list[str] = ("image_id",), missing: str = "zero") -> DataFrame:
     """Long consensus over the skeleton's cells; a sample's columns count by position, its rows by label.
 
     Cells that no sample has stay, with null values.
@@ -40,11 +40,11 @@ def structured(samples: DataFrame, skeletons: DataFrame, methods: list[str] = ("
     keys = list(keys)
     want = skeleton_cells(skeletons, keys)
     names = want.select(*keys, "col_pos", "col_label").distinct()
-    long = cells(samples, [*keys, "sample_idx"]).drop("col_label").join(names, [*keys, "col_pos"])
+    long = cells(samples, [*keys, "sample_idx"], missing=missing).drop("col_label").join(names, [*keys, "col_pos"])
     return want.join(aggregated(cell_values(long, keys), methods), [*keys, "row_label", "col_label"], "left").drop("xs")
 
 
-def aligned(samples: DataFrame, keys: list[str] = ("image_id",), row_sim: float = 0.5, col_sim: float = 0.5, pruning: bool = True, prune_below: float = 0.5) -> DataFrame:
+def aligned(samples: DataFrame, keys: list[str] = ("image_id",), row_sim: float = 0.5, col_sim: float = 0.5, pruning: bool = True, prune_below: float = 0.5, missing: str = "zero") -> DataFrame:
     """Long cells of samples without a skeleton, under canonical labels and positions; an algorithm of our own.
 
     Labels of a chart are grouped by leaders, those of most samples first: a label joins the leader most like it, from
@@ -52,7 +52,7 @@ def aligned(samples: DataFrame, keys: list[str] = ("image_id",), row_sim: float
     fit the first sample better when transposed is transposed. Groups in fewer samples than prune_below go.
     """
     keys = list(keys)
-    long = cells(samples, [*keys, "sample_idx"])
+    long = cells(samples, [*keys, "sample_idx"], missing=missing)
     schema = long.select(*keys, "sample_idx", "row_label", "col_label", "row_pos", "col_pos", "value").schema
 
     def like(a: str, b: str) -> float:
@@ -125,9 +125,9 @@ def tables(samples: DataFrame, method: str = "median", skeletons: DataFrame | No
         F.count(F.lit(1)).alias("num_samples"), F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens"),
         F.count(F.when(bare(F.col("tsv_data")) != "", 1)).alias("n_usable"), F.min_by(F.when(bare(F.col("tsv_data")) != "", F.col("tsv_data")), F.when(bare(F.col("tsv_data")) != "", F.col("sample_idx"))).alias("first"),
     )
-    long = structured(ok, skeletons, [method], keys) if skeletons is not None else free_form(ok, [method], keys, **options)
-    value, spread = (to_tsv(long.withColumn("v", python_text(F.col(c))), keys, "v", "X" if skeletons is None else "", name) for c, name in ((method, "value_tsv"), ("mad", "spread_tsv")))
-    both = sums.join(value, keys, "left").join(spread, keys, "left")
+    long = structured(ok, skeletons, [method], keys, **options) if skeletons is not None else free_form(ok, [method], keys, **options)
+    shown = long.select(*keys, "row_pos", "col_pos", "row_label", "col_label", python_text(F.col(method)).alias("value"), python_text(F.col("mad")).alias("spread"))
+    both = sums.join(to_tsvs(shown, keys, {"value_tsv": "value", "spread_tsv": "spread"}, "X" if skeletons is None else ""), keys, "left")
     if skeletons is not None:
         both = both.join(corners(skeletons, keys), keys, "left").withColumns({c: F.concat(F.coalesce("corner", F.lit("")), c) for c in ("value_tsv", "spread_tsv")})
     many = F.col("n_usable") > 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumtab.functions.text import bare, cell_number, let
+from quorumtab.functions.text import bare, cell_number, cell_number_text, let
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -56,22 +56,35 @@ def corners(samples: DataFrame, keys: list[str], text_col: str = "structure") ->
 
 def to_tsv(long: DataFrame, keys: list[str], value: str, corner: str = "", name: str = "tsv_data") -> DataFrame:
     """One text per key: a header, then a row for each row_pos; null values are empty. No line end at the end."""
-    cell = F.struct("col_pos", "col_label", F.coalesce(F.col(value), F.lit("")).alias("v"))
+    return to_tsvs(long, keys, {name: value}, corner)
+
+
+def to_tsvs(long: DataFrame, keys: list[str], values: dict[str, str], corner: str = "") -> DataFrame:
+    """to_tsv() for several values of the same cells at once: name of the text to column of the value."""
+    cell = F.struct("col_pos", "col_label", *[F.coalesce(F.col(v), F.lit("")).alias(name) for name, v in values.items()])
     rows = long.groupBy(*keys, "row_pos", "row_label").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     head = F.array_join(F.concat(F.array(F.lit(corner)), F.transform("cells", lambda c: c["col_label"])), "\t").alias("head")
-    line = F.array_join(F.concat(F.array("row_label"), F.transform("cells", lambda c: c["v"])), "\t")
-    lines = rows.select(*keys, head, F.struct("row_pos", line.alias("line")).alias("line")).groupBy(*keys)
-    text = F.concat(F.array(F.min_by("head", "line.row_pos")), F.transform(F.array_sort(F.collect_list("line")), lambda r: r["line"]))
-    return lines.agg(F.array_join(text, "\n").alias(name))
+    line = lambda name: F.array_join(F.concat(F.array("row_label"), F.transform("cells", lambda c: c[name])), "\t")
+    lines = rows.select(*keys, head, F.struct("row_pos", *[line(name).alias(name) for name in values]).alias("line")).groupBy(*keys)
+    lines = lines.agg(F.min_by("head", "line.row_pos").alias("head"), F.array_sort(F.collect_list("line")).alias("lines"))
+    text = lambda name: F.array_join(F.concat(F.array("head"), F.transform("lines", lambda r: r[name])), "\n")
+    return lines.select(*keys, *[text(name).alias(name) for name in values])
 
 
-def normalized_tsv(samples: DataFrame, keys: list[str], text_col: str = "tsv_data") -> DataFrame:
-    """Each table text with its cells replaced by their numbers as text (headers and row labels as they are)."""
-    from quorumtab.functions.text import cell_number_text
+def quoted(cell: Column) -> Column:
+    """A cell as a csv writer puts it: in quotes, with its own doubled, only where it holds a tab, a quote or a line end."""
+    return F.when(cell.rlike(r'[\t"\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
 
-    long = cells(samples, keys, text_col).withColumn("v", cell_number_text(F.col("raw")))
-    out = to_tsv(long, keys, "v").join(corners(samples, keys, text_col), keys)
-    return out.select(*keys, F.concat("corner", "tsv_data", F.lit("\n")).alias(text_col))
+
+def normalized_tsv(samples: DataFrame, keys: list[str], text_col: str = "tsv_data") -> DataFrame:
+    """Each table text with its cells replaced by their numbers as text, headers and row labels as they are, quoted where they must be.
+
+    A line end after each row; rows may differ in length. A text without rows stays as it is.
+    """
+    grids = _grids(samples.select(*keys, text_col), text_col)
+    row = lambda r, i: F.array_join(F.transform(r, lambda c, j: quoted(F.when((i == 0) | (j == 0), c).otherwise(cell_number_text(c)))), "\t")
+    text = F.concat(F.array_join(F.transform("grid", row), "\n"), F.lit("\n"))
+    return grids.select(*keys, F.when(F.size("grid") > 0, text).otherwise(F.col(text_col)).alias(text_col))
 
 
 def has_content(text: Column) -> Column:
