@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumtab.functions.text import anls, bare, value_penalty
 from quorumtab.operators.tables import plain_table, transposed
@@ -82,11 +83,11 @@ def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_th
     return long.select(*keys, score.alias("key_score"), at("t", "i")["value"].alias("t_value"), at("p", "j")["value"].alias("p_value"))
 
 
-def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5, number_theta: float = 0.1) -> DataFrame:
+def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match") -> DataFrame:
     """Per key: precision, recall, f1, and shares of 100 for the kinds in BUCKETS."""
     pairs = matched(targets, predictions, keys, text_theta)
     key, hit = F.col("key_score"), F.col("key_score") > 0
-    penalty = F.when(hit, value_penalty(F.col("t_value"), F.col("p_value"), text_theta, number_theta)).otherwise(F.lit(0.0))
+    penalty = F.when(hit, value_penalty(F.col("t_value"), F.col("p_value"), text_theta, number_theta, zero_target)).otherwise(F.lit(0.0))
     sums = pairs.withColumn("pen", penalty).groupBy(*keys).agg(
         F.sum(key * (1 - F.col("pen"))).alias("score"), F.sum(F.when(hit, 2 * (1 - key)).otherwise(0.0)).alias("label"),
         F.sum(2 * key * F.col("pen")).alias("value"), F.sum((~hit).cast("long")).alias("missed"), F.count(F.lit(1)).alias("k"),
@@ -104,20 +105,23 @@ def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_the
     )
 
 
-def per_pair(pairs: DataFrame, add_title: bool = True, text_theta: float = 0.5, number_theta: float = 0.1) -> DataFrame:
-    """Scores of each pair_id, the better of the prediction as it is and transposed (transposed on ties).
+def per_pair(pairs: DataFrame, add_title: bool = True, text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match") -> DataFrame:
+    """Scores of each pair_id, the best of the prediction as it is and transposed, against each reference (transposed on ties, then the first).
 
-    pairs: pair_id, gt_answer, model_answer. add_title puts an empty title first on both sides, a datapoint that matches.
+    pairs: pair_id, gt_answer (a text, or an array of texts; an empty or null one counts as one empty text), model_answer. add_title puts an empty title first on both sides, a datapoint that matches.
     """
     head = "title\t\n" if add_title else ""
     text = lambda c: F.concat(F.lit(head), F.lower(bare(F.coalesce(F.col(c), F.lit("")))))
-    flat = pairs.select("pair_id", plain_table(text("gt_answer")).alias("gt"), plain_table(text("model_answer")).alias("told"))
+    many = isinstance(pairs.schema["gt_answer"].dataType, T.ArrayType)
+    answers = F.when(F.size("gt_answer") > 0, F.col("gt_answer")).otherwise(F.array(F.lit(""))) if many else F.array("gt_answer")
+    pairs = pairs.select("pair_id", "model_answer", F.posexplode(answers).alias("ref", "gt_answer"))
+    flat = pairs.select("pair_id", "ref", plain_table(text("gt_answer")).alias("gt"), plain_table(text("model_answer")).alias("told"))
     ways = F.array(F.struct(F.lit(True).alias("transposed"), transposed(F.col("told")).alias("table")), F.struct(F.lit(False).alias("transposed"), F.col("told").alias("table")))
-    told = flat.select("pair_id", F.explode(ways).alias("w")).select("pair_id", "w.transposed", "w.table")
-    gt = flat.select("pair_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("transposed"), F.col("gt").alias("table"))
-    keys = ["pair_id", "transposed"]
-    out = scores(datapoints(gt, keys), datapoints(told, keys), keys, text_theta, number_theta)
-    best = out.groupBy("pair_id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "pair_id"]), F.struct("f1", "transposed")).alias("b"))
+    told = flat.select("pair_id", "ref", F.explode(ways).alias("w")).select("pair_id", "ref", "w.transposed", "w.table")
+    gt = flat.select("pair_id", "ref", F.explode(F.array(F.lit(True), F.lit(False))).alias("transposed"), F.col("gt").alias("table"))
+    keys = ["pair_id", "ref", "transposed"]
+    out = scores(datapoints(gt, keys), datapoints(told, keys), keys, text_theta, number_theta, zero_target)
+    best = out.groupBy("pair_id").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("pair_id", "ref")]), F.struct("f1", "transposed", -F.col("ref"))).alias("b"))
     return best.select("pair_id", "b.*")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,15 @@ def prefix_tables(samples: DataFrame, least: int, most: int, config: Sampling =
     own = F.when(~F.col("used_fallback") & (F.col("tsv_data") != ""), F.col("tsv_data"))
     steps = steps.withColumn("earlier", F.last(own, ignorenulls=True).over(before))
     text = F.when(F.col("used_fallback") & tables.has_content(F.col("earlier")), F.col("earlier")).otherwise(F.col("tsv_data"))
-    return steps.withColumn("tsv_data", text).drop("earlier")
+    return once(steps.withColumn("tsv_data", text).drop("earlier"))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The rows computed once: a checkpoint where spark.checkpoint.dir is set, else held on the executors' disks, and made again if lost."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def _taken(found: DataFrame, steps: DataFrame) -> DataFrame:
