@@ -98,30 +98,52 @@ def prepared(specs: DataFrame, long: DataFrame) -> DataFrame:
 
 def line_points(points: DataFrame, library: str = "matplotlib") -> DataFrame:
     """Values of a line chart: gaps are NaN, but null for plotly."""
-    return points if library == "plotly" else points.withColumn("value", F.coalesce("value", F.lit(float("nan"))))
+    return points if known(library) == "plotly" else points.withColumn("value", F.coalesce("value", F.lit(float("nan"))))
 
 
-def stacked(points: DataFrame) -> DataFrame:
-    """bottom and top of each bar or area, stacked by series_pos; a missing value is 0."""
+def known(library: str) -> str:
+    """The library's name; an unknown one is an error."""
+    if library not in LIBRARIES:
+        raise ValueError(f"unknown library {library!r}; there are {sorted(LIBRARIES)}")
+    return library
+
+
+def stacked(points: DataFrame, total: float = 0.65) -> DataFrame:
+    """bottom and top of each bar or area, stacked by series_pos, and x and width of a bar; a missing value is 0."""
     by = Window.partitionBy("chart_id", "year").orderBy("series_pos")
     value = F.coalesce("value", F.lit(0.0))
     below = F.coalesce(F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return points.withColumn("bottom", below).withColumn("top", F.col("bottom") + value)
+    out = points.withColumn("bottom", below).withColumn("top", F.col("bottom") + value)
+    return out.withColumns({"x": F.col("year").cast("double"), "width": F.lit(total) * spacing()})
+
+
+def spacing() -> Column:
+    """What lies between the first two years of a chart; 1 where there is one year."""
+    years = F.array_sort(F.collect_set("year").over(Window.partitionBy("chart_id")))
+    return F.when(F.size(years) > 1, F.get(years, 1) - F.get(years, 0)).otherwise(1)
+
+
+def geometry(points: DataFrame, chart_type: str, library: str = "matplotlib", stack: bool = False) -> DataFrame:
+    """The geometry of a chart of one of CHART_TYPES in that library; areas are stacked on demand."""
+    known(library)
+    of = {"line": lambda: line_points(points, library), "area": lambda: area_points(points, stack, library), "grouped_bar": lambda: grouped_bars(points), "stacked_bar": lambda: stacked(points)}
+    if chart_type not in of:
+        raise ValueError(f"no geometry for {chart_type!r}; there are {sorted(of)}")
+    return of[chart_type]()
 
 
 def area_points(points: DataFrame, stack: bool, library: str = "matplotlib") -> DataFrame:
     """Values of an area chart: stacked tops (plotly stacks by itself, so plain values), or plain ones with gaps as NaN (0 for plotly and bokeh)."""
     zero = F.coalesce("value", F.lit(0.0))
-    if stack and library != "plotly":
-        return stacked(points).withColumn("value", F.col("top")).drop("bottom", "top")
+    if stack and known(library) != "plotly":
+        return stacked(points).withColumn("value", F.col("top")).drop("bottom", "top", "x", "width")
     return points.withColumn("value", zero if stack or library in ("plotly", "bokeh") else F.coalesce("value", F.lit(float("nan"))))
 
 
 def grouped_bars(points: DataFrame, total: float = 0.8) -> DataFrame:
     """x, width and height of each bar of a grouped bar chart; bars of a year share `total` of the years' spacing."""
-    years = F.array_sort(F.collect_set("year").over(Window.partitionBy("chart_id")))
     n = F.max("series_pos").over(Window.partitionBy("chart_id")) + 1
-    out = points.withColumn("spacing", F.when(F.size(years) > 1, F.get(years, 1) - F.get(years, 0)).otherwise(1)).withColumn("n", n)
+    out = points.withColumn("spacing", spacing()).withColumn("n", n)
     width = F.lit(total) * F.col("spacing") / F.col("n")
     x = F.col("year") - F.lit(total / 2) * F.col("spacing") + width * (F.col("series_pos") + 0.5)
     return out.select("chart_id", "series_pos", "country_name", "year", x.alias("x"), width.alias("width"), F.coalesce("value", F.lit(0.0)).alias("height"))
@@ -152,12 +174,12 @@ def charts(datasets: DataFrame) -> DataFrame:
 
 
 def colors(n: int) -> list[str]:
-    """Enough different colors for n series: the palette, and evenly spaced hues beyond it."""
-    import colorsys
-
-    more = n - len(PALETTE)
-    hues = [colorsys.hls_to_rgb(i / (more + 2), 0.5, 0.7) for i in range(1, more + 1)]
-    return PALETTE + ["#" + "".join(f"{int(255 * x):02x}" for x in rgb) for rgb in hues]
+    """At least n colors: the palette, then round after round of it, each paler than the one before."""
+    out = list(PALETTE)
+    while len(out) < n:
+        kept = 1 / (1 + len(out) // len(PALETTE))  # of the distance to white
+        out += ["#" + "".join(f"{255 - round(kept * (255 - int(c[i : i + 2], 16))):02x}" for i in (1, 3, 5)) for c in PALETTE]
+    return out
 
 
 def line_styles(points: DataFrame, n: int) -> DataFrame:
