@@ -102,6 +102,102 @@ def q_consensus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.tables(samples, "median", skeletons(spark, sf_dir))
 
 
+SAMPLES = f"""
+{FILLED}
+r AS (SELECT DISTINCT image_id, sample_idx, row_label FROM cand),
+f AS (SELECT r.*, c.col_label, cand.value FROM r CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label) LEFT JOIN cand USING (image_id, sample_idx, row_label, col_label)),
+smp AS (
+  SELECT image_id, sample_idx, chr(9) || 'A' || chr(9) || 'N' || chr(9) || 'R' || chr(10) || string_agg(line, chr(10) ORDER BY row_label) AS tsv
+  FROM (SELECT image_id, sample_idx, row_label, row_label || chr(9) || string_agg(coalesce(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), 'nan'), chr(9) ORDER BY col_label) AS line FROM f GROUP BY image_id, sample_idx, row_label)
+  GROUP BY image_id, sample_idx)"""
+TABLES = f"""{SAMPLES},
+w AS (SELECT image_id, CAST(y AS VARCHAR) AS row_label, col_label FROM (SELECT DISTINCT image_id FROM cand) CROSS JOIN range(1992, 2000) t(y) CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)),
+m AS (SELECT image_id, row_label, col_label, coalesce(value, 0.0) AS value, round(median(coalesce(value, 0.0)) OVER (PARTITION BY image_id, row_label, col_label), 6) AS med FROM f),
+a AS (SELECT image_id, row_label, col_label, any_value(med) AS med, round(median(abs(value - med)), 6) AS mad FROM m GROUP BY image_id, row_label, col_label),
+l AS (
+  SELECT image_id, row_label, row_label || chr(9) || string_agg(coalesce(CAST(med AS VARCHAR), ''), chr(9) ORDER BY col_label) AS told,
+         row_label || chr(9) || string_agg(coalesce(CAST(mad AS VARCHAR), ''), chr(9) ORDER BY col_label) AS spread
+  FROM w LEFT JOIN a USING (image_id, row_label, col_label) GROUP BY image_id, row_label),
+t AS (
+  SELECT image_id, chr(9) || 'A' || chr(9) || 'N' || chr(9) || 'R' || chr(10) || string_agg(told, chr(10) ORDER BY row_label) AS told,
+         chr(9) || 'A' || chr(9) || 'N' || chr(9) || 'R' || chr(10) || string_agg(spread, chr(10) ORDER BY row_label) AS spread FROM l GROUP BY image_id)
+SELECT image_id, CASE WHEN count(*) > 1 THEN any_value(told) ELSE any_value(tsv) END AS tsv_data, CASE WHEN count(*) > 1 THEN any_value(spread) ELSE '' END AS mad_tsv, false AS used_fallback,
+       count(*) AS num_samples, CAST(100 * count(*) AS BIGINT) AS total_input_tokens, CAST(sum(length(tsv)) AS BIGINT) AS total_output_tokens FROM smp JOIN t USING (image_id) GROUP BY image_id"""
+
+
+def q_variance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MADs of each supplier's consensus by place, and their mean and largest."""
+    cells = consensus.aggregated(consensus.cell_values(candidates(spark, sf_dir), ["image_id"]), ["median"])
+    placed = cells.withColumns({"row_pos": F.col("row_label").cast("int"), "col_pos": F.ascii("col_label")})
+    out = consensus.variance_map(placed)
+    shown = F.transform(F.array_sort(F.map_entries("variance")), lambda e: F.concat_ws("=", e["key"], T.python_text(e["value"])))
+    return out.select("image_id", F.array_join(shown, ";").alias("variance"), F.round("mean_mad", 4).alias("mean_mad"), F.round("max_mad", 4).alias("max_mad"))
+
+
+VARIANCE_MAP = f"""
+{FILLED}
+m AS (SELECT *, round(median(value) OVER (PARTITION BY image_id, row_label, col_label), 6) AS med FROM cand),
+a AS (SELECT image_id, row_label || ',' || ascii(col_label) AS place, round(median(abs(value - med)), 6) AS mad FROM m GROUP BY image_id, row_label, col_label)
+SELECT image_id, string_agg(place || '=' || CAST(mad AS VARCHAR), ';' ORDER BY place) AS variance, round(avg(mad), 4) AS mean_mad, round(max(mad), 4) AS max_mad FROM a GROUP BY image_id"""
+
+
+def q_normalized_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small tables with a quoted tab in the header and a quote in the row label; cells with thousands' commas and words."""
+    p = _table(spark, sf_dir, "part")
+    text = F.concat(F.lit('"a\tb"\tc\n"'), F.col("p_brand"), F.lit(' ""x"" y"\t'), F.format_string("1,%03d pieces", F.col("p_size")), F.lit("\n"), F.col("p_name"), F.lit("\tnone\t-"), F.col("p_size").cast("string"), F.lit("%\n"))
+    return tables.normalized_tsv(p.select("p_partkey", text.alias("tsv_data")), ["p_partkey"])
+
+
+NORMALIZED_TSV = """
+SELECT p_partkey, '"a' || chr(9) || 'b"' || chr(9) || 'c' || chr(10) || '"' || p_brand || ' ""x"" y"' || chr(9) || '1' || format('{:03d}', p_size) || chr(10)
+       || p_name || chr(9) || '0' || chr(9) || '-' || p_size || chr(10) AS tsv_data FROM part"""
+
+
+def q_sample_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as samples, stored as the list of each key."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("sample_idx"), F.when(F.col("o_orderstatus") != "P", F.concat(F.col("o_orderpriority"), F.lit('\t"q"'))).alias("tsv_data"), F.lit(7).cast("long").alias("input_tokens"), F.col("o_orderkey").alias("output_tokens"))
+    return caches.sample_lists(o)
+
+
+SAMPLE_LISTS = """
+SELECT o_custkey AS image_id, '[' || string_agg('{"csv_data":' || CASE WHEN o_orderstatus <> 'P' THEN '"' || o_orderpriority || '\\t\\"q\\""' ELSE 'null' END || ',"input_tokens":7,"output_tokens":' || o_orderkey || '}', ',' ORDER BY o_orderkey) || ']' AS value
+FROM orders GROUP BY o_custkey"""
+
+
+def q_next_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next three samples of each customer, after as many as its number's last digit; orders are the stored ones."""
+    o = _table(spark, sf_dir, "orders")
+    stored = o.select(F.col("o_custkey").alias("image_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("sample_idx"), F.col("o_orderpriority").alias("tsv_data"))
+    cursors = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"), (F.col("c_custkey") % 10).cast("int").alias("next_idx"))
+    return caches.next_samples(stored, cursors, 3).withColumn("sample_idx", F.col("sample_idx").cast("long"))
+
+
+NEXT_SAMPLES = """
+WITH s AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderpriority FROM orders)
+SELECT c_custkey AS image_id, CAST(c_custkey % 10 + t.j AS BIGINT) AS sample_idx, o_orderpriority AS tsv_data, s.i IS NOT NULL AS stored
+FROM customer CROSS JOIN range(0, 3) t(j) LEFT JOIN s ON o_custkey = c_custkey AND i = c_custkey % 10 + t.j"""
+
+
+def q_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a request for each customer's chart holds: data URL, prompt, provider and keys, of six models in turn."""
+    c = _table(spark, sf_dir, "customer")
+    model = F.get(F.array(*[F.lit(m) for m in MODELS]), (F.col("c_custkey") % len(MODELS)).cast("int"))
+    skeleton = F.concat(F.lit(" \tA \n"), F.col("c_name"), F.lit("\t_"))
+    path = F.concat(F.lit("x/"), F.col("c_name"), F.lit(".JPG"))
+    return c.select(
+        "c_custkey", T.data_url(path, F.col("c_name").cast("binary")).alias("url"), T.structured_prompt(skeleton).alias("prompt"), T.provider(model).alias("provider"),
+        T.sample_key(path, model, F.lit(None).cast("double"), F.lit("p"), F.when(F.col("c_custkey") % 2 == 0, skeleton)).alias("key"),
+    )
+
+
+MODELS = ["qwen/a", "bytedance-seed/b", "meta-llama/c", "gpt-d", "gemini-e", "claude-f"]
+REQUESTS = f"""
+WITH m AS (SELECT *, {MODELS}[1 + c_custkey % {len(MODELS)}] AS model, ' ' || chr(9) || 'A ' || chr(10) || c_name || chr(9) || '_' AS skeleton FROM customer)
+SELECT c_custkey, 'data:image/jpeg;base64,' || base64(encode(c_name)) AS url, '{T.PROMPT} Use exactly these headers: A' || chr(10) || 'Fill in this table:' || chr(10) || skeleton AS prompt,
+       {[dict(T.PROVIDERS)[next(p for p, _ in T.PROVIDERS if m.startswith(p))] for m in MODELS]}[1 + c_custkey % {len(MODELS)}] AS provider,
+       sha256('x/' || c_name || '.JPG|' || model || '|None|p' || CASE WHEN c_custkey % 2 = 0 THEN '|' || skeleton ELSE '' END) AS key FROM m"""
+
+
 def q_fuzzy_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus without a skeleton, over tables whose column labels differ in case from sample to sample."""
     samples = candidate_tables(spark, sf_dir)
@@ -145,10 +241,22 @@ SELECT image_id, prefix_k, same_cells, round(share, 9) AS stable_share, exact, s
 )
 
 
-def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tolerant convergence with patience 2; a prefix's value is its number of cells and their sum."""
+def _told(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of the prefixes, and each prefix's consensus as text: image_id, prefix_k, value."""
     cells = _steps(spark, sf_dir)
-    value = cells.groupBy("image_id", "prefix_k").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    shown = cells.withColumns({"row_pos": F.col("row_label").cast("int"), "col_pos": F.ascii("col_label"), "v": T.python_text(F.col("median"))})
+    return cells, tables.to_tsv(shown, ["image_id", "prefix_k"], "v", name="value")
+
+
+TOLD = """lines AS (
+  SELECT image_id, prefix_k, row_label, string_agg(col_label, chr(9) ORDER BY col_label) AS head,
+         row_label || chr(9) || string_agg(CAST(median AS VARCHAR), chr(9) ORDER BY col_label) AS line FROM steps GROUP BY image_id, prefix_k, row_label),
+v AS (SELECT image_id, prefix_k, chr(9) || arg_min(head, row_label) || chr(10) || string_agg(line, chr(10) ORDER BY row_label) AS value FROM lines GROUP BY image_id, prefix_k)"""
+
+
+def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tolerant convergence with patience 2; a prefix's value is its consensus as text."""
+    cells, value = _told(spark, sf_dir)
     steps = value.join(convergence.stability(cells, tolerance=0.3, coverage=0.5).select("image_id", "prefix_k", "stable_share"), ["image_id", "prefix_k"], "left")
     steps = steps.withColumns({"calm": F.coalesce(F.col("stable_share") >= 0.5, F.lit(False)), "has_content": F.lit(True), "used_fallback": F.lit(False)})
     out = convergence.incremental(steps, patience=2, stable="calm")
@@ -157,11 +265,11 @@ def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INCREMENTAL = (
     PREFIX
-    + """,
+    + f""",
 b AS (SELECT coalesce(x.image_id, y.image_id) AS image_id, coalesce(x.prefix_k + 1, y.prefix_k) AS prefix_k, x.median AS was, y.median AS now
       FROM steps x FULL JOIN steps y ON x.image_id = y.image_id AND x.prefix_k + 1 = y.prefix_k AND x.row_label = y.row_label AND x.col_label = y.col_label),
 s AS (SELECT image_id, prefix_k, avg(CASE WHEN abs(was - now) <= greatest(0.1, 0.3 * abs(was)) THEN 1.0 ELSE 0.0 END) >= 0.5 AS calm FROM b GROUP BY image_id, prefix_k HAVING count(was) > 0 AND count(now) > 0),
-v AS (SELECT image_id, prefix_k, CAST(count(*) AS VARCHAR) AS value FROM steps GROUP BY image_id, prefix_k),
+{TOLD},
 o AS (SELECT v.*, coalesce(calm, false) AND v.prefix_k > min(v.prefix_k) OVER (PARTITION BY image_id) AS ok, lag(value) OVER (PARTITION BY image_id ORDER BY prefix_k) AS before FROM v LEFT JOIN s USING (image_id, prefix_k)),
 i AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY prefix_k) AS island FROM o),
 r AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, island ORDER BY prefix_k) AS run FROM i),
@@ -227,15 +335,15 @@ SELECT o_orderkey, raw, coalesce(x, 0.0) AS value, x AS value_or_null FROM v"""
 
 
 def q_fenced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    head = F.substring("text", 1, 20)
+    """Whole texts in a tagged fence, in one with another tag, or in none."""
+    c, head = _table(spark, sf_dir, "conversations"), F.col("text")
     said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```tsv\n"), head, F.lit("\n```\nand ```more```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("```csv\n"), head, F.lit("\n```"))).otherwise(head)
     return c.select("conv_id", "turn", T.fenced_table(said).alias("tsv_data"))
 
 
 FENCED = r"""
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN regexp_replace(left(text, 20), '^\s+|\s+$', '', 'g')
-  WHEN 1 THEN regexp_replace('csv' || chr(10) || left(text, 20), '^\s+|\s+$', '', 'g') END AS tsv_data FROM conversations WHERE text IS NOT NULL"""
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN regexp_replace(text, '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g')
+  WHEN 1 THEN regexp_replace('csv' || chr(10) || text, '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g') END AS tsv_data FROM conversations"""
 
 
 def q_conforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,16 +386,18 @@ SELECT target, prediction, round(CASE WHEN target = prediction THEN 1.0 WHEN d <
 
 
 def q_value_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line by line: a truth of 0, percentages, what is no number, a date for a number, two dates, and numbers."""
     li = _table(spark, sf_dir, "lineitem")
-    t = F.when(F.col("l_linenumber") == 1, F.lit("0")).when(F.col("l_linenumber") == 2, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%"))).when(F.col("l_linenumber") == 3, F.lit("nan")).otherwise(F.col("l_quantity").cast("int").cast("string"))
-    p = F.when(F.col("l_linenumber") == 3, F.lit("nan")).when(F.col("l_linenumber") == 4, F.col("l_shipdate").cast("string")).otherwise((F.col("l_quantity") + F.col("l_partkey") % 3).cast("int").cast("string"))
-    return li.select("l_orderkey", "l_linenumber", F.round(T.value_penalty(t, p), 9).alias("penalty")).filter("l_linenumber != 4")
+    t = F.when(F.col("l_linenumber") == 5, F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 40).cast("int")).cast("string")).when(F.col("l_linenumber") == 1, F.lit("0")).when(F.col("l_linenumber") == 2, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%"))).when(F.col("l_linenumber") == 3, F.lit("nan")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    p = F.when(F.col("l_linenumber") == 3, F.lit("nan")).when(F.col("l_linenumber").isin(4, 5), F.col("l_shipdate").cast("date").cast("string")).otherwise((F.col("l_quantity") + F.col("l_partkey") % 3).cast("int").cast("string"))
+    return li.select("l_orderkey", "l_linenumber", F.round(T.value_penalty(t, p), 9).alias("penalty"))
 
 
 PENALTY = """
-WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN floor(l_quantity) / 100 ELSE floor(l_quantity) END AS t, floor(l_quantity + l_partkey % 3) AS p FROM lineitem WHERE l_linenumber <> 4),
-y AS (SELECT *, least(abs((t - p) / t), 1.0) AS d FROM x)
-SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber = 1 THEN 0.0 WHEN l_linenumber = 3 THEN 1.0 WHEN d < 0.1 THEN d ELSE 1.0 END, 9) AS penalty FROM y"""
+WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN floor(l_quantity) / 100 ELSE floor(l_quantity) END AS t, floor(l_quantity + l_partkey % 3) AS p,
+              CASE WHEN l_linenumber = 5 THEN strftime(CAST(l_shipdate AS DATE) + CAST(l_orderkey % 40 AS INT), '%Y-%m-%d') ELSE CAST(CAST(floor(l_quantity) AS INT) AS VARCHAR) END AS a, strftime(l_shipdate, '%Y-%m-%d') AS b FROM lineitem),
+y AS (SELECT *, least(abs((t - p) / t), 1.0) AS d, levenshtein(a, b) / greatest(length(a), length(b)) AS e FROM x)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber IN (4, 5) THEN CASE WHEN e < 0.5 THEN e ELSE 1.0 END WHEN l_linenumber = 1 THEN 0.0 WHEN l_linenumber = 3 THEN 1.0 WHEN d < 0.1 THEN d ELSE 1.0 END, 9) AS penalty FROM y"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,27 +416,59 @@ def q_eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.evaluate(_pairs(spark, sf_dir))
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_eval_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's first sample against a list of references: another table, a null, and its own text transposed or as it is."""
+    t = candidate_tables(spark, sf_dir)
+    first = t.groupBy("image_id").agg(F.min_by("tsv_data", "sample_idx").alias("model_answer"))
+    own = F.when(F.col("image_id") % 2 == 0, F.col("model_answer"))
+    pairs = first.select(F.col("image_id").alias("pair_id"), "model_answer", F.array(F.lit("a\tb\nc\t1"), F.lit(None).cast("string"), own).alias("gt_answer"))
+    out = evaluation.per_pair(pairs.filter("pair_id % 2 = 0").unionByName(pairs.filter("pair_id % 2 = 1").withColumn("gt_answer", F.array(F.lit("q\tb\nc\t1"), F.col("model_answer")))))
+    return out.select("pair_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", *evaluation.BUCKETS)])
+
+
+def _wide(spark: SparkSession, sf_dir: str, keep_number: bool = False) -> DataFrame:
     """Yearly totals of orders by priority and nation, with some made null by their number."""
     o, c, n = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     long = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     out = long.groupBy(F.col("o_orderpriority").alias("series_name"), F.col("n_name").alias("country_name"), F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"), F.min("n_nationkey").alias("k"))
-    return out.withColumn("value", F.when((F.col("k") * 7 + F.col("year")) % 23 != 0, F.col("value"))).drop("k")
+    out = out.withColumn("value", F.when((F.col("k") * 7 + F.col("year")) % 23 != 0, F.col("value")))
+    return out if keep_number else out.drop("k")
 
 
 def q_prune_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.pruned(_wide(spark, sf_dir), large=2.5e6)
+    """Nations by their number modulo 5: the first two years null (too many gaps), the first one null (stays), values of a million times (too large), and others as they are, some with a gap inside."""
+    at, year = F.col("k") % 5, F.col("year")
+    early = ((at == 0) & (year <= 1996)) | ((at == 1) & (year <= 1995))
+    value = F.when(~early, F.when(at == 2, F.col("value") * 1e6).otherwise(F.col("value")))
+    return series.pruned(_wide(spark, sf_dir, True).withColumn("value", value).drop("k"), prune_at=2, large=1e10)
 
 
 WIDE = """
 WITH w AS (SELECT o_orderpriority AS series_name, n_name AS country_name, CAST(year(o_orderdate) AS INT) AS year,
                   CASE WHEN (min(n_nationkey) * 7 + year(o_orderdate)) % 23 <> 0 THEN CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value
            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY o_orderpriority, n_name, year(o_orderdate))"""
-PRUNE = (
+def q_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of three nations of a priority each, with a year and a nation that it has no values of."""
+    w = _wide(spark, sf_dir)
+    specs = w.select("series_name").distinct().select(F.col("series_name").alias("chart_id"), "series_name", F.array(F.lit("NATION_3"), F.lit("ATLANTIS"), F.lit("NATION_7")).alias("countries"), F.array(*[F.lit(y) for y in range(1994, 2003)]).alias("years"))
+    return series.prepared(specs, w).withColumn("series_pos", F.col("series_pos").cast("long"))
+
+
+PREPARED = (
     WIDE
+    + """
+SELECT s.series_name AS chart_id, c.pos AS series_pos, c.name AS country_name, CAST(y AS INT) AS year, w.value
+FROM (SELECT DISTINCT series_name FROM w) s CROSS JOIN (VALUES (0::BIGINT, 'NATION_3'), (1, 'ATLANTIS'), (2, 'NATION_7')) c(pos, name) CROSS JOIN range(1994, 2003) t(y)
+LEFT JOIN w ON w.series_name = s.series_name AND w.country_name = c.name AND w.year = y"""
+)
+
+
+PRUNE = (
+    WIDE.replace("WITH w AS (SELECT", "WITH w0 AS (SELECT min(n_nationkey) AS k,")
     + """,
-s AS (SELECT series_name, country_name, min(year) FILTER (WHERE value IS NOT NULL) AS a, max(year) FILTER (WHERE value IS NOT NULL) AS b, count(*) FILTER (WHERE value IS NULL) AS gaps, coalesce(max(abs(value)) >= 2.5e6, false) AS huge FROM w GROUP BY ALL),
-ok AS (SELECT * FROM s WHERE gaps < 32 AND NOT huge AND NOT EXISTS (SELECT 1 FROM w WHERE w.series_name = s.series_name AND w.country_name = s.country_name AND w.value IS NULL AND w.year BETWEEN s.a AND s.b))
+w AS (SELECT series_name, country_name, year, CASE WHEN (k % 5 = 0 AND year <= 1996) OR (k % 5 = 1 AND year <= 1995) THEN NULL WHEN k % 5 = 2 THEN value * 1e6 ELSE value END AS value FROM w0),
+s AS (SELECT series_name, country_name, min(year) FILTER (WHERE value IS NOT NULL) AS a, max(year) FILTER (WHERE value IS NOT NULL) AS b, count(*) FILTER (WHERE value IS NULL) AS gaps, coalesce(max(abs(value)) >= 1e10, false) AS huge FROM w GROUP BY ALL),
+ok AS (SELECT * FROM s WHERE gaps < 2 AND NOT huge AND NOT EXISTS (SELECT 1 FROM w WHERE w.series_name = s.series_name AND w.country_name = s.country_name AND w.value IS NULL AND w.year BETWEEN s.a AND s.b))
 SELECT w.* FROM w SEMI JOIN ok USING (series_name, country_name)"""
 )
 
@@ -369,8 +511,8 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometry of grouped and of stacked bars."""
     p = _points(spark, sf_dir)
-    both = series.grouped_bars(p).join(series.stacked(p).select("chart_id", "country_name", "year", "bottom", "top"), ["chart_id", "country_name", "year"])
-    return both.select(T.axis_label(F.col("chart_id")).alias("label"), "country_name", "year", *[F.round(c, 4).alias(c) for c in ("x", "width", "height", "bottom", "top")])
+    both = series.grouped_bars(p).join(series.stacked(p).select("chart_id", "country_name", "year", "bottom", "top", F.col("x").alias("stack_x"), F.col("width").alias("stack_width")), ["chart_id", "country_name", "year"])
+    return both.select(T.axis_label(F.col("chart_id")).alias("label"), "country_name", "year", *[F.round(c, 4).alias(c) for c in ("x", "width", "height", "bottom", "top", "stack_x", "stack_width")])
 
 
 BARS = (
@@ -382,7 +524,8 @@ p AS (SELECT w.*, pos, CASE WHEN len(years) > 1 THEN years[2] - years[1] ELSE 1
 SELECT upper(left(replace(series_name, '_', ' '), 1)) || lower(substr(replace(series_name, '_', ' '), 2)) AS label, country_name, year,
        round(year - 0.4 * spacing + 0.8 * spacing / n * (pos + 0.5), 4) AS x, round(0.8 * spacing / n, 4) AS width, round(coalesce(value, 0.0), 4) AS height,
        round(coalesce(sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 4) AS bottom,
-       round(sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos), 4) AS top FROM p"""
+       round(sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos), 4) AS top,
+       CAST(year AS DOUBLE) AS stack_x, round(CAST(0.65 * spacing AS DOUBLE), 4) AS stack_width FROM p"""
 )
 
 
@@ -402,6 +545,15 @@ f AS (SELECT r.*, lower(col_label) AS col_label, col_pos, coalesce(CAST(CAST(val
 TRANSPOSE = GRID + " SELECT image_id, sample_idx, col_label AS row_label, row_label AS col_label, value FROM f"
 
 
+REFERENCES = (
+    GRID
+    + """,
+x AS (SELECT image_id, count(*) + 1 AS n, count(*) FILTER (WHERE value = 'nan') AS bad FROM f JOIN (SELECT image_id, min(sample_idx) AS sample_idx FROM cand GROUP BY image_id) USING (image_id, sample_idx) WHERE col_pos < 3 GROUP BY image_id)  -- the corner is empty, so headers move by one
+SELECT image_id AS pair_id, round((n - bad) / n, 6) AS "precision", round((n - bad) / n, 6) AS recall, round((n - bad) / n, 6) AS f1, round(100 * (n - bad) / n, 6) AS correct,
+       round(100 * bad / n, 6) AS value_errors, 0.0::DOUBLE AS label_errors, 0.0::DOUBLE AS missing_datapoints, 0.0::DOUBLE AS extra_datapoints FROM x"""
+)
+
+
 def q_datapoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datapoints of candidate tables whose row labels are decades, so that keys repeat: the first place, the last value."""
     long = candidates(spark, sf_dir).groupBy("image_id", "sample_idx", "row_pos", F.substring("row_label", 1, 3).alias("row_label"))
@@ -458,31 +610,27 @@ def q_eval_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVAL_NESTED = NESTED + ' SELECT round(100 * avg("precision"), 4) AS "precision", round(100 * avg(recall), 4) AS recall, round(100 * avg(f1), 4) AS f1, ' + ", ".join(f"round(avg({b}), 4) AS {b}" for b in evaluation.BUCKETS) + " FROM n"
 
 
-def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cells = _steps(spark, sf_dir)
-    return cells, cells.groupBy("image_id", "prefix_k").agg(F.count(F.lit(1)).cast("string").alias("value"))
-
-
 def q_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convergence.fixed(_sized(spark, sf_dir)[1], 5)
+    return convergence.fixed(_told(spark, sf_dir)[1], 5)
 
 
-FIXED = PREFIX + " SELECT image_id, CAST(count(*) AS VARCHAR) AS value, false AS converged FROM steps WHERE prefix_k = 5 GROUP BY image_id"
+FIXED = f"{PREFIX}, {TOLD} SELECT image_id, value, false AS converged FROM v WHERE prefix_k = 5"
 
 
 def q_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first prefix of four samples or more whose mean MAD is small; its value is its number of cells."""
-    cells, sized = _sized(spark, sf_dir)
+    """The first prefix of four samples or more whose mean MAD is small; its value is its consensus as text."""
+    cells, told = _told(spark, sf_dir)
     done = convergence.variance(cells, threshold=20_000.0, every_cell=False).select("image_id", "prefix_k", "done")
-    out = convergence.adaptive(sized.join(done, ["image_id", "prefix_k"]), "done", 4)
+    out = convergence.adaptive(told.join(done, ["image_id", "prefix_k"]), "done", 4)
     return out.withColumn("convergence_iteration", F.col("convergence_iteration").cast("long"))
 
 
 ADAPTIVE = (
     PREFIX
-    + """,
-v AS (SELECT image_id, prefix_k, CAST(count(*) AS VARCHAR) AS value, avg(mad) <= 20000 AND prefix_k >= 4 AS ok FROM steps GROUP BY image_id, prefix_k),
-o AS (SELECT image_id, min(prefix_k) FILTER (WHERE ok) AS k, arg_min(value, prefix_k) FILTER (WHERE ok) AS hit, arg_max(value, prefix_k) AS latest FROM v GROUP BY image_id)
+    + f""",
+{TOLD},
+j AS (SELECT image_id, prefix_k, avg(mad) <= 20000 AND prefix_k >= 4 AS ok FROM steps GROUP BY image_id, prefix_k),
+o AS (SELECT image_id, min(prefix_k) FILTER (WHERE ok) AS k, arg_min(value, prefix_k) FILTER (WHERE ok) AS hit, arg_max(value, prefix_k) AS latest FROM v JOIN j USING (image_id, prefix_k) GROUP BY image_id)
 SELECT image_id, k IS NOT NULL AS converged, k AS convergence_iteration, CASE WHEN k IS NULL THEN latest ELSE hit END AS value FROM o"""
 )
 
@@ -516,15 +664,15 @@ SELECT o_custkey, coalesce(arg_min(tsv_data, attempt) FILTER (WHERE ok), arg_max
 
 def q_unpivot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The yearly totals laid out wide, as the CSV files are, and read back."""
-    wide = _wide(spark, sf_dir).groupBy("series_name", "country_name").pivot("year", list(range(1992, 1999))).agg(F.first("value"))
-    text = wide.select("series_name", F.lit("-").alias("code"), "country_name", F.lit("-").alias("country_code"), *[F.coalesce(F.col(str(y)).cast("string"), F.lit("..")).alias(f"{y} [YR{y}]") for y in range(1992, 1999)])
+    wide = _wide(spark, sf_dir).groupBy("series_name", "country_name").pivot("year", list(range(1995, 2002))).agg(F.first("value"))
+    text = wide.select("series_name", F.lit("-").alias("code"), "country_name", F.lit("-").alias("country_code"), *[F.coalesce(F.col(str(y)).cast("string"), F.lit("..")).alias(f"{y} [YR{y}]") for y in range(1995, 2002)])
     return caches.unpivoted(text)
 
 
 UNPIVOT = (
     WIDE
     + """,
-g AS (SELECT DISTINCT series_name, country_name, y AS year FROM w CROSS JOIN range(1992, 1999) t(y))
+g AS (SELECT DISTINCT series_name, country_name, y AS year FROM w CROSS JOIN range(1995, 2002) t(y))
 SELECT g.series_name, g.country_name, CAST(g.year AS INT) AS year, w.value FROM g LEFT JOIN w ON g.series_name = w.series_name AND g.country_name = w.country_name AND g.year = w.year"""
 )
 
@@ -551,19 +699,26 @@ SELECT series_name AS chart_id, pos AS series_pos, country_name, year, round(sum
 
 
 def q_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer as a dataset: chart type, library and two of its style's options."""
+    """Each customer as a dataset: chart type, library and all options of its style."""
     out = series.charts(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("set_no")))
-    return out.select("set_no", "chart_type", "library", F.col("style")["title"].alias("title"), F.coalesce(F.col("style")["width"], F.lit("-")).alias("width"))
+    shown = F.transform(F.array_sort(F.map_entries("style")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("set_no", "chart_type", "library", F.array_join(shown, ";").alias("style"))
 
 
-def _drawn(what: str, options: list[str]) -> str:
-    return f"[{', '.join(repr(o) for o in options)}][1 + CAST('0x' || left(md5('{what}|' || c_custkey), 7) AS BIGINT) % {len(options)}]"
+def _drawn(what: str, options: list[str] | tuple) -> str:
+    """series.choice() in SQL, by c_custkey."""
+    n = f"CAST('0x' || left(md5('{what}|' || c_custkey), 7) AS BIGINT)"
+    if isinstance(options, list):
+        return f"[{', '.join(repr(o) for o in options)}][1 + {n} % {len(options)}]"
+    low, high = options
+    if isinstance(low, int):
+        return f"CAST({n} % {high - low + 1} + {low} AS VARCHAR)"
+    return f"format('{{:.2f}}', {low}::DOUBLE + {high - low}::DOUBLE * {n} / {1 << 28})"
 
 
 CHARTS = f"""
-WITH c AS (SELECT c_custkey, {_drawn("type", list(series.CHART_TYPES))} AS chart_type, {_drawn("library", list(series.LIBRARIES))} AS library, {_drawn("title", series.TITLES)} AS title FROM customer)
-SELECT c_custkey AS set_no, chart_type, library, title,
-       CASE WHEN library IN ('plotly', 'bokeh') THEN CAST(800 + CAST('0x' || left(md5('width|' || c_custkey), 7) AS BIGINT) % 201 AS VARCHAR) ELSE '-' END AS width FROM c"""
+WITH c AS (SELECT c_custkey, {_drawn("type", list(series.CHART_TYPES))} AS chart_type, {_drawn("library", list(series.LIBRARIES))} AS library FROM customer)
+SELECT c_custkey AS set_no, chart_type, library, CASE library {" ".join(f"WHEN '{lib}' THEN " + " || ';' || ".join(f"'{k}=' || {_drawn(k, style[k])}" for k in sorted(style)) for lib, style in series.STYLES.items())} END AS style FROM c"""
 
 
 def q_line_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,6 +730,7 @@ QUERIES: dict = {f.__name__: f for f in (
     q_cell_all, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
     q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_area_line, q_charts, q_line_styles,
+    q_variance_map, q_normalized_tsv, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references,
 )}
 ORACLES: dict = {
     "q_cell_all": CELL_ALL, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
@@ -582,4 +738,6 @@ ORACLES: dict = {
     "q_conforms": CONFORMS, "q_cache_key": CACHE_KEY, "q_anls_pairs": ANLS, "q_value_penalty": PENALTY, "q_prune_series": PRUNE, "q_sample_datasets": SAMPLE, "q_subsample": SUBSAMPLE, "q_bars": BARS,
     "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
     "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_area_line": AREA, "q_charts": CHARTS,
+    "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_prepared": PREPARED, "q_requests": REQUESTS,
+    "q_eval_references": REFERENCES,
 }

@@ -105,3 +105,55 @@ def test_pruning(spark):
 def test_subsample_and_prompts(spark):
     df = spark.range(1).select(series.subsampled(F.expr("transform(sequence(0, 28), x -> x)")).alias("x"), T.clean_skeleton(F.lit("a_b\tc_d\n\n_x_\t_\t_")).alias("s"), T.axis_label(F.lit("gDP_per CAPITA")).alias("l"))
     assert df.first().x == list(range(0, 29, 2)) and df.first().s == "a b\tc d\nx\t_\t_" and df.first().l == "Gdp per capita"
+
+
+def test_normalized_texts_are_quoted_as_by_a_csv_writer(spark):
+    import csv
+    import io
+
+    from quorumtab.functions.text import cell_number_text
+    from quorumtab.operators import tables
+
+    texts = ['"x\ty"\tb\n"q""r"\t1,000\t"2\n3"\n', "a\tb\tc\nr\t5%", "h\n", '"a ""b"" c"\tz\nr\tnan\n']
+    df = spark.createDataFrame(list(enumerate(texts)), "image_id long, tsv_data string")
+    numbers = {r.raw: r.v for r in tables.cells(df, ["image_id"]).withColumn("v", cell_number_text(F.col("raw"))).collect()}
+    for r in tables.normalized_tsv(df, ["image_id"]).collect():
+        out = io.StringIO()
+        writer = csv.writer(out, delimiter="\t", lineterminator="\n")
+        for i, row in enumerate(csv.reader(io.StringIO(texts[r.image_id]), delimiter="\t")):
+            writer.writerow([c if i == 0 or j == 0 else numbers[c] for j, c in enumerate(row)])
+        assert r.tsv_data == out.getvalue()
+
+
+def test_best_of_several_references(spark):
+    from quorumtab.operators import evaluation
+
+    rows = [(1, ["a\tb\nc\t1", "x\ty\nz\t2"], "x\ty\nz\t2"), (2, [], "x\ty\nz\t2"), (3, None, ""), (4, ["q\tw\ne\t0"], "q\tw\ne\t5")]
+    df = spark.createDataFrame(rows, "pair_id long, gt_answer array<string>, model_answer string")
+    got = {r.pair_id: r.f1 for r in evaluation.per_pair(df).collect()}
+    assert got[1] == 1.0 and got[3] == 1.0 and got[2] < 1 and got[4] == 1.0
+    strict = {r.pair_id: r.f1 for r in evaluation.per_pair(df, zero_target="strict").collect()}
+    assert strict[4] == 0.5
+
+
+def test_geometry_by_chart_type_and_unknown_library(spark):
+    from quorumtab.operators import series
+
+    points = spark.createDataFrame([("c", s, f"n{s}", y, 1.0 + s) for s in range(2) for y in (2000, 2002)], "chart_id string, series_pos int, country_name string, year int, value double")
+    bars = {(r.series_pos, r.year): r for r in series.geometry(points, "stacked_bar").collect()}
+    assert (bars[1, 2000].bottom, bars[1, 2000].top, bars[1, 2000].x) == (1.0, 3.0, 2000.0) and abs(bars[1, 2000].width - 1.3) < 1e-9
+    for kind in series.CHART_TYPES:
+        assert series.geometry(points, kind, "bokeh").count() == 4
+    for bad in (("line", "excel"), ("pie", "bokeh")):
+        with pytest.raises(ValueError):
+            series.geometry(points, *bad)
+    assert len(set(series.colors(30))) >= 30 and series.colors(3)[:3] == series.PALETTE[:3]
+
+
+def test_pruning_drops_by_each_rule(spark):
+    from quorumtab.operators import series
+
+    rows = [("s", "few gaps", 2000, None), ("s", "few gaps", 2001, 1.0), ("s", "gaps", 2000, None), ("s", "gaps", 2001, None), ("s", "gaps", 2002, 1.0),
+            ("s", "inside", 2000, 1.0), ("s", "inside", 2001, None), ("s", "inside", 2002, 1.0), ("s", "large", 2000, -1e12), ("s", "fine", 2000, 5.0)]
+    df = spark.createDataFrame(rows, "series_name string, country_name string, year int, value double")
+    assert {r.country_name for r in series.pruned(df, prune_at=2, large=1e11).collect()} == {"few gaps", "fine"}
