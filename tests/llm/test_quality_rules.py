@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+from quorumtab.llm import quality_rules
 from quorumtab.llm.quality_rules import accepted, judge
 
 ROWS = [
@@ -46,3 +47,21 @@ def test_bad_host_is_rejected_and_clean_hosts_stay(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert judge(df).count() == 0 and accepted(df).count() == 0
+
+
+def test_planted_bad_hosts_over_the_whole_table(spark, sf_dir, duck, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    good = " ".join(f"word{i}" for i in range(40))
+    bad = [(10**7 + i, "short" if i % 10 else f"{good} {i}", "en", "bad.example", 5) for i in range(200)]
+    fair = [(2 * 10**7 + i, "short" if i % 10 == 0 else f"{good} x{i}", "en", "fair.example", 5) for i in range(200)]
+    docs.unionByName(spark.createDataFrame(bad + fair, docs.schema)).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.kept for r in quality_rules.op9_quality_rules(spark, str(tmp_path)).collect()}
+    duck.execute("CREATE SCHEMA IF NOT EXISTS planted")
+    duck.execute(f"CREATE OR REPLACE VIEW planted.documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    duck.execute("SET schema = 'planted'")
+    cur = duck.execute(quality_rules.ORACLE)
+    names = [d[0] for d in cur.description]
+    want = {r[names.index("doc_id")]: r[names.index("kept")] for r in cur.fetchall()}
+    duck.execute("SET schema = 'main'")
+    assert got == want
+    assert not any(got[d] for d, *_ in bad) and sum(got[d] for d, *_ in fair) == 180
