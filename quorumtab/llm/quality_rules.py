@@ -30,7 +30,7 @@ def measured(rows: DataFrame) -> DataFrame:
     """rows (text, ...) with the counts of each document; the steps are columns of their own, so each runs once.
 
     A 5-word window that repeats must share its 64-bit hash with another, so a document whose hashes are all distinct has
-    none. Only other documents sort their windows, as strings with their places: equal neighbours give the places that
+    none; a window's hash is made of its words' hashes, so a word is hashed once and not five times. Only other documents sort their windows, as strings with their places: equal neighbours give the places that
     repeat, and each place adds the words up to the next one, five at most. Time is that of a sort, texts of any length.
     """
     text = F.col("text")
@@ -38,15 +38,20 @@ def measured(rows: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(1), n - WINDOW + 1)
     none = F.array().cast("array<bigint>")
     rows = rows.withColumn("text", whole(text)).withColumn("w", words(text)).withColumn("n_words", F.size("w").cast("long"))
-    rows = rows.withColumn("hashes", F.when(n >= WINDOW, F.transform(at, lambda i: F.xxhash64(F.slice(w, i.cast("int"), WINDOW)))).otherwise(none))
+    rows = rows.withColumn("h1", F.when(n >= WINDOW, F.transform(w, lambda x: F.xxhash64(x))).otherwise(none))
+    for wide, left, right in ((2, 1, 1), (4, 2, 2), (WINDOW, 4, 1)):  # windows of 2 words, of 4 and of 5, each of two narrower ones
+        size = F.greatest(F.size("h1") - (wide - 1), F.lit(0))
+        halves = F.slice(f"h{left}", F.lit(1), size), F.slice(f"h{right}", F.lit(left + 1), size)
+        rows = rows.withColumn(f"h{wide}", F.zip_with(*halves, lambda a, b: F.xxhash64(a, b)))
+    rows = rows.withColumnRenamed(f"h{WINDOW}", "hashes").drop("h1", "h2", "h4")
     windows = F.transform(at, lambda i: F.struct(F.array_join(F.slice(w, i.cast("int"), WINDOW), " ").alias("g"), i.alias("i")))
-    rows = rows.withColumn("sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.array_sort(windows)))
+    rows = rows.withColumn("sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(windows)))
     o = F.col("sorted")
     pairs = F.zip_with(
         F.slice(o, 1, F.size(o) - 1), F.slice(o, 2, F.size(o) - 1),
         lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(none),
     )
-    rows = rows.withColumn("places", F.array_sort(F.array_distinct(F.flatten(pairs))))
+    rows = rows.withColumn("places", F.sort_array(F.array_distinct(F.flatten(pairs))))
     p = F.col("places")
     steps = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.least(b - a, F.lit(WINDOW).cast("long")))
     covered = F.when(F.size(p) > 0, F.aggregate(steps, F.lit(WINDOW).cast("long"), lambda acc, x: acc + x))
