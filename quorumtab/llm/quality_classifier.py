@@ -12,8 +12,9 @@ with the least hash of their id); so what the driver fits and what is broadcast
 input. Labels, languages, sources and ids are never inputs of a score.
 
 Null counts as empty; empty texts have style terms, so they get a score like others. Without labelled rows every score
-is 0.5. Repeated rows get equal scores; of several labels of one id the largest counts. An empty table gives an empty
-result; other columns are ignored.
+is 0.5. Repeated rows get equal scores; of several labels of one id the largest counts. An id is learnt from once: of its
+rows, however many, Spark picks the one whose term counts have the least hash. An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,17 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict |
     usable = usable.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = counted(docs.join(F.broadcast(sample), "doc_id"), kind).collect()  # at most about MAX_LABELLED rows of 2 kB
+    rows = counted(docs.join(F.broadcast(sample), "doc_id"), kind)
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("counts").alias("at"), "counts")).alias("one"))
+    got = sorted((r.doc_id, r.label, bytes(r.counts)) for r in one.select("doc_id", "label", "one.counts").collect())  # at most MAX_LABELLED rows of 2 kB
     if not got:
         return None
-    got = {(r.doc_id, bytes(r.counts)): r.label for r in got}
-    keys = sorted(got)
-    counts = np.frombuffer(b"".join(c for _, c in keys), np.float32).reshape(len(keys), TERMS)
-    idf = (np.log((1 + len(keys)) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
+    counts = np.frombuffer(b"".join(c for _, _, c in got), np.float32).reshape(len(got), TERMS)
+    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
     rows = weighed(counts, idf)
     values, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
     projection = vectors[:, np.argsort(-values)[:RANK]].astype(np.float32)
-    votes = np.array([got[k] for k in keys], np.float32)
+    votes = np.array([label for _, label, _ in got], np.float32)
     return {"idf": idf, "projection": projection, "vectors": unit_rows(rows @ projection), "votes": votes}
 
 

@@ -44,3 +44,14 @@ def test_odd_rows(spark):
     assert len(out) == 6 and all(0 <= r.score <= 1 for r in out)
     assert len({r.score for r in out if r.doc_id == 1}) == 1
     assert q.scored(docs.limit(0), some).count() == 0
+
+
+def test_an_id_is_learnt_from_once(spark):
+    copies = [(3, f"text number {i} of one id") for i in range(400)] + [(3, "the same again")] * 600
+    rows = [(i, f"fine words {i}") for i in range(10, 40)]
+    docs = spark.createDataFrame(copies + rows, "doc_id long, text string").repartition(16)
+    labels = spark.createDataFrame([(3, 0)] + [(i, 1) for i, _ in rows], "doc_id long, label int")
+    model = q.fit(docs, labels)
+    used = [i for i in [3] + [i for i, _ in rows] if zlib.crc32(str(i).encode()) % 5]
+    assert len(model["votes"]) == len(used) and 3 in used and (model["votes"] == 0).sum() == 1
+    assert np.array_equal(model["vectors"], q.fit(docs.repartition(5), labels)["vectors"])
