@@ -201,9 +201,25 @@ SELECT c_custkey, 'data:image/jpeg;base64,' || base64(encode(c_name)) AS url, '{
 def q_fuzzy_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus without a skeleton, over tables whose column labels differ in case from sample to sample."""
     samples = candidate_tables(spark, sf_dir)
-    odd = F.when(F.col("sample_idx") % 2 == 1, F.concat(F.lit("\ta\tn\tr\n"), F.substring_index("tsv_data", "\n", -8))).otherwise(F.col("tsv_data"))
+    odd = F.when(F.col("sample_idx") % 2 == 1, F.regexp_replace("tsv_data", r"\A[^\n]*", "\ta\tn\tr")).otherwise(F.col("tsv_data"))
     out = consensus.free_form(samples.withColumn("tsv_data", odd), ["median"])
-    return out.select("image_id", "row_pos", "col_pos", "row_label", "col_label", "n", "median", "mad")
+    return out.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("row_pos", "col_pos", "n")], "row_label", "col_label", "median", "mad")
+
+
+#: Years are numbers, so they only meet their equals; those in half of the samples stay, in the order of their middle places. Column labels take the case that most samples have.
+FUZZY = f"""{SAMPLES},
+s AS (SELECT image_id, count(DISTINCT sample_idx) AS total FROM r GROUP BY image_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY image_id, sample_idx ORDER BY row_label) AS pos FROM r),
+y AS (SELECT image_id, row_label, count(*) AS seen, min(sample_idx) AS early, median(pos) AS pos FROM p GROUP BY image_id, row_label),
+k AS (SELECT image_id, row_label, row_number() OVER (PARTITION BY image_id ORDER BY pos, seen DESC, early, row_label) AS row_pos FROM y JOIN s USING (image_id) WHERE seen >= 0.5 * total),
+c AS (
+  SELECT image_id, count(*) FILTER (WHERE sample_idx % 2 = 0) AS upper_, count(*) FILTER (WHERE sample_idx % 2 = 1) AS lower_, min(sample_idx) % 2 = 0 AS upper_first
+  FROM (SELECT DISTINCT image_id, sample_idx FROM r JOIN k USING (image_id, row_label)) GROUP BY image_id),
+m AS (
+  SELECT image_id, row_pos, row_label, CASE WHEN upper_ > lower_ OR upper_ = lower_ AND upper_first THEN col_label ELSE lower(col_label) END AS col_label, strpos('ANR', col_label) AS col_pos, coalesce(value, 0.0) AS value
+  FROM f JOIN k USING (image_id, row_label) JOIN c USING (image_id)),
+d AS (SELECT *, round(median(value) OVER (PARTITION BY image_id, row_label, col_label), 6) AS med FROM m)
+SELECT image_id, row_pos, col_pos, row_label, col_label, count(*) AS n, any_value(med) AS median, round(median(abs(value - med)), 6) AS mad FROM d GROUP BY image_id, row_pos, col_pos, row_label, col_label"""
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -640,14 +656,63 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_incremental_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategies.incremental(_samples(spark, sf_dir), strategies.Sampling(exact_match=False, tolerance=0.3, coverage=0.5))
+    out = strategies.incremental(_samples(spark, sf_dir), strategies.Sampling(exact_match=False, tolerance=0.3, coverage=0.5))
+    return out.withColumn("convergence_iteration", F.col("convergence_iteration").cast("long"))
+
+
+PREFIXES = f"""{SAMPLES},
+n AS (SELECT *, max(sample_idx) OVER (PARTITION BY image_id) AS top FROM smp),
+pre AS (SELECT image_id, k, sample_idx, tsv FROM n CROSS JOIN range(3, 11) t(k) WHERE sample_idx < k AND k <= least(top + 1, 10)),
+sums AS (SELECT image_id, k, count(*) AS num_samples, CAST(100 * count(*) AS BIGINT) AS total_input_tokens, CAST(sum(length(tsv)) AS BIGINT) AS total_output_tokens, arg_min(tsv, sample_idx) AS one FROM pre GROUP BY image_id, k)"""
+#: A table's cells are read back from its text, as prefixes that fall back show an earlier text.
+SETTLED = """
+line AS (SELECT image_id, k, row_pos, row_label || chr(9) || string_agg(CAST(med AS VARCHAR), chr(9) ORDER BY col_label) AS line FROM con GROUP BY image_id, k, row_pos, row_label),
+told AS (SELECT image_id, k, '{corner}' || chr(9) || 'A' || chr(9) || 'N' || chr(9) || 'R' || chr(10) || string_agg(line, chr(10) ORDER BY row_pos) AS told FROM line GROUP BY image_id, k),
+own AS (SELECT sums.*, CASE WHEN num_samples > 1 THEN coalesce(told, one) ELSE one END AS text, num_samples > 1 AND told IS NULL AS fell FROM sums LEFT JOIN told USING (image_id, k)),
+v AS (
+  SELECT *, CASE WHEN fell THEN coalesce(last_value(CASE WHEN NOT fell THEN text END IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), text) ELSE text END AS value FROM own),
+parts AS (SELECT image_id, k, string_split(unnest(string_split(value, chr(10))[2:]), chr(9)) AS p FROM v),
+cell AS (SELECT image_id, k, p[1] AS row_label, j, TRY_CAST(nullif(p[j], 'nan') AS DOUBLE) AS x FROM parts CROSS JOIN range(2, 5) t(j)),
+calm AS (
+  SELECT coalesce(b.image_id, a.image_id) AS image_id, coalesce(b.k, a.k + 1) AS k, bool_and(a.j IS NOT NULL AND b.j IS NOT NULL) AS same,
+         avg(CASE WHEN abs(a.x - b.x) <= greatest(0.1, {tolerance} * abs(a.x)) THEN 1 ELSE 0 END) AS share
+  FROM cell a FULL JOIN cell b ON a.image_id = b.image_id AND a.k + 1 = b.k AND a.row_label = b.row_label AND a.j = b.j GROUP BY 1, 2),
+g AS (
+  SELECT v.*, coalesce(same AND share >= {coverage}, false) AND NOT fell AND k > min(k) OVER (PARTITION BY image_id) AS ok, lag(value) OVER (PARTITION BY image_id ORDER BY k) AS before
+  FROM v LEFT JOIN calm USING (image_id, k)),
+o AS (SELECT image_id, min(k) FILTER (WHERE ok) AS hit, max(k) AS latest FROM g GROUP BY image_id),
+done AS (
+  SELECT image_id, CASE WHEN hit IS NULL THEN value ELSE before END AS tsv_data, hit IS NOT NULL AS converged, hit AS convergence_iteration, num_samples, total_input_tokens, total_output_tokens
+  FROM o JOIN g USING (image_id) WHERE k = coalesce(hit, latest))"""
+INCREMENTAL_SAMPLING = f"""{PREFIXES},
+p AS (SELECT image_id, k, sample_idx, row_label, row_number() OVER (PARTITION BY image_id, k, sample_idx ORDER BY row_label) AS pos FROM pre JOIN r USING (image_id, sample_idx)),
+y AS (SELECT image_id, k, row_label, count(*) AS seen, min(sample_idx) AS early, median(pos) AS pos FROM p GROUP BY image_id, k, row_label),
+stay AS (SELECT image_id, k, row_label, row_number() OVER (PARTITION BY image_id, k ORDER BY pos, seen DESC, early, row_label) AS row_pos FROM y JOIN sums USING (image_id, k) WHERE seen >= 0.5 * num_samples),
+con AS (
+  SELECT image_id, k, row_pos, row_label, col_label, round(median(coalesce(value, 0.0)), 6) AS med
+  FROM pre JOIN f USING (image_id, sample_idx) JOIN stay USING (image_id, k, row_label) GROUP BY image_id, k, row_pos, row_label, col_label),
+{SETTLED.format(corner="X", tolerance=0.3, coverage=0.5)}
+SELECT * FROM done"""
 
 
 def q_structured_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the shape of each supplier's first sample; suppliers whose next two samples differ in shape have an error."""
     t = _samples(spark, sf_dir)
     shape = t.filter("sample_idx = 0").select("image_id", F.regexp_replace("tsv_data", r"\t(?:[0-9.]+|nan)", "\t_").alias("structure"))
-    return strategies.structured(t, shape, strategies.Sampling(exact_match=False))
+    out = strategies.structured(t, shape, strategies.Sampling(exact_match=False))
+    return out.withColumn("convergence_iteration", F.col("convergence_iteration").cast("long"))
+
+
+STRUCTURED_SAMPLING = f"""{PREFIXES},
+shape AS (SELECT image_id, row_label, row_number() OVER (PARTITION BY image_id ORDER BY row_label) AS row_pos FROM r WHERE sample_idx = 0),
+con AS (
+  SELECT image_id, k, row_pos, row_label, col_label, round(median(coalesce(value, 0.0)), 6) AS med
+  FROM pre JOIN f USING (image_id, sample_idx) JOIN shape USING (image_id, row_label) GROUP BY image_id, k, row_pos, row_label, col_label),
+{SETTLED.format(corner="", tolerance=0.01, coverage=0.95)},
+years AS (SELECT image_id, sample_idx, string_agg(row_label, ',' ORDER BY row_label) AS years FROM r GROUP BY image_id, sample_idx),
+odd AS (SELECT a.image_id, min(a.sample_idx) FILTER (WHERE a.years <> b.years) AS odd FROM years a JOIN years b ON a.image_id = b.image_id AND b.sample_idx = 0 WHERE a.sample_idx < 3 GROUP BY a.image_id)
+SELECT image_id, CASE WHEN odd IS NULL THEN tsv_data END AS tsv_data, odd IS NULL AND converged AS converged, CASE WHEN odd IS NULL THEN convergence_iteration END AS convergence_iteration,
+       num_samples, total_input_tokens, total_output_tokens, 'sample ' || odd || ' does not conform to the skeleton' AS error FROM done JOIN odd USING (image_id)"""
 
 
 def q_first_conforming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -705,9 +770,9 @@ def q_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("set_no", "chart_type", "library", F.array_join(shown, ";").alias("style"))
 
 
-def _drawn(what: str, options: list[str] | tuple) -> str:
-    """series.choice() in SQL, by c_custkey."""
-    n = f"CAST('0x' || left(md5('{what}|' || c_custkey), 7) AS BIGINT)"
+def _drawn(what: str, options: list[str] | tuple, ids: str = "c_custkey") -> str:
+    """series.choice() in SQL."""
+    n = f"CAST('0x' || left(md5('{what}|' || {ids}), 7) AS BIGINT)"
     if isinstance(options, list):
         return f"[{', '.join(repr(o) for o in options)}][1 + {n} % {len(options)}]"
     low, high = options
@@ -723,7 +788,16 @@ SELECT c_custkey AS set_no, chart_type, library, CASE library {" ".join(f"WHEN '
 
 def q_line_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A color and line options for each nation in each priority's chart."""
-    return series.line_styles(_points(spark, sf_dir), 25)
+    return series.line_styles(_points(spark, sf_dir), 25).withColumn("series_pos", F.col("series_pos").cast("long"))
+
+
+LINE_STYLES = (
+    WIDE
+    + f""",
+n AS (SELECT series_name AS chart_id, row_number() OVER (PARTITION BY series_name ORDER BY country_name) - 1 AS series_pos FROM (SELECT DISTINCT series_name, country_name FROM w)),
+c AS (SELECT chart_id, color, row_number() OVER (PARTITION BY chart_id ORDER BY md5(chart_id || '|' || color), color) - 1 AS series_pos FROM (SELECT DISTINCT chart_id FROM n) CROSS JOIN (SELECT unnest({series.colors(25)}) AS color))
+SELECT chart_id, series_pos, color, {", ".join(f"{_drawn(k, o, "chart_id || '|' || series_pos")} AS {k}" for k, o in series.LINE_STYLE.items())} FROM n JOIN c USING (chart_id, series_pos)"""
+)
 
 
 QUERIES: dict = {f.__name__: f for f in (
@@ -739,5 +813,5 @@ ORACLES: dict = {
     "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
     "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_area_line": AREA, "q_charts": CHARTS,
     "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_prepared": PREPARED, "q_requests": REQUESTS,
-    "q_eval_references": REFERENCES,
+    "q_eval_references": REFERENCES, "q_fuzzy_align": FUZZY, "q_incremental_sampling": INCREMENTAL_SAMPLING, "q_structured_sampling": STRUCTURED_SAMPLING, "q_line_styles": LINE_STYLES,
 }
