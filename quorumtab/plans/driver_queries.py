@@ -656,7 +656,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_incremental_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = strategies.incremental(_samples(spark, sf_dir), strategies.Sampling(exact_match=False, tolerance=0.3, coverage=0.5))
+    out = strategies.incremental(_samples(spark, sf_dir), strategies.Sampling(exact_match=False, tolerance=0.15, coverage=0.7))
     return out.withColumn("convergence_iteration", F.col("convergence_iteration").cast("long"))
 
 
@@ -691,13 +691,19 @@ stay AS (SELECT image_id, k, row_label, row_number() OVER (PARTITION BY image_id
 con AS (
   SELECT image_id, k, row_pos, row_label, col_label, round(median(coalesce(value, 0.0)), 6) AS med
   FROM pre JOIN f USING (image_id, sample_idx) JOIN stay USING (image_id, k, row_label) GROUP BY image_id, k, row_pos, row_label, col_label),
-{SETTLED.format(corner="X", tolerance=0.3, coverage=0.5)}
+{SETTLED.format(corner="X", tolerance=0.15, coverage=0.7)}
 SELECT * FROM done"""
 
 
 def q_structured_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against the shape of each supplier's first sample; suppliers whose next two samples differ in shape have an error."""
-    t = _samples(spark, sf_dir)
+    """Against the shape of each supplier's first sample; suppliers whose next two samples differ in shape have an error.
+
+    Suppliers divisible by 3 repeat their first sample, so that they settle; those by 10 have a row too many in their second, so that they have an error.
+    """
+    first = F.first("tsv_data").over(Window.partitionBy("image_id").orderBy("sample_idx"))
+    t = _samples(spark, sf_dir).withColumn("tsv_data", F.when(F.col("image_id") % 3 == 0, first).otherwise(F.col("tsv_data")))
+    longer = (F.col("image_id") % 10 == 0) & (F.col("sample_idx") == 1)
+    t = t.withColumn("tsv_data", F.when(longer, F.concat("tsv_data", F.lit("\nmore\t1\t2\t3"))).otherwise(F.col("tsv_data")))
     shape = t.filter("sample_idx = 0").select("image_id", F.regexp_replace("tsv_data", r"\t(?:[0-9.]+|nan)", "\t_").alias("structure"))
     out = strategies.structured(t, shape, strategies.Sampling(exact_match=False))
     return out.withColumn("convergence_iteration", F.col("convergence_iteration").cast("long"))
@@ -707,10 +713,13 @@ STRUCTURED_SAMPLING = f"""{PREFIXES},
 shape AS (SELECT image_id, row_label, row_number() OVER (PARTITION BY image_id ORDER BY row_label) AS row_pos FROM r WHERE sample_idx = 0),
 con AS (
   SELECT image_id, k, row_pos, row_label, col_label, round(median(coalesce(value, 0.0)), 6) AS med
-  FROM pre JOIN f USING (image_id, sample_idx) JOIN shape USING (image_id, row_label) GROUP BY image_id, k, row_pos, row_label, col_label),
+  FROM (SELECT image_id, k, CASE WHEN image_id % 3 = 0 THEN 0 ELSE sample_idx END AS sample_idx FROM pre) JOIN f USING (image_id, sample_idx) JOIN shape USING (image_id, row_label)
+  GROUP BY image_id, k, row_pos, row_label, col_label),
 {SETTLED.format(corner="", tolerance=0.01, coverage=0.95)},
 years AS (SELECT image_id, sample_idx, string_agg(row_label, ',' ORDER BY row_label) AS years FROM r GROUP BY image_id, sample_idx),
-odd AS (SELECT a.image_id, min(a.sample_idx) FILTER (WHERE a.years <> b.years) AS odd FROM years a JOIN years b ON a.image_id = b.image_id AND b.sample_idx = 0 WHERE a.sample_idx < 3 GROUP BY a.image_id)
+odd AS (
+  SELECT a.image_id, min(a.sample_idx) FILTER (WHERE a.image_id % 3 <> 0 AND a.years <> b.years OR a.image_id % 10 = 0 AND a.sample_idx = 1) AS odd
+  FROM years a JOIN years b ON a.image_id = b.image_id AND b.sample_idx = 0 WHERE a.sample_idx < 3 GROUP BY a.image_id)
 SELECT image_id, CASE WHEN odd IS NULL THEN tsv_data END AS tsv_data, odd IS NULL AND converged AS converged, CASE WHEN odd IS NULL THEN convergence_iteration END AS convergence_iteration,
        num_samples, total_input_tokens, total_output_tokens, 'sample ' || odd || ' does not conform to the skeleton' AS error FROM done JOIN odd USING (image_id)"""
 
