@@ -6,9 +6,11 @@ A cell's samples are an array in sample order; there are as many as a chart has
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from difflib import SequenceMatcher
+from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,49 +65,58 @@ def aligned(samples: DataFrame, keys: list[str] = ("image_id",), row_sim: float
             return 0.0
         return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
-    def canonical(t: pd.DataFrame, axis: str, least: float, n: int) -> dict:
-        seen = t.groupby(f"{axis}_label").agg(n=("sample_idx", "nunique"), first=("sample_idx", "min"), pos=(f"{axis}_pos", "median"))
-        seen = seen.reset_index().sort_values(["n", "first", "pos", f"{axis}_label"], ascending=[False, True, True, True])
-        of = t.groupby(f"{axis}_label")["sample_idx"].agg(set)
+    def canonical(cells: list[tuple[int, str, int]], least: float, n: int) -> dict:
+        """Label to (canonical label, position), from cells of (sample, label, place)."""
+        of, places = defaultdict(set), defaultdict(list)
+        for sample, label, place in cells:
+            of[label].add(sample)
+            places[label].append(place)
+        pos = {label: median(p) for label, p in places.items()}
         leaders: list[list] = []
-        for label, pos in zip(seen[f"{axis}_label"], seen["pos"]):
+        for label in sorted(of, key=lambda x: (-len(of[x]), min(of[x]), pos[x], x)):
             fits = [(like(label, g[0]), -i) for i, g in enumerate(leaders) if not g[2] & of[label]]
             best = max(fits, default=(0, 0))
             if best[0] >= least:
                 leaders[-best[1]][1].append(label)
                 leaders[-best[1]][2] |= of[label]
             else:
-                leaders.append([label, [label], set(of[label]), pos])
+                leaders.append([label, [label], set(of[label]), pos[label]])
         stay = [g for g in leaders if not pruning or len(g[2]) >= prune_below * n]
         stay.sort(key=lambda g: g[3])
         return {x: (g[0], i + 1) for i, g in enumerate(stay) for x in g[1]}
 
-    def align(t: pd.DataFrame) -> pd.DataFrame:
-        t["row_label"], t["col_label"] = t["row_label"].fillna(""), t["col_label"].fillna("")
-        first = t[t["sample_idx"] == t["sample_idx"].min()]
-        rows, cols = set(first["row_label"].str.lower()), set(first["col_label"].str.lower())
-        for _, own in t.groupby("sample_idx"):
-            r, c = set(own["row_label"].str.lower()), set(own["col_label"].str.lower())
-            if len(r & cols) + len(c & rows) > len(r & rows) + len(c & cols):
-                for a, b in (("row_label", "col_label"), ("row_pos", "col_pos")):
-                    t.loc[own.index, [a, b]] = own[[b, a]].to_numpy()
-        n = t["sample_idx"].nunique()
-        for axis, least in (("row", row_sim), ("col", col_sim)):
-            to = canonical(t, axis, least, n)
-            got = t[f"{axis}_label"].map(to)
-            t = t[got.notna()].copy()
-            t[f"{axis}_label"], t[f"{axis}_pos"] = [g[0] for g in got.dropna()], [g[1] for g in got.dropna()]
-        return t[schema.names]
-
-    return long.select(*schema.names).groupBy(*keys).applyInPandas(align, schema)
+    def align(t: pa.Table) -> pa.Table:
+        of = t.column("sample_idx").to_pylist()
+        rows, cols = ([[x or "", p] for x, p in zip(t.column(f"{a}_label").to_pylist(), t.column(f"{a}_pos").to_pylist())] for a in ("row", "col"))
+        own = {s: (set(), set()) for s in of}
+        for s, r, c in zip(of, rows, cols):
+            own[s][0].add(r[0].lower())
+            own[s][1].add(c[0].lower())
+        first = own[min(own)]
+        turned = {s for s, (r, c) in own.items() if len(r & first[1]) + len(c & first[0]) > len(r & first[0]) + len(c & first[1])}
+        for i in [i for i, s in enumerate(of) if s in turned]:
+            rows[i], cols[i] = cols[i], rows[i]
+        kept = range(len(of))
+        for side, least in ((rows, row_sim), (cols, col_sim)):
+            to = canonical([(of[i], *side[i]) for i in kept], least, len(own))
+            kept = [i for i in kept if side[i][0] in to]
+            for i in kept:
+                side[i] = to[side[i][0]]
+        out = t.take(pa.array(kept, pa.int64()))
+        for name, values in {"row_label": [rows[i][0] for i in kept], "col_label": [cols[i][0] for i in kept], "row_pos": [rows[i][1] for i in kept], "col_pos": [cols[i][1] for i in kept]}.items():
+            at = out.schema.get_field_index(name)
+            out = out.set_column(at, out.schema.field(at), pa.array(values, out.schema.field(at).type))
+        return out
+
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: adaptive execution would join them
+    return long.select(*schema.names).repartition(tasks, *keys).groupBy(*keys).applyInArrow(align, schema)
 
 
 def free_form(samples: DataFrame, methods: list[str] = ("median",), keys: list[str] = ("image_id",), **options) -> DataFrame:
     """Long consensus of samples without a skeleton, in the form of structured()."""
     keys = list(keys)
     long = aligned(samples, keys, **options)
-    places = long.select(*keys, "row_label", "col_label", "row_pos", "col_pos").distinct()
-    return places.join(aggregated(cell_values(long, keys), methods), [*keys, "row_label", "col_label"]).drop("xs")
+    return aggregated(cell_values(long, [*keys, "row_pos", "col_pos"]), methods).drop("xs")
 
 
 def usable(samples: DataFrame, text_col: str = "tsv_data") -> DataFrame:
