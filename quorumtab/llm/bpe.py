@@ -4,7 +4,7 @@ A text is cut at the special tokens' strings, put in NFC and lower case, split i
 its parts' ids and the ranks of adjacent pairs stand in contiguous arrays, the arrays are scanned for the minimum, that
 boundary is deleted and the two neighbouring ranks are refreshed. A word of more than SHORT parts, where scans would
 take quadratic time, keeps its ranks in a heap instead; both give the leftmost pair of the lowest rank each time.
-Words are looked up in a cache of bounded size. Letters that Unicode added after version 15 may be cut otherwise than by
+Words are looked up in a cache of bounded size, which a worker keeps from task to task. Letters that Unicode added after version 15 may be cut otherwise than by
 the tokenizers library, whose tables are older than the regex module's.
 
 Spark partitions the documents; nothing is shuffled. Null counts as empty: no tokens, decoded as empty. Repeated rows
@@ -17,7 +17,9 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from quorumtab.llm.common import pick
 
 SHORT = 200
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 ROWS_A_BATCH = 500
 END = "</w>"
 #: White space as the vocabulary's split pattern has it, and that pattern, for any text and for ASCII.
@@ -41,6 +43,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Words(dict):
+    """Words to their ids as bytes of 32-bit integers, merged when first asked for. Very long words aren't kept; a full cache starts anew."""
+
+    def __init__(self, merge: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.merge(word)).tobytes()
+        if len(word) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes with the vocabulary of a tokenizers file, given as its text."""
 
@@ -50,80 +68,69 @@ class Codec:
         spec = json.loads(spec)
         vocab = spec["model"]["vocab"]
         self.ids = vocab
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}  # adjacent ids: rank, merged id
-        for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        merges = spec["model"]["merges"]
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(merges)}  # of adjacent ids
+        self.merged = [vocab[a + b] for a, b in merges]  # id by rank
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = byte_letters()
+        letters = [x for _, x in sorted(byte_letters().items())]
+        self.inside, self.last = [vocab.get(x) for x in letters], [vocab.get(x + END) for x in letters]  # ids by byte, in a word and at its end
         self.any_words, self.ascii_words = regex.compile(ANY_SPLIT).findall, re.compile(ASCII_SPLIT).findall
-        self.cache: dict[str, list[int]] = {}
+        self.cache = Words(self._merge)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.cut.split(text) if self.cut else [text]:
-            if piece in self.special:
-                out.append(self.special[piece])
-            elif piece:
-                self._encode_plain(piece, out)
-        return out
-
-    def _encode_plain(self, text: str, out: list[int]) -> None:
+        return array("i", self.encoded(text)).tolist()
+
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text, as bytes of 32-bit integers."""
+        return b"".join([array("i", [self.special[piece]]).tobytes() if piece in self.special else self._plain(piece) for piece in (self.cut.split(text) if self.cut else [text])])
+
+    def _plain(self, text: str) -> bytes:
         if text.isascii():
             found = self.ascii_words(text.lower())
         else:  # lower() writes the last sigma of a word otherwise; letter by letter there is one sigma
             found = self.any_words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        cache = self.cache
-        for word in found:
-            ids = cache.get(word)
-            if ids is None:
-                ids = self._merge(word)
-                if len(word) <= 64:
-                    if len(cache) >= CACHED_WORDS:
-                        cache.clear()
-                    cache[word] = ids
-            out.extend(ids)
+        return b"".join(map(self.cache.__getitem__, found))
 
     def _merge(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += END
-        parts = [self.ids[x] for x in letters if x in self.ids]
+        data = word.encode()
+        parts = [p for p in (*(self.inside[b] for b in data[:-1]), self.last[data[-1]]) if p is not None]
         return self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        pairs, never = self.pairs, (1 << 60, -1)
-        ranks = [pairs.get(p, never)[0] for p in zip(parts, parts[1:])]
+        rank, merged, never = self.ranks.get, self.merged, 1 << 60
+        ranks = [rank(p, never) for p in zip(parts, parts[1:])]
         while ranks:
             low = min(ranks)
-            if low == never[0]:
+            if low == never:
                 break
             i = ranks.index(low)
-            parts[i : i + 2] = [pairs[parts[i], parts[i + 1]][1]]
-            del ranks[i]
+            parts[i] = merged[low]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((parts[i - 1], parts[i]), never)[0]
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
             if i < len(ranks):
-                ranks[i] = pairs.get((parts[i], parts[i + 1]), never)[0]
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        pairs, n = self.pairs, len(parts)
+        ranks, merged, n = self.ranks, self.merged, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[p][0], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in pairs]
+        heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue  # a neighbour was merged meanwhile
-            parts[i], parts[j] = pairs[a, b][1], -1
+            parts[i], parts[j] = merged[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] < n and (p := (parts[left], parts[after[left]])) in pairs:
-                    heapq.heappush(heap, (pairs[p][0], left, *p))
+                if left >= 0 and after[left] < n and (p := (parts[left], parts[after[left]])) in ranks:
+                    heapq.heappush(heap, (ranks[p], left, *p))
         return [p for p in parts if p >= 0]
 
     def decode(self, ids: list[int]) -> str:
@@ -131,6 +138,12 @@ class Codec:
         return " ".join([self.tokens[i] for i in ids])
 
 
+@lru_cache(maxsize=2)
+def codec(spec: str) -> Codec:
+    """One codec a worker process and vocabulary, with the words that it has met."""
+    return Codec(spec)
+
+
 def encode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
     """One row per document: doc_id, ids (array of int), and unless decoded is off, decoded (the text that the ids give).
 
@@ -144,18 +157,18 @@ def encode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: st
         import numpy as np
         import pyarrow as pa
 
-        codec = Codec(spec.value)
+        own = codec(spec.value)
         names = ["doc_id", "ids", *(["decoded"] if decoded else [])]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_A_BATCH):
                 part = batch.slice(at, ROWS_A_BATCH)
                 flat, ends, back = [], [0], []
                 for text in part.column("text"):
-                    ids = codec.encode(text.as_py() or "")
-                    flat.append(np.asarray(ids, dtype=np.int32))
+                    ids = np.frombuffer(own.encoded(text.as_py() or ""), dtype=np.int32)
+                    flat.append(ids)
                     ends.append(ends[-1] + len(ids))
                     if decoded:
-                        back.append(codec.decode(ids))
+                        back.append(own.decode(ids.tolist()))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, *([pa.array(back, pa.string())] if decoded else [])], names)
 

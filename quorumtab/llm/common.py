@@ -57,7 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def _path(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
@@ -68,7 +69,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     ended, as with checkpoints.
     """
     spark = df.sparkSession
-    path = _path(spark, name)
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,7 +85,7 @@ def kept_buckets(df: DataFrame, n: int, bucket: str, slot: str, name: str) -> Da
         spark.conf.set(most, str(n))
     number = F.col("id").cast("int")
     slots = spark.range(n * (20 + n.bit_length())).groupBy(F.pmod(F.hash(number), F.lit(n)).cast("long").alias(bucket)).agg(F.min(number).alias(slot))
-    path, table = _path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    path, table = shared_path(spark, name), f"{name}_{uuid.uuid4().hex}"
     dealt = df.join(F.broadcast(slots), bucket, "left")
     dealt = dealt.withColumn(slot, F.coalesce(slot, F.raise_error(F.lit("more partitions than buckets")).cast("int")))
     dealt.write.bucketBy(n, slot).option("path", path).saveAsTable(table)
