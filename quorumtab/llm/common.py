@@ -94,3 +94,10 @@ def kept_buckets(df: DataFrame, n: int, bucket: str, slot: str, name: str) -> Da
 
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sql_crc32(number: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a whole number's decimal digits, bit by bit: it has no such function."""
+    step = "xor(c >> 8, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END, xor(c, b) & 255))"
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))"
+    return f"xor(list_reduce({digits}, lambda c, b: {step}, CAST(4294967295 AS UBIGINT)), 4294967295)"

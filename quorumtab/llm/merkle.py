@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtab.llm.common import kept, lower_ascii, pick, shared_path
+from quorumtab.llm.common import kept, lower_ascii, pick, shared_path, sql_crc32
 from quorumtab.llm.ordered import ones, running
 
 FAN = 8
@@ -219,17 +219,12 @@ def _sql_leaf(text: str = "text") -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in of) + ")"
 
 
-#: CRC-32 of the decimal doc_id, bit by bit: DuckDB has no such function.
-SQL_CRC32 = """
-xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT)),
-    lambda c, b: xor(c >> 8, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END, xor(c, b) & 255)),
-    CAST(4294967295 AS UBIGINT)), 4294967295)"""
 ORACLE = f"""
 WITH docs AS (SELECT *, row_number() OVER () AS rid, coalesce('=' || lang, '') AS grp, {_sql_leaf()} AS leaf FROM documents),
 l0 AS (SELECT rid, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, leaf AS digest, count(*) OVER (PARTITION BY grp) AS total FROM docs),
 p0 AS (
   SELECT rid, doc_id, leaf, docs.grp AS lang, docs.grp, nth AS pos, '' AS proof,
-         CASE WHEN {SQL_CRC32} % 3 = 0 THEN {_sql_leaf(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} ELSE leaf END AS told
+         CASE WHEN {sql_crc32("doc_id")} % 3 = 0 THEN {_sql_leaf(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} ELSE leaf END AS told
   FROM docs JOIN l0 USING (rid)),{_sql_levels("l", "p", 6)},
 g0 AS (SELECT 'groups' AS grp, grp AS lang, row_number() OVER (ORDER BY grp) - 1 AS nth, digest, count(*) OVER () AS total FROM l6),
 q0 AS (SELECT p.* EXCLUDE (grp, pos), 'groups' AS grp, g.nth AS pos FROM p6 p JOIN g0 g ON g.lang = p.lang),{_sql_levels("g", "q", 3)}

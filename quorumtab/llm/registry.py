@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorumtab.llm import bpe, chat, exact_dedup, merkle, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filter
+from quorumtab.llm import bpe, chat, exact_dedup, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality_classifier, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_packing": packing.op12_packing,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op4_url_filter": url_filter.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }
