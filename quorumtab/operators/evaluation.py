@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorumtab.functions.text import anls, bare, value_penalty
+from quorumtab.operators.matching import once, sparse_matched
 from quorumtab.operators.tables import plain_table, transposed
 
+#: A pair of tables with more pairs of datapoints than this is matched without a matrix.
+DENSE_CELLS = 10_000
 BUCKETS = ["correct", "value_errors", "label_errors", "missing_datapoints", "extra_datapoints"]
 
 
@@ -49,11 +52,30 @@ def assigned(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]), j) for j in range(m) if owner[j] != n)
 
 
-def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5) -> DataFrame:
-    """Optimally matched datapoints: keys, key_score, t_value, p_value.
+def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5, dense_cells: int | None = None) -> DataFrame:
+    """Optimally matched datapoints whose keys are alike: keys, key_score, t_value, p_value.
 
-    A pair of tables is one row, with a matrix of key scores only where neither side's keys are all among the other's;
-    elsewhere matching equal keys is the optimum, and the only one. Rows are few bytes and much work, so they are dealt
+    Pairs of tables with at most dense_cells pairs of datapoints are a row each, with a matrix of that size; larger ones go
+    through matching.sparse_matched(), where only like keys meet. Where one side's keys are all among the other's, matching
+    equal keys is the optimum, and the only one, so neither is needed. Both tables are read several times: hold them.
+    """
+    limit = DENSE_CELLS if dense_cells is None else dense_cells
+    sizes = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("ng")).join(predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("np")), keys)
+    large = once(sizes.filter(F.col("ng") * F.col("np") > limit))
+    if not large.head(1):
+        return _dense_matched(targets, predictions, keys, text_theta)
+    few = large.select(*keys)
+    t, p = targets.join(few, keys, "left_semi"), predictions.join(few, keys, "left_semi")
+    equal = once(t.join(p.select(*keys, "key", F.col("pos").alias("p_pos")), [*keys, "key"]).select(*keys, F.col("pos").alias("t_pos"), "p_pos", F.lit(1.0).alias("key_score")))
+    nested = equal.groupBy(*keys).agg(F.count(F.lit(1)).alias("same")).join(large, keys).filter(F.col("same") == F.least("ng", "np")).select(*keys)
+    found = sparse_matched(t.join(nested, keys, "left_anti"), p.join(nested, keys, "left_anti"), keys, text_theta).unionByName(equal.join(nested, keys, "left_semi"))
+    value = lambda points, side: points.select(*keys, F.col("pos").alias(f"{side}_pos"), F.col("value").alias(f"{side}_value"))
+    found = found.join(value(t, "t"), [*keys, "t_pos"]).join(value(p, "p"), [*keys, "p_pos"]).select(*keys, "key_score", "t_value", "p_value")
+    return _dense_matched(targets.join(few, keys, "left_anti"), predictions.join(few, keys, "left_anti"), keys, text_theta).unionByName(found)
+
+
+def _dense_matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float) -> DataFrame:
+    """matched() with a matrix of key scores where keys are not nested. Rows are few bytes and much work, so they are dealt
     to a fixed number of tasks that adaptive execution doesn't join.
     """
     tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -80,20 +102,19 @@ def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_th
     at = lambda c, k: F.get(F.col(c), F.col(f"x.{k}"))
     score = F.when(F.col("matrix").isNull(), F.lit(1.0)).otherwise(F.get(at("matrix", "i"), F.col("x.j")))
     long = picked.withColumn("x", F.explode("picked"))
-    return long.select(*keys, score.alias("key_score"), at("t", "i")["value"].alias("t_value"), at("p", "j")["value"].alias("p_value"))
+    return long.select(*keys, score.alias("key_score"), at("t", "i")["value"].alias("t_value"), at("p", "j")["value"].alias("p_value")).filter("key_score > 0")
 
 
-def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match") -> DataFrame:
+def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match", dense_cells: int | None = None) -> DataFrame:
     """Per key: precision, recall, f1, and shares of 100 for the kinds in BUCKETS."""
-    pairs = matched(targets, predictions, keys, text_theta)
-    key, hit = F.col("key_score"), F.col("key_score") > 0
-    penalty = F.when(hit, value_penalty(F.col("t_value"), F.col("p_value"), text_theta, number_theta, zero_target)).otherwise(F.lit(0.0))
-    sums = pairs.withColumn("pen", penalty).groupBy(*keys).agg(
-        F.sum(key * (1 - F.col("pen"))).alias("score"), F.sum(F.when(hit, 2 * (1 - key)).otherwise(0.0)).alias("label"),
-        F.sum(2 * key * F.col("pen")).alias("value"), F.sum((~hit).cast("long")).alias("missed"), F.count(F.lit(1)).alias("k"),
+    targets, predictions = once(targets), once(predictions)
+    key = F.col("key_score")
+    pairs = matched(targets, predictions, keys, text_theta, dense_cells).withColumn("pen", value_penalty(F.col("t_value"), F.col("p_value"), text_theta, number_theta, zero_target))
+    sums = pairs.groupBy(*keys).agg(
+        F.sum(key * (1 - F.col("pen"))).alias("score"), F.sum(2 * (1 - key)).alias("label"), F.sum(2 * key * F.col("pen")).alias("value"), F.count(F.lit(1)).alias("hits"),
     )
     sizes = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("ng")).join(predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("np")), keys, "full_outer").fillna(0, ["ng", "np"])
-    all_ = sizes.join(sums, keys, "left").fillna(0, ["score", "label", "value", "missed", "k"])
+    all_ = sizes.join(sums, keys, "left").fillna(0, ["score", "label", "value", "hits"])
     total = F.col("ng") + F.col("np")
     share = lambda x: F.when(total > 0, 100 * x / total).otherwise(F.lit(0.0))
     none = total == 0
@@ -101,11 +122,11 @@ def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_the
         *keys, F.when(F.col("np") > 0, F.col("score") / F.col("np")).otherwise(1.0).alias("precision"), F.when(F.col("ng") > 0, F.col("score") / F.col("ng")).otherwise(F.when(none, 1.0).otherwise(0.0)).alias("recall"),
         F.when(none, 1.0).otherwise(2 * F.col("score") / F.nullif(total, F.lit(0))).alias("f1"), F.when(none, 100.0).otherwise(share(2 * F.col("score"))).alias("correct"),
         share(F.col("value")).alias("value_errors"), share(F.col("label")).alias("label_errors"),
-        share(F.col("ng") - F.col("k") + F.col("missed")).alias("missing_datapoints"), share(F.col("np") - F.col("k") + F.col("missed")).alias("extra_datapoints"),
+        share(F.col("ng") - F.col("hits")).alias("missing_datapoints"), share(F.col("np") - F.col("hits")).alias("extra_datapoints"),
     )
 
 
-def per_pair(pairs: DataFrame, add_title: bool = True, text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match") -> DataFrame:
+def per_pair(pairs: DataFrame, add_title: bool = True, text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match", dense_cells: int | None = None) -> DataFrame:
     """Scores of each pair_id, the best of the prediction as it is and transposed, against each reference (transposed on ties, then the first).
 
     pairs: pair_id, gt_answer (a text, or an array of texts; an empty or null one counts as one empty text), model_answer. add_title puts an empty title first on both sides, a datapoint that matches.
@@ -120,7 +141,7 @@ def per_pair(pairs: DataFrame, add_title: bool = True, text_theta: float = 0.5,
     told = flat.select("pair_id", "ref", F.explode(ways).alias("w")).select("pair_id", "ref", "w.transposed", "w.table")
     gt = flat.select("pair_id", "ref", F.explode(F.array(F.lit(True), F.lit(False))).alias("transposed"), F.col("gt").alias("table"))
     keys = ["pair_id", "ref", "transposed"]
-    out = scores(datapoints(gt, keys), datapoints(told, keys), keys, text_theta, number_theta, zero_target)
+    out = scores(datapoints(gt, keys), datapoints(told, keys), keys, text_theta, number_theta, zero_target, dense_cells)
     best = out.groupBy("pair_id").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("pair_id", "ref")]), F.struct("f1", "transposed", -F.col("ref"))).alias("b"))
     return best.select("pair_id", "b.*")
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumtab.operators import consensus, convergence, tables
+from quorumtab.operators.matching import once
 
 TOTALS = ["num_samples", "total_input_tokens", "total_output_tokens"]
 STEP = ["image_id", "prefix_k"]
@@ -58,14 +58,6 @@ def prefix_tables(samples: DataFrame, least: int, most: int, config: Sampling =
     return once(steps.withColumn("tsv_data", text).drop("earlier"))
 
 
-def once(df: DataFrame) -> DataFrame:
-    """The rows computed once: a checkpoint where spark.checkpoint.dir is set, else held on the executors' disks, and made again if lost."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def _taken(found: DataFrame, steps: DataFrame) -> DataFrame:
     """found (image_id, converged, convergence_iteration, value) with the totals of the prefix at which it stopped."""
     last = steps.groupBy("image_id").agg(F.max("prefix_k").alias("last_k"))
