@@ -13,9 +13,12 @@ FLOOR = 0.1
 
 
 def prefixes(samples: DataFrame, least: int, most: int, keys: list[str] = ("image_id",)) -> DataFrame:
-    """Each sample once for every prefix length prefix_k that holds it; samples are numbered from 0."""
+    """Each sample once for every prefix length prefix_k that holds it; samples are numbered from 0.
+
+    A chart with fewer samples than `least` has one prefix, of all of them.
+    """
     last = F.least(F.max("sample_idx").over(Window.partitionBy(*keys)) + 1, F.lit(most))
-    start = F.greatest(F.col("sample_idx") + 1, F.lit(least))
+    start = F.greatest(F.col("sample_idx") + 1, F.least(F.lit(least), F.col("last")))
     return samples.withColumn("last", last).filter(start <= F.col("last")).withColumn("prefix_k", F.explode(F.sequence(start, F.col("last")))).drop("last")
 
 
@@ -71,8 +74,8 @@ def incremental(steps: DataFrame, keys: list[str] = ("image_id",), patience: int
 
 
 def fixed(steps: DataFrame, n: int, keys: list[str] = ("image_id",)) -> DataFrame:
-    """The consensus of the first n samples; never reported as converged."""
-    return steps.filter(F.col("prefix_k") == n).select(*keys, "value", F.lit(False).alias("converged"))
+    """The consensus of the first n samples, or of all where there are fewer; never reported as converged."""
+    return steps.filter(F.col("prefix_k") <= n).groupBy(*keys).agg(F.max_by("value", "prefix_k").alias("value")).withColumn("converged", F.lit(False))
 
 
 def adaptive(steps: DataFrame, done: str, least: int, keys: list[str] = ("image_id",)) -> DataFrame:

@@ -3,7 +3,7 @@
 samples: image_id, sample_idx (from 0), tsv_data, input_tokens, output_tokens. Each strategy gives one row per chart:
 image_id, tsv_data, converged, convergence_iteration (null if it didn't), num_samples, total_input_tokens,
 total_output_tokens; the totals are those of the samples it took. All charts and all prefixes are one job. A chart with
-fewer samples than the first check needs has no prefix to judge and gives no row.
+fewer samples than the first check needs gives the consensus of what it has, not converged.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumtab.functions.text import bare
 from quorumtab.operators import consensus, convergence, tables
 from quorumtab.operators.matching import once
 
@@ -43,14 +44,32 @@ class Sampling:
 
 
 def prefix_tables(samples: DataFrame, least: int, most: int, config: Sampling = Sampling(), skeletons: DataFrame | None = None) -> DataFrame:
-    """consensus.tables() of each prefix, with prefix_k.
+    """consensus.tables() of each prefix, with prefix_k. A chart with fewer samples than `least` has one prefix, of all of them.
 
-    Where a prefix falls back, the last consensus of a shorter one that didn't is taken, if it has more than a header.
+    Samples are held and parsed once; a prefix takes the beginning of what its chart or cell has. There are at most `most`
+    samples of a chart. Where a prefix falls back, the last consensus of a shorter one that didn't is taken, if it has more
+    than a header.
     """
-    long = convergence.prefixes(samples, least, most)
-    if skeletons is not None:
-        skeletons = skeletons.join(long.select(*STEP).distinct(), "image_id")
-    steps = consensus.tables(long, config.method, skeletons, STEP, **({} if skeletons is not None else config.alignment()))
+    held = once(samples.filter(F.col("sample_idx") < most).select("image_id", "sample_idx", "tsv_data", "input_tokens", "output_tokens"))
+    text = F.col("tsv_data")
+    ok = F.coalesce(bare(text) != "", F.lit(False))
+    one = F.struct("sample_idx", ok.alias("ok"), "input_tokens", "output_tokens")
+    charts = held.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.min_by(F.when(ok, text), F.when(ok, F.col("sample_idx"))).alias("first"))
+    last = F.get("all", F.size("all") - 1)["sample_idx"] + 1
+    charts = once(charts.withColumns({"last_k": last, "first_k": F.least(F.lit(least), last)}))
+    spans = charts.select("image_id", "first_k", "last_k")
+
+    sums = charts.withColumn("prefix_k", F.explode(F.sequence("first_k", "last_k"))).withColumn("now", F.filter("all", lambda s: s["sample_idx"] < F.col("prefix_k")))
+    total = lambda c: F.aggregate(F.filter(F.col("now")[c], lambda x: x.isNotNull()), F.lit(None).cast("long"), lambda acc, x: F.coalesce(acc, F.lit(0)) + x)
+    sums = sums.select(*STEP, F.size("now").cast("long").alias("num_samples"), total("input_tokens").alias("total_input_tokens"), total("output_tokens").alias("total_output_tokens"), F.size(F.filter("now", lambda s: s["ok"])).alias("n_usable"), "first")
+
+    long = tables.cells(held.filter(ok), ["image_id", "sample_idx"])
+    if skeletons is None:
+        cells, want = consensus.aligned_prefixes(long.join(spans, "image_id"), **config.alignment()), None
+    else:
+        want = once(tables.skeleton_cells(skeletons, ["image_id"]))
+        cells = consensus.structured_prefixes(long, want, spans)
+    steps = consensus.told(sums, consensus.aggregated(cells, [config.method]), STEP, config.method, want)
     before = Window.partitionBy("image_id").orderBy("prefix_k").rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(~F.col("used_fallback") & (F.col("tsv_data") != ""), F.col("tsv_data"))
     steps = steps.withColumn("earlier", F.last(own, ignorenulls=True).over(before))
@@ -103,8 +122,7 @@ def _settled(steps: DataFrame, config: Sampling, exact: bool) -> DataFrame:
     judged = steps.withColumnRenamed("tsv_data", "value").withColumn("has_content", tables.has_content(F.col("value")))
     if exact:
         return _taken(convergence.incremental(judged, patience=config.patience), steps)
-    shown = tables.cells(steps.withColumn("tsv_data", F.when(F.col("tsv_data") != "", F.col("tsv_data"))), STEP, missing="null")
-    calm = convergence.stability(shown, value="value", tolerance=config.tolerance, coverage=config.coverage)
+    calm = convergence.stability(tables.stripped_cells(steps, STEP), value="value", tolerance=config.tolerance, coverage=config.coverage)
     judged = judged.join(calm.select(*STEP, F.col("stable").alias("calm")), STEP, "left").withColumn("calm", F.coalesce("calm", F.lit(False)))
     return _taken(convergence.incremental(judged, patience=config.patience, stable="calm"), steps)
 
@@ -121,7 +139,7 @@ def structured(samples: DataFrame, skeletons: DataFrame, config: Sampling = Samp
     """
     first = samples.filter(F.col("sample_idx") < config.initial).join(skeletons, "image_id")
     odd = first.groupBy("image_id").agg(F.min(F.when(~tables.conforms(F.col("tsv_data"), F.col("structure")), F.col("sample_idx"))).alias("odd"))
-    steps = prefix_tables(samples.join(skeletons.select("image_id"), "image_id", "left_semi"), config.initial, config.most, config, skeletons)
+    steps = prefix_tables(samples.join(skeletons, "image_id", "left_semi"), config.initial, config.most, config, skeletons)
     fixed_rule = Sampling(method=config.method, patience=config.patience)
     out = _settled(steps, fixed_rule, config.exact_match).join(odd, "image_id")
     error = F.when(F.col("odd").isNotNull(), F.concat(F.lit("sample "), F.col("odd"), F.lit(" does not conform to the skeleton")))

@@ -8,30 +8,30 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumtab.functions.text import bare, cell_number, cell_number_text, let
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
-def _grids(samples: DataFrame, text_col: str) -> DataFrame:
-    """samples with grid, an array of rows of cells. Only texts with a quote go through Python's csv reader."""
-    quoted = F.coalesce(F.contains(F.col(text_col), F.lit('"')), F.lit(False))
-    lines = F.filter(F.split(F.col(text_col), r"\r\n|\r|\n"), lambda x: x != "")
-    plain = samples.filter(~quoted).withColumn("grid", F.transform(lines, lambda x: F.split(x, "\t")))
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _quoted_grid(texts: pa.Array) -> pa.Array:
+    rows = [None if t is None else [r for r in csv.reader(io.StringIO(t), delimiter="\t") if r] for t in texts.to_pylist()]
+    return pa.array(rows, pa.list_(pa.list_(pa.string())))
 
-    def read(batches: Iterator) -> Iterator:
-        for b in batches:
-            grids = [[r for r in csv.reader(io.StringIO(t.as_py()), delimiter="\t") if r] for t in b.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grids, pa.list_(pa.list_(pa.string())))], [*b.schema.names, "grid"])
 
-    schema = samples.withColumn("grid", F.array(F.array(F.lit("")))).schema
-    return plain.unionByName(samples.filter(quoted).mapInArrow(read, schema))
+def _grids(samples: DataFrame, text_col: str) -> DataFrame:
+    """samples with grid, an array of rows of cells. Of texts without a quote, Python's csv reader gets a null instead."""
+    text = F.col(text_col)
+    quoted = F.coalesce(F.contains(text, F.lit('"')), F.lit(False))
+    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: x != "")
+    read = _quoted_grid(F.when(quoted, text))
+    return samples.withColumn("grid", F.when(quoted, read).otherwise(F.transform(lines, lambda x: F.split(x, "\t"))))
 
 
 def cells(samples: DataFrame, keys: list[str], text_col: str = "tsv_data", missing: str = "zero") -> DataFrame:
@@ -43,15 +43,25 @@ def cells(samples: DataFrame, keys: list[str], text_col: str = "tsv_data", missi
 
 
 def skeleton_cells(skeletons: DataFrame, keys: list[str], text_col: str = "structure") -> DataFrame:
-    """Cells that a skeleton declares: keys, row_pos, col_pos, row_label, col_label; a short row has all columns."""
+    """Cells that a skeleton declares: keys, row_pos, col_pos, row_label, col_label, corner (the header's first cell); a short row has all columns."""
     grids = _grids(skeletons.select(*keys, text_col), text_col).select(*keys, F.get("grid", 0).alias("header"), F.posexplode("grid").alias("row_pos", "row"))
-    rows = grids.filter("row_pos > 0").select(*keys, "row_pos", F.get("row", 0).alias("row_label"), F.posexplode("header").alias("col_pos", "col_label"))
-    return rows.filter("col_pos > 0").select(*keys, "row_pos", "col_pos", "row_label", "col_label")
+    rows = grids.filter("row_pos > 0").select(*keys, "row_pos", F.get("row", 0).alias("row_label"), F.get("header", 0).alias("corner"), F.posexplode("header").alias("col_pos", "col_label"))
+    return rows.filter("col_pos > 0").select(*keys, "row_pos", "col_pos", "row_label", "col_label", "corner")
 
 
-def corners(samples: DataFrame, keys: list[str], text_col: str = "structure") -> DataFrame:
-    """The first cell of each text's header: keys, corner."""
-    return _grids(samples.select(*keys, text_col), text_col).select(*keys, F.get(F.get("grid", 0), 0).alias("corner"))
+def stripped_cells(tables: DataFrame, keys: list[str], text_col: str = "tsv_data") -> DataFrame:
+    """Cells as the stability check reads them: keys, row_label, col_label, value (null where it isn't a number).
+
+    The whole text is stripped first, so an empty corner is lost: labels of columns then move by one and the last column
+    has none and isn't compared. Of cells with equal labels the last counts.
+    """
+    lines = F.filter(F.split(bare(F.col(text_col)), LINE_END), lambda x: bare(x) != "")
+    head = F.transform(F.split(F.get(lines, 0), "\t"), lambda c: bare(c))
+    rows = tables.select(*keys, F.slice(head, 2, 1 << 30).alias("heads"), F.posexplode(F.slice(lines, 2, 1 << 30)).alias("row", "line")).withColumn("line", F.split("line", "\t"))
+    each = F.posexplode(F.arrays_zip(F.col("heads").alias("h"), F.slice("line", 2, F.size("heads")).alias("v"))).alias("at", "x")
+    long = rows.filter("size(line) > 1").select(*keys, "row", bare(F.get("line", 0)).alias("row_label"), each).filter("x.v IS NOT NULL")
+    value = F.max_by(bare(F.col("x.v")), F.struct("row", "at")).try_cast("double")
+    return long.groupBy(*keys, "row_label", F.col("x.h").alias("col_label")).agg(value.alias("value"))
 
 
 def to_tsv(long: DataFrame, keys: list[str], value: str, corner: str = "", name: str = "tsv_data") -> DataFrame:

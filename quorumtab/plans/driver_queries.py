@@ -44,9 +44,12 @@ def candidate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A skeleton for each supplier: the years 1992 to 1999, so that some cells stay empty."""
-    lines = "\n".join(["\tA\tN\tR", *[f"{y}\t_\t_\t_" for y in range(1992, 2000)]])
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_id")).distinct().withColumn("structure", F.lit(lines))
+    """A skeleton for each supplier: all years of the table and one more, whose cells stay empty."""
+    items = _table(spark, sf_dir, "lineitem")
+    years = items.agg(F.sequence(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate")) + 1).alias("years"))
+    lines = F.transform("years", lambda y: F.concat(y.cast("string"), F.lit("\t_\t_\t_")))
+    own = items.select(F.col("l_suppkey").alias("image_id")).distinct().join(F.broadcast(years))  # one row
+    return own.select("image_id", F.array_join(F.concat(F.array(F.lit("\tA\tN\tR")), lines), "\n").alias("structure"))
 
 
 def q_cell_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +94,7 @@ STRUCTURED = f"""
 r AS (SELECT DISTINCT image_id, sample_idx, row_label FROM cand),
 f AS (SELECT r.*, c.col_label, coalesce(cand.value, 0.0) AS value FROM r CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)
       LEFT JOIN cand USING (image_id, sample_idx, row_label, col_label)),
-w AS (SELECT image_id, CAST(y AS VARCHAR) AS row_label, col_label FROM (SELECT DISTINCT l_suppkey AS image_id FROM lineitem) CROSS JOIN range(1992, 2000) t(y) CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)),
+w AS (SELECT image_id, CAST(y AS VARCHAR) AS row_label, col_label FROM (SELECT DISTINCT l_suppkey AS image_id FROM lineitem) CROSS JOIN (SELECT unnest(range(min(CAST(row_label AS INT)), max(CAST(row_label AS INT)) + 2)) AS y FROM cand) CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)),
 m AS (SELECT *, round(median(value) OVER (PARTITION BY image_id, row_label, col_label), 6) AS med FROM f),
 a AS (SELECT image_id, row_label, col_label, count(*) AS n, any_value(med) AS median, round(median(abs(value - med)), 6) AS mad, round(avg(value), 6) AS mean FROM m GROUP BY ALL)
 SELECT image_id, row_label, col_label, n, median, mad, mean FROM w LEFT JOIN a USING (image_id, row_label, col_label)"""
@@ -111,7 +114,7 @@ smp AS (
   FROM (SELECT image_id, sample_idx, row_label, row_label || chr(9) || string_agg(coalesce(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), 'nan'), chr(9) ORDER BY col_label) AS line FROM f GROUP BY image_id, sample_idx, row_label)
   GROUP BY image_id, sample_idx)"""
 TABLES = f"""{SAMPLES},
-w AS (SELECT image_id, CAST(y AS VARCHAR) AS row_label, col_label FROM (SELECT DISTINCT image_id FROM cand) CROSS JOIN range(1992, 2000) t(y) CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)),
+w AS (SELECT image_id, CAST(y AS VARCHAR) AS row_label, col_label FROM (SELECT DISTINCT image_id FROM cand) CROSS JOIN (SELECT unnest(range(min(CAST(row_label AS INT)), max(CAST(row_label AS INT)) + 2)) AS y FROM cand) CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(col_label)),
 m AS (SELECT image_id, row_label, col_label, coalesce(value, 0.0) AS value, round(median(coalesce(value, 0.0)) OVER (PARTITION BY image_id, row_label, col_label), 6) AS med FROM f),
 a AS (SELECT image_id, row_label, col_label, any_value(med) AS med, round(median(abs(value - med)), 6) AS mad FROM m GROUP BY image_id, row_label, col_label),
 l AS (
@@ -235,7 +238,7 @@ def q_prefix_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREFIX = f"""
 {FILLED}
 last AS (SELECT image_id, least(max(sample_idx) + 1, 10) AS last FROM cand GROUP BY image_id),
-p AS (SELECT cand.*, k AS prefix_k FROM cand JOIN last USING (image_id) JOIN range(3, 11) t(k) ON k > sample_idx AND k <= last),
+p AS (SELECT cand.*, k AS prefix_k FROM cand JOIN last USING (image_id) JOIN range(1, 11) t(k) ON k > sample_idx AND k <= last AND k >= least(3, last)),
 m AS (SELECT *, round(median(value) OVER (PARTITION BY image_id, prefix_k, row_label, col_label), 6) AS med FROM p),
 steps AS (SELECT image_id, CAST(prefix_k AS BIGINT) AS prefix_k, row_label, col_label, any_value(med) AS median, round(median(abs(value - med)), 6) AS mad FROM m GROUP BY ALL)"""
 PREFIX = PREFIX.replace("GROUP BY ALL)", "GROUP BY image_id, prefix_k, row_label, col_label)").replace("FROM lineitem GROUP BY image_id, prefix_k, row_label, col_label)", "FROM lineitem GROUP BY ALL)")
@@ -662,9 +665,9 @@ def q_incremental_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PREFIXES = f"""{SAMPLES},
 n AS (SELECT *, max(sample_idx) OVER (PARTITION BY image_id) AS top FROM smp),
-pre AS (SELECT image_id, k, sample_idx, tsv FROM n CROSS JOIN range(3, 11) t(k) WHERE sample_idx < k AND k <= least(top + 1, 10)),
+pre AS (SELECT image_id, k, sample_idx, tsv FROM n CROSS JOIN range(1, 11) t(k) WHERE sample_idx < k AND k <= least(top + 1, 10) AND k >= least(top + 1, 3)),
 sums AS (SELECT image_id, k, count(*) AS num_samples, CAST(100 * count(*) AS BIGINT) AS total_input_tokens, CAST(sum(length(tsv)) AS BIGINT) AS total_output_tokens, arg_min(tsv, sample_idx) AS one FROM pre GROUP BY image_id, k)"""
-#: A table's cells are read back from its text, as prefixes that fall back show an earlier text.
+#: A table's cells are read back from its text, as prefixes that fall back show an earlier text. With an empty corner the last column is not compared.
 SETTLED = """
 line AS (SELECT image_id, k, row_pos, row_label || chr(9) || string_agg(CAST(med AS VARCHAR), chr(9) ORDER BY col_label) AS line FROM con GROUP BY image_id, k, row_pos, row_label),
 told AS (SELECT image_id, k, '{corner}' || chr(9) || 'A' || chr(9) || 'N' || chr(9) || 'R' || chr(10) || string_agg(line, chr(10) ORDER BY row_pos) AS told FROM line GROUP BY image_id, k),
@@ -672,7 +675,7 @@ own AS (SELECT sums.*, CASE WHEN num_samples > 1 THEN coalesce(told, one) ELSE o
 v AS (
   SELECT *, CASE WHEN fell THEN coalesce(last_value(CASE WHEN NOT fell THEN text END IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), text) ELSE text END AS value FROM own),
 parts AS (SELECT image_id, k, string_split(unnest(string_split(value, chr(10))[2:]), chr(9)) AS p FROM v),
-cell AS (SELECT image_id, k, p[1] AS row_label, j, TRY_CAST(nullif(p[j], 'nan') AS DOUBLE) AS x FROM parts CROSS JOIN range(2, 5) t(j)),
+cell AS (SELECT image_id, k, p[1] AS row_label, j, TRY_CAST(nullif(p[j], 'nan') AS DOUBLE) AS x FROM parts CROSS JOIN range(2, {last}) t(j)),
 calm AS (
   SELECT coalesce(b.image_id, a.image_id) AS image_id, coalesce(b.k, a.k + 1) AS k, bool_and(a.j IS NOT NULL AND b.j IS NOT NULL) AS same,
          avg(CASE WHEN abs(a.x - b.x) <= greatest(0.1, {tolerance} * abs(a.x)) THEN 1 ELSE 0 END) AS share
@@ -691,7 +694,7 @@ stay AS (SELECT image_id, k, row_label, row_number() OVER (PARTITION BY image_id
 con AS (
   SELECT image_id, k, row_pos, row_label, col_label, round(median(coalesce(value, 0.0)), 6) AS med
   FROM pre JOIN f USING (image_id, sample_idx) JOIN stay USING (image_id, k, row_label) GROUP BY image_id, k, row_pos, row_label, col_label),
-{SETTLED.format(corner="X", tolerance=0.15, coverage=0.7)}
+{SETTLED.format(corner="X", last=5, tolerance=0.15, coverage=0.7)}
 SELECT * FROM done"""
 
 
@@ -715,7 +718,7 @@ con AS (
   SELECT image_id, k, row_pos, row_label, col_label, round(median(coalesce(value, 0.0)), 6) AS med
   FROM (SELECT image_id, k, CASE WHEN image_id % 3 = 0 THEN 0 ELSE sample_idx END AS sample_idx FROM pre) JOIN f USING (image_id, sample_idx) JOIN shape USING (image_id, row_label)
   GROUP BY image_id, k, row_pos, row_label, col_label),
-{SETTLED.format(corner="", tolerance=0.01, coverage=0.95)},
+{SETTLED.format(corner="", last=4, tolerance=0.01, coverage=0.95)},
 years AS (SELECT image_id, sample_idx, string_agg(row_label, ',' ORDER BY row_label) AS years FROM r GROUP BY image_id, sample_idx),
 odd AS (
   SELECT a.image_id, min(a.sample_idx) FILTER (WHERE a.image_id % 3 <> 0 AND a.years <> b.years OR a.image_id % 10 = 0 AND a.sample_idx = 1) AS odd
