@@ -4,8 +4,9 @@ A text is cut at the special tokens' strings, put in NFC and lower case, split i
 its parts' ids and the ranks of adjacent pairs stand in contiguous arrays, the arrays are scanned for the minimum, that
 boundary is deleted and the two neighbouring ranks are refreshed. A word of more than SHORT parts, where scans would
 take quadratic time, keeps its ranks in a heap instead; both give the leftmost pair of the lowest rank each time.
-Words are looked up in a cache of bounded size, which a worker keeps from task to task. Letters that Unicode added after version 15 may be cut otherwise than by
-the tokenizers library, whose tables are older than the regex module's.
+Words, and what stands between white space, are looked up in caches of bounded size, which a worker keeps from task to
+task. Letters that Unicode added after version 15 may be cut otherwise than by the tokenizers library, whose tables are
+older than the regex module's.
 
 Spark partitions the documents; nothing is shuffled. Null counts as empty: no tokens, decoded as empty. Repeated rows
 give repeated results, an empty table an empty one; other columns are ignored.
@@ -32,6 +33,7 @@ ROWS_A_BATCH = 500
 END = "</w>"
 #: White space as the vocabulary's split pattern has it, and that pattern, for any text and for ASCII.
 SPACE = r"\t-\r \x85\xa0" + "\u1680\u2028\u2029\u202f\u205f\u3000\u2000-\u200a"
+NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the pattern
 ANY_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 
@@ -43,19 +45,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Words(dict):
-    """Words to their ids as bytes of 32-bit integers, merged when first asked for. Very long words aren't kept; a full cache starts anew."""
+class Cache(dict):
+    """Texts to their ids as bytes of 32-bit integers, made when first asked for. Very long texts aren't kept; a full cache starts anew."""
 
-    def __init__(self, merge: Callable[[str], list[int]]) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.merge = merge
+        self.make = make
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("i", self.merge(word)).tobytes()
-        if len(word) <= 64:
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= 64:
             if len(self) >= CACHED_WORDS:
                 self.clear()
-            self[word] = ids
+            self[text] = ids
         return ids
 
 
@@ -77,7 +79,8 @@ class Codec:
         letters = [x for _, x in sorted(byte_letters().items())]
         self.inside, self.last = [vocab.get(x) for x in letters], [vocab.get(x + END) for x in letters]  # ids by byte, in a word and at its end
         self.any_words, self.ascii_words = regex.compile(ANY_SPLIT).findall, re.compile(ASCII_SPLIT).findall
-        self.cache = Words(self._merge)
+        self.words = Cache(lambda word: array("i", self._merge(word)).tobytes())
+        self.chunks = Cache(self._chunk)
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encoded(text)).tolist()
@@ -87,11 +90,16 @@ class Codec:
         return b"".join([array("i", [self.special[piece]]).tobytes() if piece in self.special else self._plain(piece) for piece in (self.cut.split(text) if self.cut else [text])])
 
     def _plain(self, text: str) -> bytes:
-        if text.isascii():
-            found = self.ascii_words(text.lower())
-        else:  # lower() writes the last sigma of a word otherwise; letter by letter there is one sigma
-            found = self.any_words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        return b"".join(map(self.cache.__getitem__, found))
+        # lower() writes the last sigma of a word otherwise; letter by letter there is one sigma
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if any(c in text for c in NOT_SPACE):
+            return self._chunk(text)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+    def _chunk(self, text: str) -> bytes:
+        """No word has white space in it, so what stands between is encoded by itself."""
+        found = self.ascii_words(text) if text.isascii() else self.any_words(text)
+        return b"".join(map(self.words.__getitem__, found))
 
     def _merge(self, word: str) -> list[int]:
         data = word.encode()

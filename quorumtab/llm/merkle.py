@@ -30,7 +30,7 @@ from quorumtab.llm.common import kept, lower_ascii, pick, shared_path, sql_crc32
 from quorumtab.llm.ordered import ones, running
 
 FAN = 8
-BLOCK_LEVELS = 5
+BLOCK_LEVELS = 4
 PATH = "array<struct<slot:int,children:array<string>>>"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
