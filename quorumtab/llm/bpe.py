@@ -4,7 +4,7 @@ A text is cut at the special tokens' strings, put in NFC and lower case, split i
 its parts' ids and the ranks of adjacent pairs stand in contiguous arrays, the arrays are scanned for the minimum, that
 boundary is deleted and the two neighbouring ranks are refreshed. A word of more than SHORT parts, where scans would
 take quadratic time, keeps its ranks in a heap instead; both give the leftmost pair of the lowest rank each time.
-Words, and what stands between white space, are looked up in caches of bounded size, which a worker keeps from task to
+Words, and what stands between white space, are looked up in a cache of bounded size, which a worker keeps from task to
 task. Letters that Unicode added after version 15 may be cut otherwise than by the tokenizers library, whose tables are
 older than the regex module's.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quorumtab.llm.common import pick
 
 SHORT = 200
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_500_000
 ROWS_A_BATCH = 500
 END = "</w>"
 #: White space as the vocabulary's split pattern has it, and that pattern, for any text and for ASCII.
@@ -46,16 +46,20 @@ def byte_letters() -> dict[int, str]:
 
 
 class Cache(dict):
-    """Texts to their ids as bytes of 32-bit integers, made when first asked for. Very long texts aren't kept; a full cache starts anew."""
+    """Texts to their ids as bytes of 32-bit integers, made when first asked for. Very long texts aren't kept.
+
+    There are two generations: a full one becomes the old one, from which what is asked for again comes back.
+    """
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.make(text)
+        ids = self.old.pop(text, None) or self.make(text)
         if len(text) <= 64:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= CACHED_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -79,8 +83,7 @@ class Codec:
         letters = [x for _, x in sorted(byte_letters().items())]
         self.inside, self.last = [vocab.get(x) for x in letters], [vocab.get(x + END) for x in letters]  # ids by byte, in a word and at its end
         self.any_words, self.ascii_words = regex.compile(ANY_SPLIT).findall, re.compile(ASCII_SPLIT).findall
-        self.words = Cache(lambda word: array("i", self._merge(word)).tobytes())
-        self.chunks = Cache(self._chunk)
+        self.known = Cache(self._made)
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encoded(text)).tolist()
@@ -93,13 +96,15 @@ class Codec:
         # lower() writes the last sigma of a word otherwise; letter by letter there is one sigma
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if any(c in text for c in NOT_SPACE):
-            return self._chunk(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+            return self._made(text)
+        return b"".join(map(self.known.__getitem__, text.split()))  # no word has white space in it
 
-    def _chunk(self, text: str) -> bytes:
-        """No word has white space in it, so what stands between is encoded by itself."""
+    def _made(self, text: str) -> bytes:
+        """The ids of words without white space between them, or of one word."""
         found = self.ascii_words(text) if text.isascii() else self.any_words(text)
-        return b"".join(map(self.words.__getitem__, found))
+        if len(found) == 1 and found[0] == text:
+            return array("i", self._merge(text)).tobytes()
+        return b"".join(map(self.known.__getitem__, found))
 
     def _merge(self, word: str) -> list[int]:
         data = word.encode()
