@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumtab.functions import text as T
-from quorumtab.operators import consensus, convergence, evaluation, series, strategies, tables
+from quorumtab.operators import consensus, convergence, evaluation, selection, series, strategies, tables
 from quorumtab.sources import caches
 
 CANDIDATES = """
@@ -84,6 +84,20 @@ SELECT s.image_id, s.row_label, s.col_label, count(*) AS n, any_value(s.med) AS
 FROM s JOIN h10 USING (image_id, row_label, col_label) GROUP BY s.image_id, s.row_label, s.col_label"""
 
 
+def q_hot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of cells with a large share of the line items each (return flag and line status), by counting instead of arrays."""
+    items = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("row_label"), F.col("l_linestatus").alias("col_label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample_idx"),
+        F.lit(1).alias("row_pos"), F.lit(1).alias("col_pos"), F.col("l_extendedprice").cast("double").alias("value"),
+    )
+    out = selection.aggregated_cells(items, ["row_label", "col_label"], METHODS)
+    return out.select("row_label", "col_label", F.col("n").cast("long").alias("n"), *[F.round(m, 2).alias(m) for m in METHODS])
+
+
+HOT_CELLS = CELL_ALL.replace(CANDIDATES, "SELECT 0 AS image_id, l_orderkey * 10 + l_linenumber AS sample_idx, l_returnflag AS row_label, l_linestatus AS col_label, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem")
+HOT_CELLS = f"SELECT row_label, col_label, n, {', '.join(f'round({m}, 2) AS {m}' for m in METHODS)} FROM ({HOT_CELLS})"
+
+
 def q_structured_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = consensus.structured(candidate_tables(spark, sf_dir), skeletons(spark, sf_dir), ["median", "mean"])
     return out.select("image_id", "row_label", "col_label", F.col("n").cast("long").alias("n"), "median", "mad", "mean")
@@ -813,13 +827,13 @@ SELECT chart_id, series_pos, color, {", ".join(f"{_drawn(k, o, "chart_id || '|'
 
 
 QUERIES: dict = {f.__name__: f for f in (
-    q_cell_all, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
+    q_cell_all, q_hot_cells, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
     q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_area_line, q_charts, q_line_styles,
     q_variance_map, q_normalized_tsv, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references,
 )}
 ORACLES: dict = {
-    "q_cell_all": CELL_ALL, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
+    "q_cell_all": CELL_ALL, "q_hot_cells": HOT_CELLS, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
     "q_variance_convergence": VARIANCE, "q_exact_match": EXACT, "q_token_totals": TOKENS, "q_diversity_plan": DIVERSITY, "q_normalize_value": NORMALIZE, "q_fenced_table": FENCED,
     "q_conforms": CONFORMS, "q_cache_key": CACHE_KEY, "q_anls_pairs": ANLS, "q_value_penalty": PENALTY, "q_prune_series": PRUNE, "q_sample_datasets": SAMPLE, "q_subsample": SUBSAMPLE, "q_bars": BARS,
     "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
