@@ -1,10 +1,12 @@
 """Chat formatting by schema fingerprints.
 
-Records are JSON texts of several layouts. The nested field paths that a record holds, of those that some layout knows, are
-sorted and hashed; the fingerprint picks one of the declarative mappings in LAYOUTS, which says where the turns are. So
-prompts with responses, instructions, and lists of messages all become canonical turns (role, text). All of it is built-in
-expressions: a record is parsed once by the union of the layouts' fields. Records that match no mapping come back with
-null turns and their fingerprint, none is dropped.
+Records are JSON texts of several layouts. A record's own nested field paths, of its fields that aren't null, are sorted and
+hashed. Fingerprints of layouts as they are declared pick their mapping at once; for others, with further fields or with
+those of two layouts, the first layout whose needs are all there is taken, lists of turns before single fields. A mapping says
+where the turns are, so prompts with responses, instructions, and lists of messages all become canonical turns (role,
+text). Texts may be lists of typed parts, which are another path; their texts are joined by newlines. All of it is built-in
+expressions: records are parsed as maps, so every field is seen, and texts may have any length. Records that no mapping
+fits come back with null turns, fingerprint and paths, none is dropped.
 
 formatted() writes a conversation as one string: START role newline text END newline for each turn. Control strings
 inside roles and texts are escaped: backslashes are doubled, then each control string gets a backslash after its first
@@ -19,6 +21,7 @@ the output, so it must fit a row. Other columns are ignored, also those that sha
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +35,7 @@ CONTROLS = (START, END, "<s>", "</s>", "[INST]", "[/INST]", "<|endoftext|>")
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 ASSISTANT = "assistant"
 
-#: Layouts: the paths that must be there, those that may be, and where the turns are. "[]" is any element of a list.
+#: Layouts, those of lists first: the paths that must be there, those that may be, and where the turns are. "[]" is any element of a list.
 LAYOUTS = {
     "messages": {"needs": ["messages[].role", "messages[].content"], "may": [], "list": ("messages", "role", "content")},
     "shared": {"needs": ["conversations[].from", "conversations[].value"], "may": [], "list": ("conversations", "from", "value")},
@@ -42,66 +45,100 @@ LAYOUTS = {
     "completion": {"needs": ["prompt", "completion"], "may": ["system"], "fields": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]},
     "question": {"needs": ["question", "answer"], "may": ["context"], "fields": [("user", ["context", "question"]), ("assistant", ["answer"])]},
 }
-KNOWN = sorted({p for layout in LAYOUTS.values() for p in (*layout["needs"], *layout["may"])})
+LISTS = {layout["list"][0]: layout["list"] for layout in LAYOUTS.values() if "list" in layout}
 TURNS = "array<struct<role:string,text:string>>"
+PARTS = "[].text"  # of a text that is a list of typed parts
+ANY_LENGTH = {"maxStringLen": str((1 << 31) - 1)}  # else a text of more than 20 million characters makes its record null
 
 
 def fingerprint(paths: set[str]) -> str:
-    """Hash of the sorted paths that some layout knows; other fields don't matter."""
-    return hashlib.sha256("\n".join(sorted(paths & set(KNOWN))).encode()).hexdigest()
+    """Hash of the sorted paths."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 def registry() -> dict[str, str]:
-    """Fingerprint to layout, with each choice of the optional paths."""
+    """Fingerprint to layout, with each choice of the optional paths, and of texts in parts or not."""
     out = {}
     for name, layout in LAYOUTS.items():
         for k in range(len(layout["may"]) + 1):
             for extra in combinations(layout["may"], k):
                 out[fingerprint({*layout["needs"], *extra})] = name
+        if "list" in layout:
+            field, role, said = layout["list"]
+            out[fingerprint({f"{field}[].{role}", f"{field}[].{said}{PARTS}"})] = name
     return out
 
 
-def union_schema() -> str:
-    """The fields of all layouts, as strings."""
-    plain = [f"`{p}` string" for p in KNOWN if "[]" not in p]
-    lists: dict[str, list[str]] = {}
-    for p in KNOWN:
-        if "[]." in p:
-            lists.setdefault(p.split("[].")[0], []).append(p.split("[].")[1])
-    return ", ".join(plain + [f"`{name}` array<struct<{', '.join(f'`{f}`: string' for f in fields)}>>" for name, fields in lists.items()])
+def canonical(role: Column) -> Column:
+    return F.coalesce(*[F.when(role == a, F.lit(b)) for a, b in ROLES.items()], role, F.lit(""))
 
 
-def held(record: Column, path: str) -> Column:
-    """Whether a parsed record has a value that isn't null at a path."""
-    name, _, field = path.partition("[].")
-    return F.exists(record[name], lambda x: x[field].isNotNull()) if field else record[name].isNotNull()
-
-
-def mapped(record: Column, layout: dict) -> Column:
-    """The turns that a layout's mapping finds in a parsed record."""
-    canonical = lambda r: F.coalesce(*[F.when(r == a, F.lit(b)) for a, b in ROLES.items()], r, F.lit(""))
+def mapped(layout: dict) -> Column:
+    """The turns that a layout's mapping finds in a record: top (its fields) and lists (by field: entries, parts)."""
     turn = lambda role, text: F.struct(canonical(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if "list" in layout:
         name, role, said = layout["list"]
-        return F.transform(F.filter(record[name], lambda m: m.isNotNull()), lambda m: turn(m[role], m[said]))
+        listed = F.col(f"lists.{name}")
+        joined = lambda i: F.array_join(F.transform(F.filter(F.get(listed["parts"], i)[said], lambda x: x["text"].isNotNull()), lambda x: x["text"]), "\n")
+        text = lambda m, i: F.coalesce(joined(i), F.try_element_at(m, F.lit(said)))
+        turns = F.transform(listed["entries"], lambda m, i: F.when(m.isNotNull(), turn(F.try_element_at(m, F.lit(role)), text(m, i))))
+        return F.filter(turns, lambda t: t.isNotNull())
     turns = []
     for role, names in layout["fields"]:
-        some = F.coalesce(*[record[f] for f in names]).isNotNull()
-        turns.append(F.when(some, turn(F.lit(role), F.concat_ws("\n\n", *[F.nullif(record[f], F.lit("")) for f in names]))))
+        texts = [F.try_element_at("top", F.lit(f)) for f in names]
+        said = F.concat_ws("\n\n", *[F.nullif(t, F.lit("")) for t in texts])
+        turns.append(F.when(F.coalesce(*texts).isNotNull(), turn(F.lit(role), said)))
     return F.filter(F.array(*turns), lambda t: t.isNotNull())
 
 
+def _parsed(records: DataFrame) -> DataFrame:
+    """conv_id, top (fields as text), and for each list of turns its entries as maps, and their texts where these are parts."""
+    rows = records.select("conv_id", F.from_json("record", "map<string,string>", ANY_LENGTH).alias("top"))
+    rows = rows.withColumn("top", F.map_filter("top", lambda _, v: v.isNotNull()))
+    of = lambda name: F.try_element_at("top", F.lit(name))
+    entries = {name: F.from_json(of(name), "array<map<string,string>>", ANY_LENGTH).alias(name) for name in LISTS}
+    rows = rows.withColumn("entries", F.struct(*entries.values()))
+    lists = []
+    for name, (_, _, said) in LISTS.items():
+        some = F.exists(F.col("entries")[name], lambda m: F.coalesce(F.try_element_at(m, F.lit(said)).startswith("["), F.lit(False)))
+        parts = F.from_json(F.when(some, of(name)), f"array<struct<`{said}`:array<struct<type:string,text:string>>>>", ANY_LENGTH)
+        lists.append(F.struct(F.col("entries")[name].alias("entries"), parts.alias("parts")).alias(name))
+    return rows.select("conv_id", "top", F.struct(*lists).alias("lists"))
+
+
+def _list_paths(name: str, said: str) -> Column:
+    """The paths within one list of turns."""
+    listed, nothing = F.col(f"lists.{name}"), F.array().cast("array<string>")
+
+    def of_entry(m: Column, i: Column) -> Column:
+        in_parts = F.coalesce(F.get(listed["parts"], i)[said].isNotNull(), F.lit(False))
+        called = lambda k: F.concat(F.lit(f"{name}[]."), k, F.when((k == said) & in_parts, F.lit(PARTS)).otherwise(F.lit("")))
+        return F.coalesce(F.transform(F.map_keys(F.map_filter(m, lambda _, v: v.isNotNull())), called), nothing)
+
+    return F.coalesce(F.flatten(F.transform(listed["entries"], of_entry)), nothing)
+
+
+def _paths() -> Column:
+    """A parsed record's own paths; a field called like a list of turns that isn't one is a plain field."""
+    plain = F.map_keys("top")
+    for name in LISTS:
+        plain = F.when(F.col(f"lists.{name}.entries").isNotNull(), F.array_remove(plain, name)).otherwise(plain)
+    found = F.concat(F.coalesce(plain, F.array().cast("array<string>")), *[_list_paths(name, said) for name, (_, _, said) in LISTS.items()])
+    return F.array_sort(F.array_distinct(found))
+
+
 def conversations_of(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
-    """JSON records as conversations: conv_id, turns (array of role, text; null where no mapping fits), layout, fingerprint."""
-    rows = pick(records, conv_id=id_col, record=record_col).select("conv_id", F.from_json("record", union_schema()).alias("r"))
-    paths = F.filter(F.array(*[F.when(held(F.col("r"), p), F.lit(p)) for p in KNOWN]), lambda p: p.isNotNull())
-    rows = rows.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256))
+    """JSON records as conversations: conv_id, turns (array of role, text; null where no mapping fits), layout, fingerprint, paths."""
+    rows = _parsed(pick(records, conv_id=id_col, record=record_col)).withColumn("paths", _paths())
+    rows = rows.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
     known = F.create_map(*[F.lit(x) for pair in registry().items() for x in pair])
-    rows = rows.withColumn("layout", F.try_element_at(known, F.col("fingerprint")))
+    has = lambda p: F.array_contains("paths", p) | F.array_contains("paths", p + PARTS)
+    covered = [F.when(reduce(Column.__and__, [has(p) for p in layout["needs"]]), F.lit(name)) for name, layout in LAYOUTS.items()]
+    rows = rows.withColumn("layout", F.coalesce(F.try_element_at(known, F.col("fingerprint")), *covered))
     turns = F.lit(None).cast(TURNS)
     for name, layout in LAYOUTS.items():
-        turns = F.when(F.col("layout") == name, mapped(F.col("r"), layout).cast(TURNS)).otherwise(turns)
-    return rows.select("conv_id", turns.alias("turns"), "layout", "fingerprint")
+        turns = F.when(F.col("layout") == name, mapped(layout).cast(TURNS)).otherwise(turns)
+    return rows.select("conv_id", turns.alias("turns"), "layout", "fingerprint", "paths")
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -166,7 +203,8 @@ def mixed_records(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turns) written as JSON records of all layouts: conv_id, record. What a mixed crawl looks like.
 
     A question with its answer takes one of the four layouts that say no more than that, with a system text before it one
-    of three, and all others a list of messages in one of three layouts; a hash of conv_id chooses.
+    of three, and all others a list of messages in one of three layouts, the first of these with texts in parts or with a
+    prompt beside it; a hash of conv_id chooses.
     """
     turns, pick_of = F.col("turns"), lambda n: F.pmod(F.xxhash64("conv_id"), F.lit(n))
     roles = F.transform(turns, lambda t: t["role"])
@@ -174,9 +212,9 @@ def mixed_records(conversations: DataFrame) -> DataFrame:
     text = lambda i: F.get(turns, i)["text"]
     record = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
-    def messages(name: str, role: str, said: str, odd: dict[str, str]) -> Column:
+    def messages(name: str, role: str, said: str, odd: dict[str, str], **more: Column) -> Column:
         called = lambda r: F.coalesce(*[F.when(r == a, F.lit(b)) for a, b in odd.items()], r)
-        return record(**{name: F.transform(turns, lambda t: F.struct(called(t["role"]).alias(role), t["text"].alias(said)))})
+        return record(**{name: F.transform(turns, lambda t: F.struct(called(t["role"]).alias(role), t["text"].alias(said)))}, **more)
 
     two, three = is_("user", "assistant"), is_("system", "user", "assistant")
     out = F.when(two & (pick_of(4) == 0), record(prompt=text(0), response=text(1), id=F.lit(7)))
@@ -186,7 +224,9 @@ def mixed_records(conversations: DataFrame) -> DataFrame:
     out = out.when(three & (pick_of(3) == 0), record(system=text(0), prompt=text(1), response=text(2)))
     out = out.when(three & (pick_of(3) == 1), record(system=text(0), prompt=text(1), completion=text(2)))
     out = out.when(three, record(system=text(0), instruction=text(1), output=text(2)))
-    out = out.when(pick_of(3) == 0, messages("messages", "role", "content", {"": ""}))
+    parts = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), t["text"].alias("text"))).alias("content")))
+    out = out.when(pick_of(6) == 0, record(messages=parts, source=F.lit("crawl")))
+    out = out.when(pick_of(6) == 3, messages("messages", "role", "content", {"": ""}, prompt=F.lit("of the page")))
     out = out.when(pick_of(3) == 1, messages("conversations", "from", "value", {"user": "human", "assistant": "gpt"}))
     return conversations.select("conv_id", out.otherwise(messages("dialog", "speaker", "text", {"assistant": "bot"})).alias("record"))
 
