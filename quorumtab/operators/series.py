@@ -71,19 +71,31 @@ def order_key(*cols: Column) -> Column:
 
 
 def sampled(long: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
-    """Datasets of two or three countries of one series, each country once: series_name, set_no, countries.
+    """Datasets of countries of one series, each country at most once: series_name, set_no, countries.
 
-    Countries of a series are put in an order by hash and cut into threes, or twos for a series whose hash is even; the n
-    datasets with the least hash are numbered from 1. A last one may have a single country.
+    All pairs of a series and a country are walked in an order by hash. A pair that no set has makes the next set of its
+    series: two or three, drawn for each set, of the countries that no set has, drawn by another hash; a last set has what
+    is left, which may be one. A pair is walked once, so what only passed pairs have left stays out. The first n sets count.
+
+    Sets drawn one after the other are cuts of one random order, so they are made at once; how many are made by when is a
+    fold over a series' pairs, of which there are as many as countries.
     """
+    key = lambda what, *cols: order_key(F.lit(seed), F.lit(what), F.col("series_name"), *cols)
     pairs = long.select("series_name", "country_name").distinct()
-    by = Window.partitionBy("series_name").orderBy(order_key(F.lit(seed), F.col("series_name"), F.col("country_name")))
-    size = F.when(F.expr(f"conv(left(md5(concat('{seed}|', series_name)), 1), 16, 10)") % 2 == 0, 2).otherwise(3)
-    cut = pairs.withColumn("at", F.row_number().over(by) - 1).withColumn("part", F.floor(F.col("at") / size).cast("int"))
-    sets = cut.groupBy("series_name", "part").agg(F.sort_array(F.collect_list("country_name")).alias("countries"))
-    key = order_key(F.lit(seed), F.col("series_name"), F.col("part"))
-    few = sets.withColumn("key", key).orderBy("key").limit(n)  # the feature: n datasets, taken by a top-n
-    return few.withColumn("set_no", F.row_number().over(Window.orderBy("key"))).select("series_name", "set_no", "countries")
+    drawn = Window.partitionBy("series_name").orderBy(key("draw", F.col("country_name")))
+    pairs = pairs.withColumns({"pos": F.row_number().over(drawn) - 1, "walk": key("walk", F.col("country_name"))})
+    sizes = pairs.groupBy("series_name").agg(F.count(F.lit(1)).alias("m")).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / 2).cast("int"))))
+    sizes = sizes.withColumn("size", 2 + F.conv(F.substring(key("size", F.col("part")), 1, 1), 16, 10).cast("int") % 2)
+    start = F.sum("size").over(Window.partitionBy("series_name").orderBy("part")) - F.col("size")
+    cuts = sizes.withColumn("start", start).filter("start < m").select("series_name", "part", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos"))
+    placed = pairs.join(cuts, ["series_name", "pos"])
+
+    walked = placed.groupBy("series_name").agg(F.array_sort(F.collect_list(F.struct("walk", "part"))).alias("all"))
+    made = F.aggregate("all", F.array().cast("array<string>"), lambda acc, x: F.when(x["part"] >= F.size(acc), F.concat(acc, F.array(x["walk"]))).otherwise(acc))
+    made = walked.select("series_name", F.posexplode(made).alias("part", "walk"))
+    few = made.orderBy("walk").limit(n)  # the feature: n datasets, taken by a top-n
+    sets = few.withColumn("set_no", F.row_number().over(Window.orderBy("walk"))).join(placed.select("series_name", "part", "country_name"), ["series_name", "part"])
+    return sets.groupBy("series_name", "set_no").agg(F.sort_array(F.collect_list("country_name")).alias("countries"))
 
 
 def prepared(specs: DataFrame, long: DataFrame) -> DataFrame:

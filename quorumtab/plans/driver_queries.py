@@ -514,11 +514,17 @@ def q_sample_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE = (
     WIDE
     + """,
-p AS (SELECT DISTINCT series_name, country_name FROM w),
-a AS (SELECT *, row_number() OVER (PARTITION BY series_name ORDER BY md5('42|' || series_name || '|' || country_name)) - 1 AS nth,
-             CASE WHEN CAST('0x' || left(md5('42|' || series_name), 1) AS BIGINT) % 2 = 0 THEN 2 ELSE 3 END AS size FROM p),
-s AS (SELECT series_name, nth // size AS part, string_agg(country_name, '|' ORDER BY country_name) AS countries FROM a GROUP BY ALL)
-SELECT series_name, row_number() OVER (ORDER BY md5('42|' || series_name || '|' || part)) AS set_no, countries FROM s QUALIFY set_no <= 1000"""
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY series_name ORDER BY md5('42|draw|' || series_name || '|' || country_name)) - 1 AS pos, count(*) OVER (PARTITION BY series_name) AS m,
+         md5('42|walk|' || series_name || '|' || country_name) AS walk FROM (SELECT DISTINCT series_name, country_name FROM w)),
+z AS (SELECT series_name, m, part, 2 + CAST('0x' || left(md5('42|size|' || series_name || '|' || part), 1) AS BIGINT) % 2 AS size FROM (SELECT DISTINCT series_name, m FROM p), range(0, (m + 1) // 2) t(part)),
+c AS (SELECT *, sum(size) OVER (PARTITION BY series_name ORDER BY part) - size AS start FROM z),
+a AS (SELECT p.*, part FROM p JOIN c ON p.series_name = c.series_name AND pos >= start AND pos < start + size),
+l AS (SELECT series_name, list(part ORDER BY walk) AS parts, list(walk ORDER BY walk) AS walks FROM a GROUP BY series_name),
+f AS (SELECT series_name, walks[i] AS walk, parts[i] AS part, list_reduce(list_prepend(0, parts[1:i - 1]), lambda j, x: CASE WHEN x >= j THEN j + 1 ELSE j END) AS made
+      FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM l)),
+s AS (SELECT series_name, made AS part, row_number() OVER (ORDER BY walk) AS set_no FROM f WHERE part >= made QUALIFY set_no <= 1000)
+SELECT series_name, set_no, string_agg(country_name, '|' ORDER BY country_name) AS countries FROM s JOIN a USING (series_name, part) GROUP BY series_name, set_no"""
 )
 
 
