@@ -64,24 +64,24 @@ def aggregated_cells(long: DataFrame, cell: list[str], methods: list[str] = tupl
     at = F.struct("sample_idx", "row_pos", "col_pos", "value")
     rows = once(long.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*cell, F.col("value").cast("double").alias("x"), at.alias("at")))
     sizes = once(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_"), F.min_by("x", "at").alias("first")))
-    out = sizes.join(_middle(rows, cell, sizes), cell).withColumn("median", F.round("middle", robust.DIGITS)).drop("middle")
+    out = sizes.join(_middle(rows, cell, sizes), cell).withColumn("median", robust.rounded(F.col("middle"))).drop("middle")
     far = once(_beside(rows, once(out.select(*cell, "median", "first")), cell).withColumns({
         "x": F.abs(F.col("x") - F.col("median")), "v": F.col("x"), "near": F.abs(F.col("x") - F.col("first")) <= 1e-8 + 1e-5 * F.abs("first"),
     }).drop("median", "first"))
-    out = out.join(_middle(far, cell, sizes).select(*cell, F.round("middle", robust.DIGITS).alias("mad")), cell)
+    out = out.join(_middle(far, cell, sizes).select(*cell, robust.rounded(F.col("middle")).alias("mad")), cell)
     out = once(out.join(far.groupBy(*cell).agg(F.every("near").alias("close")), cell))
     plain = (F.col("mad") == 0) | F.col("close")
-    made: dict[str, Column] = {"median": F.col("median"), "mad": F.col("mad"), "mean": F.round("mean_", robust.DIGITS), "medoid": F.round("low", robust.DIGITS)}
+    made: dict[str, Column] = {"median": F.col("median"), "mad": F.col("mad"), "mean": robust.rounded(F.col("mean_")), "medoid": robust.rounded(F.col("low"))}
     if "huber" in methods:
         out = out.join(_huber(far, out, cell), cell)
-        made["huber"] = F.when(plain, F.col("median")).otherwise(F.round("mu", robust.DIGITS))
+        made["huber"] = F.when(plain, F.col("median")).otherwise(robust.rounded(F.col("mu")))
     if "weighted_confidence" in methods:
         out = out.join(_closest(far, out, cell), cell)
-        made["weighted_confidence"] = F.round("closest", robust.DIGITS)
+        made["weighted_confidence"] = robust.rounded(F.col("closest"))
     if "ransac" in methods:
         near = _beside(far, out.select(*cell, "mad"), cell).filter(F.col("x") <= robust.OUTSIDE * F.col("mad")).groupBy(*cell).agg(F.avg("v").alias("inside"))
         out = out.join(near, cell, "left")
-        made["ransac"] = F.when(plain | F.col("inside").isNull(), F.col("median")).otherwise(F.round("inside", robust.DIGITS))
+        made["ransac"] = F.when(plain | F.col("inside").isNull(), F.col("median")).otherwise(robust.rounded(F.col("inside")))
     return out.select(*cell, F.col("n").cast("int").alias("n"), *[made[m].alias(m) for m in dict.fromkeys([*methods, "median", "mad"])])
 
 
