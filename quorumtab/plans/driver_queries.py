@@ -774,6 +774,25 @@ SELECT g.series_name, g.country_name, CAST(g.year AS INT) AS year, w.value FROM
 )
 
 
+def q_csv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly totals written as a wide CSV file, with quotes, commas and line breaks in the names, and read back."""
+    wide = _wide(spark, sf_dir).groupBy("series_name", "country_name").pivot("year", list(range(1995, 2002))).agg(F.first("value"))
+    name = F.concat(F.lit('"Sum", of\nall "'), F.col("series_name"))
+    text = wide.select(name.alias("Series Name"), F.lit("S,1").alias("Series Code"), F.concat("country_name", F.lit(' "x"')).alias("Country Name"), F.lit("").alias("Country Code"), *[F.coalesce(F.col(str(y)).cast("string"), F.lit("..")).alias(f"{y} [YR{y}]") for y in range(1995, 2002)])
+    path = caches.scratch(spark, "series")
+    text.write.csv(path, header=True, quote='"', escape='"')
+    return caches.read_series(spark, path)
+
+
+CSV_SERIES = (
+    WIDE
+    + """,
+g AS (SELECT DISTINCT series_name, country_name, y AS year FROM w CROSS JOIN range(1995, 2002) t(y))
+SELECT '"Sum", of' || chr(10) || 'all "' || g.series_name AS series_name, g.country_name || ' "x"' AS country_name, CAST(g.year AS INT) AS year, w.value
+FROM g LEFT JOIN w ON g.series_name = w.series_name AND g.country_name = w.country_name AND g.year = w.year"""
+)
+
+
 def q_area_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights of stacked areas, of plain areas and of lines, where gaps are null."""
     p = _points(spark, sf_dir)
@@ -835,7 +854,7 @@ SELECT chart_id, series_pos, color, {", ".join(f"{_drawn(k, o, "chart_id || '|'
 QUERIES: dict = {f.__name__: f for f in (
     q_cell_all, q_hot_cells, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
-    q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_area_line, q_charts, q_line_styles,
+    q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_csv_series, q_area_line, q_charts, q_line_styles,
     q_variance_map, q_normalized_tsv, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references,
 )}
 ORACLES: dict = {
@@ -843,7 +862,7 @@ ORACLES: dict = {
     "q_variance_convergence": VARIANCE, "q_exact_match": EXACT, "q_token_totals": TOKENS, "q_diversity_plan": DIVERSITY, "q_normalize_value": NORMALIZE, "q_fenced_table": FENCED,
     "q_conforms": CONFORMS, "q_cache_key": CACHE_KEY, "q_anls_pairs": ANLS, "q_value_penalty": PENALTY, "q_prune_series": PRUNE, "q_sample_datasets": SAMPLE, "q_subsample": SUBSAMPLE, "q_bars": BARS,
     "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
-    "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_area_line": AREA, "q_charts": CHARTS,
+    "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_csv_series": CSV_SERIES, "q_area_line": AREA, "q_charts": CHARTS,
     "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_prepared": PREPARED, "q_requests": REQUESTS,
     "q_eval_references": REFERENCES, "q_fuzzy_align": FUZZY, "q_incremental_sampling": INCREMENTAL_SAMPLING, "q_structured_sampling": STRUCTURED_SAMPLING, "q_line_styles": LINE_STYLES,
 }

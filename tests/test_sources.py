@@ -1,5 +1,9 @@
+import csv
+import io
 import json
 
+import pytest
+
 from quorumtab.sources import caches
 
 
@@ -35,6 +39,37 @@ def test_series(spark, tmp_path):
     assert got == [("GDP", "A", 2000, 1.5), ("GDP", "A", 2001, None), ("GDP", "B", 2000, 3.0), ("GDP", "B", 2001, 8.0)]
 
 
+HEAD = "Series,Code,Country,CC,2000 [YR2000],2001 [YR2001],2002 [YR2002]\n"
+
+
+def plain(text):
+    """The rows as csv.reader has them, the last of each series and country."""
+    reader = csv.reader(io.StringIO(text, newline=""))
+    years = [int(c.split()[0]) for c in next(reader)[4:]]
+    rows = {(r[0], r[2]): {y: None if v in ("", "..") else float(v) for y, v in zip(years, r[4:])} for r in reader}
+    return sorted(((s, c, y, v) for (s, c), values in rows.items() for y, v in values.items()), key=str)
+
+
+@pytest.mark.parametrize("body", [
+    '"A ""q"", b",C,X,XY,1.5,..,3\n', '"two\nlines\r\nmore",C,"X, Y",XY,1,,"2"\n', "A,C,X,XY,1\nA,C,Y,XY,1,2,3,4,5\nB,C,X,XY\n", "A,C,X,XY,1,2,3\nA,C,X,XY,7,8\n",
+    'A b"c,C,X\ty,é,1e5, 2 ,-inf\n', "",
+])
+def test_series_as_csv_reader(spark, tmp_path, body):
+    """Doubled quotes, line breaks in fields, short and long rows, repeated rows, odd numbers."""
+    (tmp_path / "w.csv").write_text(HEAD + body, newline="")
+    got = sorted((tuple(r) for r in caches.read_series(spark, str(tmp_path / "w.csv")).collect()), key=str)
+    assert got == plain(HEAD + body)
+
+
+def test_series_errors_have_their_place(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + 'A,C,X,XY,1,2,3\n"B\n",C,X,XY,1,n/a,3\nA,C\n')
+    (tmp_path / "b.csv").write_text(HEAD + "A,C,Z,XY,1,2,1.5d\n")
+    got = sorted((r.file.split("/")[-1], r.row, r.year, r.broken) for r in caches.series_errors(spark, str(tmp_path)).collect())
+    assert got == [("a.csv", 2, 2001, "not a number: n/a"), ("a.csv", 3, None, "too few fields"), ("b.csv", 1, 2002, "not a number: 1.5d")]
+    with pytest.raises(Exception, match="a.csv"):
+        caches.read_series(spark, str(tmp_path / "a.csv")).collect()
+
+
 def test_images(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"abc")
     (tmp_path / "b.txt").write_bytes(b"no")
