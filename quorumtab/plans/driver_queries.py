@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quorumtab.functions import table_function
 from quorumtab.functions import text as T
 from quorumtab.operators import consensus, convergence, evaluation, selection, series, strategies, tables
 from quorumtab.sources import caches
@@ -170,6 +171,29 @@ SELECT p_partkey, '"a' || chr(9) || 'b"' || chr(9) || 'c' || chr(10) || '"' || p
        || p_name || chr(9) || '0' || chr(9) || '-' || p_size || chr(10) AS tsv_data FROM part"""
 
 
+def q_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's table with an empty corner, read by SQL in three dialects: quotes stay or go, and an empty corner moves the labels."""
+    table_function.register(spark)
+    p = _table(spark, sf_dir, "part")
+    text = F.concat(F.lit('\t"A"\tB\n'), F.col("p_brand"), F.lit("\t"), F.col("p_size").cast("string"), F.lit("\t x\n\n"), F.col("p_name"), F.lit('\t"y"'))
+    parts = p.select("p_partkey", text.alias("tsv"))
+    told = None
+    for dialect in table_function.DIALECTS:
+        one = spark.sql("SELECT p_partkey, :dialect AS dialect, c.* FROM {parts}, LATERAL table_cells(tsv, '" + dialect + "') c", args={"dialect": dialect}, parts=parts)
+        told = one if told is None else told.unionByName(one)
+    return told
+
+
+TABLE_FUNCTION = """
+SELECT p_partkey, 'quoted' AS dialect, r AS row_pos, c AS col_pos, CASE r WHEN 1 THEN p_brand ELSE p_name END AS row_label, CASE c WHEN 1 THEN 'A' ELSE 'B' END AS col_label,
+       CASE WHEN r = 2 THEN 'y' WHEN c = 1 THEN CAST(p_size AS VARCHAR) ELSE ' x' END AS raw FROM part, (VALUES (1, 1), (1, 2), (2, 1)) t(r, c)
+UNION ALL
+SELECT p_partkey, 'plain', r, c, lower(CASE r WHEN 1 THEN p_brand ELSE p_name END), CASE c WHEN 1 THEN '"a"' ELSE 'b' END,
+       CASE WHEN r = 3 THEN '"y"' WHEN c = 1 THEN CAST(p_size AS VARCHAR) ELSE 'x' END FROM part, (VALUES (1, 1), (1, 2), (3, 1)) t(r, c)
+UNION ALL
+SELECT p_partkey, 'stripped', r, 1, CASE r WHEN 1 THEN p_brand ELSE p_name END, 'B', CASE r WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE '"y"' END FROM part, (VALUES (1), (2)) t(r)"""
+
+
 def q_sample_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as samples, stored as the list of each key."""
     o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("sample_idx"), F.when(F.col("o_orderstatus") != "P", F.concat(F.col("o_orderpriority"), F.lit('\t"q"'))).alias("tsv_data"), F.lit(7).cast("long").alias("input_tokens"), F.col("o_orderkey").alias("output_tokens"))
@@ -855,7 +879,7 @@ QUERIES: dict = {f.__name__: f for f in (
     q_cell_all, q_hot_cells, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
     q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_csv_series, q_area_line, q_charts, q_line_styles,
-    q_variance_map, q_normalized_tsv, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references,
+    q_variance_map, q_normalized_tsv, q_table_function, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references,
 )}
 ORACLES: dict = {
     "q_cell_all": CELL_ALL, "q_hot_cells": HOT_CELLS, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
@@ -863,6 +887,6 @@ ORACLES: dict = {
     "q_conforms": CONFORMS, "q_cache_key": CACHE_KEY, "q_anls_pairs": ANLS, "q_value_penalty": PENALTY, "q_prune_series": PRUNE, "q_sample_datasets": SAMPLE, "q_subsample": SUBSAMPLE, "q_bars": BARS,
     "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
     "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_csv_series": CSV_SERIES, "q_area_line": AREA, "q_charts": CHARTS,
-    "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_prepared": PREPARED, "q_requests": REQUESTS,
+    "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_table_function": TABLE_FUNCTION, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_prepared": PREPARED, "q_requests": REQUESTS,
     "q_eval_references": REFERENCES, "q_fuzzy_align": FUZZY, "q_incremental_sampling": INCREMENTAL_SAMPLING, "q_structured_sampling": STRUCTURED_SAMPLING, "q_line_styles": LINE_STYLES,
 }

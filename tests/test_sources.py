@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from quorumtab.functions import table_function
 from quorumtab.sources import caches
 
 
@@ -74,3 +75,11 @@ def test_images(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"abc")
     (tmp_path / "b.txt").write_bytes(b"no")
     assert [bytes(r.content) for r in caches.read_images(spark, str(tmp_path)).collect()] == [b"abc"]
+
+
+def test_table_function_refuses_other_dialects(spark):
+    table_function.register(spark)
+    one = "SELECT count(*) AS n FROM VALUES ('a\\tb\\nc\\t1'), (CAST(NULL AS STRING)), ('') t(x), LATERAL table_cells(x, '{}')"
+    assert spark.sql(one.format("plain")).first().n == 1
+    with pytest.raises(Exception, match="dialects"):
+        spark.sql(one.format("yaml")).collect()
