@@ -673,6 +673,20 @@ def q_eval_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVAL_NESTED = NESTED + ' SELECT round(100 * avg("precision"), 4) AS "precision", round(100 * avg(recall), 4) AS recall, round(100 * avg(f1), 4) AS f1, ' + ", ".join(f"round(avg({b}), 4) AS {b}" for b in evaluation.BUCKETS) + " FROM n"
 
 
+def q_matched_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a table of parts for each size, without a matrix: some names with a wrong letter, some values off, some parts missing or other ones."""
+    p = _table(spark, sf_dir, "part").withColumn("key", F.concat_ws(" ", "p_name", "p_brand", "p_type"))
+    k = F.col("p_partkey")
+    truth = p.select(F.col("p_size").alias("pair_id"), k.alias("pos"), "key", F.col("p_retailprice").cast("string").alias("value"))
+    typo = F.when(k % 7 == 0, F.concat(F.substring("key", 1, 3), F.lit("x"), F.substring("key", 5, 1000))).when(k % 11 == 0, F.reverse("key")).otherwise(F.col("key"))
+    value = F.when(k % 5 == 0, F.col("p_retailprice") * 1.05).when(k % 13 == 0, F.col("p_retailprice") * 2).otherwise(F.col("p_retailprice"))
+    told = p.filter(k % 17 != 0).select(F.col("p_size").alias("pair_id"), k.alias("pos"), typo.alias("key"), value.cast("string").alias("value"))
+    told = told.groupBy("pair_id", "key").agg(F.min("pos").alias("pos"), F.max_by("value", "pos").alias("value"))
+    truth = truth.groupBy("pair_id", "key").agg(F.min("pos").alias("pos"), F.max_by("value", "pos").alias("value"))
+    out = evaluation.scores(truth, told, ["pair_id"], dense_cells=0)
+    return out.select("pair_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", *evaluation.BUCKETS)])
+
+
 def q_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convergence.fixed(_told(spark, sf_dir)[1], 5)
 
@@ -878,7 +892,7 @@ SELECT chart_id, series_pos, color, {", ".join(f"{_drawn(k, o, "chart_id || '|'
 QUERIES: dict = {f.__name__: f for f in (
     q_cell_all, q_hot_cells, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
-    q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_csv_series, q_area_line, q_charts, q_line_styles,
+    q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_matched_parts, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_csv_series, q_area_line, q_charts, q_line_styles,
     q_variance_map, q_normalized_tsv, q_table_function, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references,
 )}
 ORACLES: dict = {

@@ -114,3 +114,17 @@ def test_scores_are_the_same_without_a_matrix(spark):
     assert set(a) == set(b) and any(r.label_errors > 0 for r in a.values())
     for i in a:  # several matchings may be equally good, and then values differ
         assert b[i].missing_datapoints == pytest.approx(a[i].missing_datapoints) and b[i].label_errors + b[i].value_errors + b[i].correct == pytest.approx(a[i].label_errors + a[i].value_errors + a[i].correct), (i, names)
+
+
+def test_matched_parts_equals_the_matrix(spark, monkeypatch):
+    """The query's tables at the smallest size, with and without a matrix."""
+    from quorumtab.plans import driver_queries as q
+
+    mine = {r.pair_id: r for r in q.q_matched_parts(spark, "/root/testdata/sf0.001").collect()}
+    scores = evaluation.scores
+    monkeypatch.setattr(evaluation, "scores", lambda *args, dense_cells: scores(*args, dense_cells=1 << 40))
+    want = {r.pair_id: r for r in q.q_matched_parts(spark, "/root/testdata/sf0.001").collect()}
+    assert set(mine) == set(want)
+    for i, w in want.items():
+        assert mine[i].missing_datapoints == pytest.approx(w.missing_datapoints) and mine[i].extra_datapoints == pytest.approx(w.extra_datapoints)
+        assert mine[i].label_errors == pytest.approx(w.label_errors)
