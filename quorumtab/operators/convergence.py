@@ -93,6 +93,11 @@ def exact_match(samples: DataFrame, matches: int = 2, keys: list[str] = ("image_
     return samples.withColumn("done", same)
 
 
+def marker(samples: DataFrame) -> DataFrame:
+    """samples with done: never. The checker named with the incremental strategy, which compares consensus texts by itself."""
+    return samples.withColumn("done", F.lit(False))
+
+
 def variance(consensus: DataFrame, threshold: float = 0.01, every_cell: bool = True, least: int = 2, patience: int = 1, keys: list[str] = ("image_id",)) -> DataFrame:
     """For each prefix: mad (largest, or mean), run, done: MADs within the threshold for `patience` prefixes in a row."""
     keys = list(keys)

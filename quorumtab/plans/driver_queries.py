@@ -864,6 +864,10 @@ def _drawn(what: str, options: list[str] | tuple, ids: str = "c_custkey") -> str
     n = f"CAST('0x' || left(md5('{what}|' || {ids}), 7) AS BIGINT)"
     if isinstance(options, list):
         return f"[{', '.join(repr(o) for o in options)}][1 + {n} % {len(options)}]"
+    if len(options) == 3:
+        least, most, names = options
+        ranked = f"list_sort([{', '.join(f"""md5('{what}|{o}|' || {ids}) || '{o}'""" for o in names)}])"
+        return f"array_to_string(list_transform({ranked}[1:{n} % {most - least + 1} + {least}], lambda x: substr(x, 33)), ',')"
     low, high = options
     if isinstance(low, int):
         return f"CAST({n} % {high - low + 1} + {low} AS VARCHAR)"
@@ -875,6 +879,12 @@ WITH c AS (SELECT c_custkey, {_drawn("type", list(series.CHART_TYPES))} AS chart
 SELECT c_custkey AS set_no, chart_type, library, CASE library {" ".join(f"WHEN '{lib}' THEN " + " || ';' || ".join(f"'{k}=' || {_drawn(k, style[k])}" for k in sorted(style)) for lib, style in series.STYLES.items())} END AS style FROM c"""
 
 
+def _line_option(name: str, options: list[str] | tuple) -> str:
+    ids = "chart_id || '|' || series_pos"
+    bare = f"CAST('0x' || left(md5('bare|' || {ids}), 7) AS BIGINT) % 10 < {series.BARE_TENTHS}"
+    return f"CASE WHEN {bare} THEN 'none' ELSE {_drawn(name, options, ids)} END" if name == "marker" else _drawn(name, options, ids)
+
+
 def q_line_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A color and line options for each nation in each priority's chart."""
     return series.line_styles(_points(spark, sf_dir), 25).withColumn("series_pos", F.col("series_pos").cast("long"))
@@ -885,7 +895,7 @@ LINE_STYLES = (
     + f""",
 n AS (SELECT series_name AS chart_id, row_number() OVER (PARTITION BY series_name ORDER BY country_name) - 1 AS series_pos FROM (SELECT DISTINCT series_name, country_name FROM w)),
 c AS (SELECT chart_id, color, row_number() OVER (PARTITION BY chart_id ORDER BY md5(chart_id || '|' || color), color) - 1 AS series_pos FROM (SELECT DISTINCT chart_id FROM n) CROSS JOIN (SELECT unnest({series.colors(25)}) AS color))
-SELECT chart_id, series_pos, color, {", ".join(f"{_drawn(k, o, "chart_id || '|' || series_pos")} AS {k}" for k, o in series.LINE_STYLE.items())} FROM n JOIN c USING (chart_id, series_pos)"""
+SELECT chart_id, series_pos, color, {", ".join(f"{_line_option(k, o)} AS {k}" for k, o in series.LINE_STYLE.items())} FROM n JOIN c USING (chart_id, series_pos)"""
 )
 
 
