@@ -474,13 +474,21 @@ def q_eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_eval_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's first sample against a list of references: another table, a null, and its own text transposed or as it is."""
-    t = candidate_tables(spark, sf_dir)
-    first = t.groupBy("image_id").agg(F.min_by("tsv_data", "sample_idx").alias("model_answer"))
-    own = F.when(F.col("image_id") % 2 == 0, F.col("model_answer"))
-    pairs = first.select(F.col("image_id").alias("pair_id"), "model_answer", F.array(F.lit("a\tb\nc\t1"), F.lit(None).cast("string"), own).alias("gt_answer"))
-    out = evaluation.per_pair(pairs.filter("pair_id % 2 = 0").unionByName(pairs.filter("pair_id % 2 = 1").withColumn("gt_answer", F.array(F.lit("q\tb\nc\t1"), F.col("model_answer")))))
-    return out.select("pair_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", *evaluation.BUCKETS)])
+    """Every sample against a list of references: another table, a null where the supplier is even, and its own text."""
+    t = candidate_tables(spark, sf_dir).withColumnRenamed("tsv_data", "model_answer")
+    even = F.array(F.lit("a\tb\nc\t1"), F.lit(None).cast("string"), F.col("model_answer"))
+    pairs = t.select(F.concat_ws("-", "image_id", "sample_idx").alias("pair_id"), "model_answer", F.when(F.col("image_id") % 2 == 0, even).otherwise(F.array(F.lit("q\tb\nc\t1"), F.col("model_answer"))).alias("gt_answer"))
+    return evaluation.per_pair(pairs).select("pair_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", *evaluation.BUCKETS)])
+
+
+def q_clean_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeletons of parts with underscores in the header and in all columns, and blank lines; some have blank lines only."""
+    text = F.concat(F.lit("\n_year_\ta_b\n \t\n"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("\t_\n\n"), F.col("p_brand"), F.lit("_x\t_y_"))
+    return _table(spark, sf_dir, "part").select("p_partkey", T.clean_skeleton(F.when(F.col("p_size") > 1, text).otherwise(F.lit(" \n"))).alias("structure"))
+
+
+CLEAN_SKELETON = """
+SELECT p_partkey, CASE WHEN p_size > 1 THEN ' year ' || chr(9) || 'a b' || chr(10) || replace(p_name, ' ', '') || chr(9) || '_' || chr(10) || p_brand || 'x' || chr(9) || '_y_' ELSE '' END AS structure FROM part"""
 
 
 def _wide(spark: SparkSession, sf_dir: str, keep_number: bool = False) -> DataFrame:
@@ -611,7 +619,7 @@ TRANSPOSE = GRID + " SELECT image_id, sample_idx, col_label AS row_label, row_la
 REFERENCES = (
     GRID
     + """,
-x AS (SELECT image_id, count(*) + 1 AS n, count(*) FILTER (WHERE value = 'nan') AS bad FROM f JOIN (SELECT image_id, min(sample_idx) AS sample_idx FROM cand GROUP BY image_id) USING (image_id, sample_idx) WHERE col_pos < 3 GROUP BY image_id)  -- the corner is empty, so headers move by one
+x AS (SELECT image_id || '-' || sample_idx AS image_id, count(*) + 1 AS n, count(*) FILTER (WHERE value = 'nan') AS bad FROM f WHERE col_pos < 3 GROUP BY f.image_id, sample_idx)  -- the corner is empty, so headers move by one
 SELECT image_id AS pair_id, round((n - bad) / n, 6) AS "precision", round((n - bad) / n, 6) AS recall, round((n - bad) / n, 6) AS f1, round(100 * (n - bad) / n, 6) AS correct,
        round(100 * bad / n, 6) AS value_errors, 0.0::DOUBLE AS label_errors, 0.0::DOUBLE AS missing_datapoints, 0.0::DOUBLE AS extra_datapoints FROM x"""
 )
@@ -785,6 +793,18 @@ SELECT image_id, CASE WHEN odd IS NULL THEN tsv_data END AS tsv_data, odd IS NUL
        num_samples, total_input_tokens, total_output_tokens, 'sample ' || odd || ' does not conform to the skeleton' AS error FROM done JOIN odd USING (image_id)"""
 
 
+def q_diversity_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples of a supplier as of two models and two prompts; samples with line number 4 are blank, and one of the others has a row that is too wide."""
+    t = _samples(spark, sf_dir).withColumns({"model": F.when(F.col("sample_idx") % 2 == 0, "a").otherwise("b"), "prompt_variant": F.when(F.col("sample_idx") < 3, "x").otherwise("y")})
+    wide = F.when(F.col("sample_idx") == 3, F.lit(" ")).when(F.col("sample_idx") == 1, F.regexp_replace("tsv_data", r"\z", "\t7")).otherwise(F.col("tsv_data"))
+    out = strategies.diversity(t.withColumn("tsv_data", wide))
+    return out.select("image_id", "converged", "num_samples", "total_input_tokens", "total_output_tokens", (F.col("tsv_data") != "").alias("has_table"))
+
+
+DIVERSITY_SAMPLING = f"""{SAMPLES}
+SELECT image_id, false AS converged, count(*) AS num_samples, CAST(100 * count(*) AS BIGINT) AS total_input_tokens, CAST(sum(length(tsv)) AS BIGINT) AS total_output_tokens, bool_or(sample_idx <> 3) AS has_table FROM smp GROUP BY image_id"""
+
+
 def q_first_conforming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as attempts, of which those with status O conform."""
     o = _table(spark, sf_dir, "orders").withColumn("attempt", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
@@ -852,6 +872,34 @@ SELECT series_name AS chart_id, pos AS series_pos, country_name, year, round(sum
 )
 
 
+def q_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chart type in every library, areas also stacked: what is drawn, added up for each chart."""
+    p, told = _points(spark, sf_dir), None
+    for kind in series.CHART_TYPES:
+        for library in series.LIBRARIES:
+            for stack in (False, True) if kind == "area" else (False,):
+                g = series.geometry(p, kind, library, stack)
+                shown = F.col("height" if kind == "grouped_bar" else "top" if kind == "stacked_bar" else "value")
+                one = g.groupBy("chart_id").agg(F.round(F.sum(F.when(~F.isnan(shown), shown)), 2).alias("drawn"), F.count_if(F.isnan(shown)).alias("gaps"), F.count(shown).alias("n"))
+                one = one.select("chart_id", F.lit(kind).alias("kind"), F.lit(library).alias("library"), F.lit(stack).alias("stacked"), "drawn", "gaps", "n")
+                told = one if told is None else told.unionByName(one)
+    return told
+
+
+GEOMETRY = (
+    WIDE
+    + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY series_name ORDER BY country_name) AS pos FROM (SELECT DISTINCT series_name, country_name FROM w)),
+p AS (SELECT series_name AS chart_id, value, sum(coalesce(value, 0.0)) OVER (PARTITION BY series_name, year ORDER BY pos) AS top FROM w JOIN n USING (series_name, country_name)),
+k AS (SELECT kind, library, stacked FROM (VALUES ('line', false), ('area', false), ('area', true), ('grouped_bar', false), ('stacked_bar', false)) k(kind, stacked), (VALUES ('matplotlib'), ('seaborn'), ('plotly'), ('bokeh')) l(library)),
+d AS (
+  SELECT chart_id, kind, library, stacked, value,
+         CASE WHEN kind = 'stacked_bar' OR stacked AND library <> 'plotly' THEN top WHEN kind = 'line' OR kind = 'area' AND NOT stacked AND library IN ('matplotlib', 'seaborn') THEN value ELSE coalesce(value, 0.0) END AS x,
+         value IS NULL AND (kind = 'line' AND library <> 'plotly' OR kind = 'area' AND NOT stacked AND library IN ('matplotlib', 'seaborn')) AS gap FROM p CROSS JOIN k)
+SELECT chart_id, kind, library, stacked, round(sum(x), 2) AS drawn, count(*) FILTER (WHERE gap) AS gaps, count(*) FILTER (WHERE x IS NOT NULL OR gap) AS n FROM d GROUP BY chart_id, kind, library, stacked"""
+)
+
+
 def q_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer as a dataset: chart type, library and all options of its style."""
     out = series.charts(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("set_no")))
@@ -903,7 +951,7 @@ QUERIES: dict = {f.__name__: f for f in (
     q_cell_all, q_hot_cells, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
     q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_matched_parts, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_csv_series, q_area_line, q_charts, q_line_styles,
-    q_variance_map, q_normalized_tsv, q_table_function, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references,
+    q_variance_map, q_normalized_tsv, q_table_function, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references, q_clean_skeleton, q_diversity_sampling, q_geometry,
 )}
 ORACLES: dict = {
     "q_cell_all": CELL_ALL, "q_hot_cells": HOT_CELLS, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
@@ -912,5 +960,5 @@ ORACLES: dict = {
     "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
     "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_csv_series": CSV_SERIES, "q_area_line": AREA, "q_charts": CHARTS,
     "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_table_function": TABLE_FUNCTION, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_prepared": PREPARED, "q_requests": REQUESTS,
-    "q_eval_references": REFERENCES, "q_fuzzy_align": FUZZY, "q_incremental_sampling": INCREMENTAL_SAMPLING, "q_structured_sampling": STRUCTURED_SAMPLING, "q_line_styles": LINE_STYLES,
+    "q_eval_references": REFERENCES, "q_clean_skeleton": CLEAN_SKELETON, "q_diversity_sampling": DIVERSITY_SAMPLING, "q_geometry": GEOMETRY, "q_fuzzy_align": FUZZY, "q_incremental_sampling": INCREMENTAL_SAMPLING, "q_structured_sampling": STRUCTURED_SAMPLING, "q_line_styles": LINE_STYLES,
 }
