@@ -78,6 +78,8 @@ def kept_buckets(df: DataFrame, n: int, bucket: str, slot: str, name: str) -> Da
     """kept() for rows that already lie in n partitions, numbered by `bucket`: operators keyed by `slot` read it without a shuffle.
 
     slot is a number that Spark's hash deals to the bucket's place; there is one for each bucket, so buckets don't meet.
+    Buckets are known to the session's catalog only, so a table named after `name` is left there, with its data in the shared
+    folder; and for more buckets than spark.sql.sources.bucketing.maxBuckets allows that setting is raised for the session.
     """
     spark = df.sparkSession
     most = "spark.sql.sources.bucketing.maxBuckets"
