@@ -18,13 +18,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumtab.sources.caches import scratch
+
 SALT = 4
 
 
 def once(df: DataFrame) -> DataFrame:
-    """The rows computed once: a checkpoint where spark.checkpoint.dir is set, else held on the executors' disks, and made again if lost."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
+    """The rows computed once: a table in the checkpoint folder where one is set, else held on the executors' disks, and made again if lost."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        path = scratch(spark, "held")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     return df.persist(StorageLevel.DISK_ONLY)
 
 
