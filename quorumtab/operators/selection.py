@@ -54,13 +54,18 @@ def _middle(rows: DataFrame, cell: list[str], sizes: DataFrame) -> DataFrame:
     return ranked(rows, cell, ranks).groupBy(*cell).agg(F.min("value").alias("low"), ((F.min("value") + F.max("value")) / 2).alias("middle"))
 
 
+#: The methods that need no array.
+OWN = tuple(robust.METHODS.values())
+
+
 def aggregated_cells(long: DataFrame, cell: list[str], methods: list[str] = tuple(robust.METHODS)) -> DataFrame:
     """consensus.aggregated() of long cells (cell, sample_idx, row_pos, col_pos, value) without an array a cell: cell, n, methods.
 
     Of samples in equal places, the smaller value counts as the earlier one.
     """
     for m in methods:
-        robust.method(m)
+        if robust.method(m) not in OWN:
+            raise ValueError(f"{m!r} needs a cell's values as an array: consensus.aggregated() has it")
     at = F.struct("sample_idx", "row_pos", "col_pos", "value")
     rows = once(long.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*cell, F.col("value").cast("double").alias("x"), at.alias("at")))
     sizes = once(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_"), F.min_by("x", "at").alias("first")))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumtab.functions import registry
 from quorumtab.functions.text import bare
 from quorumtab.operators import consensus, convergence, tables
 from quorumtab.operators.matching import once
@@ -100,9 +101,11 @@ def diversity(samples: DataFrame, config: Sampling = Sampling()) -> DataFrame:
     return out.select("image_id", "tsv_data", F.lit(False).alias("converged"), F.lit(None).cast("int").alias("convergence_iteration"), *TOTALS)
 
 
-def adaptive(samples: DataFrame, done: DataFrame, config: Sampling = Sampling()) -> DataFrame:
-    """The first prefix that a checker says is done; done: image_id, prefix_k, done (see exact_done and variance_done)."""
+def adaptive(samples: DataFrame, done: DataFrame | str, config: Sampling = Sampling()) -> DataFrame:
+    """The first prefix that a checker says is done; done: a checker's name ("exact", "variance" or an added one), or image_id, prefix_k, done."""
     steps = prefix_tables(samples, config.adaptive_least, config.most, config)
+    if isinstance(done, str):
+        done = registry.checker(done)(samples, steps).select(*STEP, "done")
     judged = steps.withColumnRenamed("tsv_data", "value").join(done, STEP, "left").withColumn("done", F.coalesce("done", F.lit(False)))
     return _taken(convergence.adaptive(judged, "done", config.adaptive_least), steps)
 
@@ -118,6 +121,9 @@ def variance_done(steps: DataFrame, **options) -> DataFrame:
     return convergence.variance(spread, **options).select(*STEP, "done")
 
 
+registry.CHECKERS.update(exact=lambda samples, steps: exact_done(samples), variance=lambda samples, steps: variance_done(steps))
+
+
 def _settled(steps: DataFrame, config: Sampling, exact: bool) -> DataFrame:
     judged = steps.withColumnRenamed("tsv_data", "value").withColumn("has_content", tables.has_content(F.col("value")))
     if exact:

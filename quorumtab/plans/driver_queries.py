@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumtab.functions import table_function
+from quorumtab.functions import registry, table_function
 from quorumtab.functions import text as T
 from quorumtab.operators import consensus, convergence, evaluation, selection, series, strategies, tables
 from quorumtab.sources import caches
+from quorumtab.sources.store import SampleStore
 
 CANDIDATES = """
 SELECT l_suppkey AS image_id, l_linenumber - 1 AS sample_idx, CAST(year(l_shipdate) AS VARCHAR) AS row_label, l_returnflag AS col_label,
@@ -85,6 +86,26 @@ SELECT s.image_id, s.row_label, s.col_label, count(*) AS n, any_value(s.med) AS
 FROM s JOIN h10 USING (image_id, row_label, col_label) GROUP BY s.image_id, s.row_label, s.col_label"""
 
 
+TRIMMED = "if(size(xs) < 3, med, aggregate(slice(array_sort(xs), 2, size(xs) - 2), 0D, (a, x) -> a + x) / (size(xs) - 2))"
+
+
+def q_added_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A method added by its text, the mean without the least and the greatest value, of all cells by its name and from SQL."""
+    registry.add_method(spark, "trimmed", TRIMMED)
+    cells = consensus.cell_values(candidates(spark, sf_dir), ["image_id"])
+    out = consensus.aggregated(cells, ["trimmed"]).withColumns({"by_sql": F.expr("robust_trimmed(xs)"), "huber_by_sql": F.expr("robust_huber(xs)")})
+    return out.select("image_id", "row_label", "col_label", "trimmed", "by_sql", "huber_by_sql")
+
+
+ADDED_METHOD = f"""
+WITH all_cells AS ({CELL_ALL}),
+t AS (
+  SELECT image_id, row_label, col_label, CASE WHEN any_value(n) < 3 THEN round(median(value), 6) ELSE round(avg(value) FILTER (WHERE i > 1 AND i < n), 6) END AS trimmed
+  FROM (SELECT *, row_number() OVER (PARTITION BY image_id, row_label, col_label ORDER BY value) AS i, count(*) OVER (PARTITION BY image_id, row_label, col_label) AS n FROM ({CANDIDATES}))
+  GROUP BY image_id, row_label, col_label)
+SELECT image_id, row_label, col_label, trimmed, trimmed AS by_sql, huber AS huber_by_sql FROM t JOIN all_cells USING (image_id, row_label, col_label)"""
+
+
 def q_hot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All values of cells with a large share of the line items each (return flag and line status), by counting instead of arrays."""
     items = _table(spark, sf_dir, "lineitem").select(
@@ -219,6 +240,26 @@ SELECT c_custkey AS image_id, CAST(c_custkey % 10 + t.j AS BIGINT) AS sample_idx
 FROM customer CROSS JOIN range(0, 3) t(j) LEFT JOIN s ON o_custkey = c_custkey AND i = c_custkey % 10 + t.j"""
 
 
+def q_sample_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of a customer's orders as samples: the finished ones appended, two taken of each customer, the others appended, three more taken."""
+    o = _table(spark, sf_dir, "orders").withColumn("later", F.col("o_orderstatus") != "F")
+    nth = F.row_number().over(Window.partitionBy("o_custkey", "later").orderBy("o_orderkey")) - 1
+    samples = o.select("later", F.col("o_custkey").alias("image_id"), nth.alias("sample_idx"), F.col("o_orderpriority").alias("tsv_data"), F.lit(7).alias("input_tokens"), F.col("o_orderkey").alias("output_tokens"))
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"))
+    store = SampleStore(spark, caches.scratch(spark, "samples"))
+    store.append(samples.filter("NOT later").drop("later"))
+    first = store.take(customers, 2)
+    store.append(samples.filter("later").drop("later"))
+    both = first.withColumn("taken", F.lit(1)).unionByName(store.take(customers, 3).withColumn("taken", F.lit(2)))
+    return both.withColumn("sample_idx", F.col("sample_idx").cast("long"))
+
+
+SAMPLE_STORE = """
+WITH o AS (SELECT o_custkey, o_orderpriority, o_orderstatus <> 'F' AS later, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F', o_orderkey) - 1 AS i FROM orders)
+SELECT CAST(c_custkey AS VARCHAR) AS image_id, CAST(j AS BIGINT) AS sample_idx, o_orderpriority AS tsv_data, i IS NOT NULL AS stored, CASE WHEN j < 2 THEN 1 ELSE 2 END AS taken
+FROM customer CROSS JOIN range(0, 5) t(j) LEFT JOIN o ON o_custkey = c_custkey AND i = j AND (j >= 2 OR NOT later)"""
+
+
 def q_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a request for each customer's chart holds: data URL, prompt, provider and keys, of six models in turn."""
     c = _table(spark, sf_dir, "customer")
@@ -948,17 +989,17 @@ SELECT chart_id, series_pos, color, {", ".join(f"{_line_option(k, o)} AS {k}" fo
 
 
 QUERIES: dict = {f.__name__: f for f in (
-    q_cell_all, q_hot_cells, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
+    q_cell_all, q_hot_cells, q_added_method, q_structured_consensus, q_consensus_tables, q_fuzzy_align, q_prefix_median, q_stability, q_incremental, q_variance_convergence, q_exact_match, q_token_totals,
     q_diversity_plan, q_normalize_value, q_fenced_table, q_conforms, q_cache_key, q_anls_pairs, q_value_penalty, q_rms_f1, q_eval_macro, q_prune_series, q_sample_datasets, q_subsample, q_bars,
     q_transpose, q_datapoints, q_rms_f1_nested, q_eval_nested, q_matched_parts, q_fixed, q_adaptive, q_incremental_sampling, q_structured_sampling, q_first_conforming, q_unpivot_series, q_csv_series, q_area_line, q_charts, q_line_styles,
-    q_variance_map, q_normalized_tsv, q_table_function, q_sample_lists, q_next_samples, q_prepared, q_requests, q_eval_references, q_clean_skeleton, q_diversity_sampling, q_geometry,
+    q_variance_map, q_normalized_tsv, q_table_function, q_sample_lists, q_next_samples, q_sample_store, q_prepared, q_requests, q_eval_references, q_clean_skeleton, q_diversity_sampling, q_geometry,
 )}
 ORACLES: dict = {
-    "q_cell_all": CELL_ALL, "q_hot_cells": HOT_CELLS, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
+    "q_cell_all": CELL_ALL, "q_hot_cells": HOT_CELLS, "q_added_method": ADDED_METHOD, "q_structured_consensus": STRUCTURED, "q_prefix_median": PREFIX + " SELECT * FROM steps", "q_stability": STABILITY, "q_incremental": INCREMENTAL,
     "q_variance_convergence": VARIANCE, "q_exact_match": EXACT, "q_token_totals": TOKENS, "q_diversity_plan": DIVERSITY, "q_normalize_value": NORMALIZE, "q_fenced_table": FENCED,
     "q_conforms": CONFORMS, "q_cache_key": CACHE_KEY, "q_anls_pairs": ANLS, "q_value_penalty": PENALTY, "q_prune_series": PRUNE, "q_sample_datasets": SAMPLE, "q_subsample": SUBSAMPLE, "q_bars": BARS,
     "q_transpose": TRANSPOSE, "q_datapoints": DATAPOINTS, "q_rms_f1_nested": NESTED + " SELECT * FROM n", "q_eval_nested": EVAL_NESTED, "q_fixed": FIXED, "q_adaptive": ADAPTIVE,
     "q_first_conforming": CONFORMING, "q_unpivot_series": UNPIVOT, "q_csv_series": CSV_SERIES, "q_area_line": AREA, "q_charts": CHARTS,
-    "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_table_function": TABLE_FUNCTION, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_prepared": PREPARED, "q_requests": REQUESTS,
+    "q_consensus_tables": TABLES, "q_variance_map": VARIANCE_MAP, "q_normalized_tsv": NORMALIZED_TSV, "q_table_function": TABLE_FUNCTION, "q_sample_lists": SAMPLE_LISTS, "q_next_samples": NEXT_SAMPLES, "q_sample_store": SAMPLE_STORE, "q_prepared": PREPARED, "q_requests": REQUESTS,
     "q_eval_references": REFERENCES, "q_clean_skeleton": CLEAN_SKELETON, "q_diversity_sampling": DIVERSITY_SAMPLING, "q_geometry": GEOMETRY, "q_fuzzy_align": FUZZY, "q_incremental_sampling": INCREMENTAL_SAMPLING, "q_structured_sampling": STRUCTURED_SAMPLING, "q_line_styles": LINE_STYLES,
 }
