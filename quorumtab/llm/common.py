@@ -78,20 +78,25 @@ def kept_buckets(df: DataFrame, n: int, bucket: str, slot: str, name: str) -> Da
     """kept() for rows that already lie in n partitions, numbered by `bucket`: operators keyed by `slot` read it without a shuffle.
 
     slot is a number that Spark's hash deals to the bucket's place; there is one for each bucket, so buckets don't meet.
-    Buckets are known to the session's catalog only, so a table named after `name` is left there, with its data in the shared
-    folder; and for more buckets than spark.sql.sources.bucketing.maxBuckets allows that setting is raised for the session.
+    Buckets are known by a catalog entry only, which is dropped once the table is resolved: its data stays in the shared folder.
+    A larger spark.sql.sources.bucketing.maxBuckets, where it is needed, lasts as long as the entry.
     """
     spark = df.sparkSession
-    most = "spark.sql.sources.bucketing.maxBuckets"
-    if n > int(spark.conf.get(most)):
-        spark.conf.set(most, str(n))
     number = F.col("id").cast("int")
     slots = spark.range(n * (20 + n.bit_length())).groupBy(F.pmod(F.hash(number), F.lit(n)).cast("long").alias(bucket)).agg(F.min(number).alias(slot))
     path, table = shared_path(spark, name), f"{name}_{uuid.uuid4().hex}"
     dealt = df.join(F.broadcast(slots), bucket, "left")
     dealt = dealt.withColumn(slot, F.coalesce(slot, F.raise_error(F.lit("more partitions than buckets")).cast("int")))
-    dealt.write.bucketBy(n, slot).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    setting = "spark.sql.sources.bucketing.maxBuckets"
+    most = spark.conf.get(setting)
+    try:
+        if n > int(most):
+            spark.conf.set(setting, str(n))
+        dealt.write.bucketBy(n, slot).option("path", path).saveAsTable(table)
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # an external one: the files stay
+        spark.conf.set(setting, most)
 
 
 def task_count(spark: SparkSession) -> int:

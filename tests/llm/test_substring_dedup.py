@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quorumtab.llm import substring_dedup
+from quorumtab.llm.common import kept_buckets
 from quorumtab.llm.substring_dedup import deduped, op7_substring_dedup, packed, unpacked
 
 
@@ -84,3 +86,18 @@ def test_packed_numbers():
 
 def test_empty_table(spark):
     assert deduped(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_catalog_entry_nor_setting_is_left_and_buckets_stay(spark):
+    setting = "spark.sql.sources.bucketing.maxBuckets"
+    before, tables = spark.conf.get(setting), spark.catalog.listTables()
+    spark.conf.set(setting, "4")
+    try:
+        rows = spark.range(1000).withColumn("bucket", F.pmod("id", F.lit(8)))
+        kept = kept_buckets(rows.repartition(8, "bucket"), 8, "bucket", "slot", "t")
+        assert spark.conf.get(setting) == "4" and spark.catalog.listTables() == tables
+        counted = kept.groupBy("slot").count()
+        assert sorted(r["count"] for r in counted.collect()) == [125] * 8
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
