@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumtab.functions.text import anls, bare, value_penalty
+from quorumtab.functions.text import anls, bare, let, value_penalty
 from quorumtab.operators.matching import once, sparse_matched
 from quorumtab.operators.tables import plain_table, transposed
 
@@ -74,35 +72,62 @@ def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_th
     return _dense_matched(targets.join(few, keys, "left_anti"), predictions.join(few, keys, "left_anti"), keys, text_theta).unionByName(found)
 
 
-def _dense_matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float) -> DataFrame:
-    """matched() with a matrix of key scores where keys are not nested. Rows are few bytes and much work, so they are dealt
-    to a fixed number of tasks that adaptive execution doesn't join.
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("s", T.DoubleType())])))
+def _solved(edges: pa.Array) -> pa.Array:
+    """Of each row's edges (i, j, s) those of an assignment with the largest sum of s; only rows and columns with an edge are looked at."""
+    out = []
+    for found in edges.to_pylist():
+        if found is None:
+            out.append(None)
+            continue
+        rows, cols = ({x: k for k, x in enumerate(sorted({e[c] for e in found}))} for c in "ij")
+        cost, of = np.ones((len(rows), len(cols))), {}
+        for e in found:
+            cost[rows[e["i"]], cols[e["j"]]] = 1 - e["s"]
+            of[rows[e["i"]], cols[e["j"]]] = e
+        out.append([of[x] for x in assigned(cost) if x in of])
+    return pa.array(out, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64())])))
+
+
+def _picked(rows: DataFrame, text_theta: float) -> DataFrame:
+    """rows with t and p, arrays of datapoints (pos, key, value), with picked: optimally matched ones whose keys are alike, as (i, j, s).
+
+    That depends on the keys alone, which tables of like charts share, so it is found once for each different pair of key
+    lists. Where one side's keys are all among the other's, these are the equal keys. Else pairs of keys with a score above 0
+    are the edges: where no two share an end all are picked, and only other pairs of lists are solved.
     """
-    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def side(points: DataFrame, name: str) -> DataFrame:
-        return points.repartition(tasks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "value"))).alias(name))
-
-    both = side(targets, "t").join(side(predictions, "p"), keys)
-    shared = F.size(F.array_intersect(F.col("t")["key"], F.col("p")["key"]))
-    matrix = F.transform("t", lambda a: F.transform("p", lambda b: anls(a["key"], b["key"], text_theta)))
-    both = both.withColumn("matrix", F.when(shared < F.least(F.size("t"), F.size("p")), matrix))
-    equal = F.filter(F.transform("t", lambda a, i: F.struct(i.alias("i"), (F.array_position(F.col("p")["key"], a["key"]).cast("int") - 1).alias("j"))), lambda x: x["j"] >= 0)
-
-    def solve(batches: Iterator) -> Iterator:
-        for batch in batches:
-            found = [[{"i": i, "j": j} for i, j in assigned(1 - np.array(m))] for m in batch.column("matrix").to_pylist()]
-            yield batch.append_column("picked", pa.array(found, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))))
-
-    hard = both.filter("matrix IS NOT NULL")
-    pairs = "picked array<struct<i:int,j:int>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hard.schema) + ", " + pairs
-    picked = both.filter("matrix IS NULL").withColumn("picked", equal).select(*keys, "t", "p", "matrix", "picked")
-    picked = picked.unionByName(hard.mapInArrow(solve, schema))
+    rows = rows.withColumns({"t_keys": F.col("t")["key"], "p_keys": F.col("p")["key"]})
+    nested = F.size(F.array_intersect("t_keys", "p_keys")) >= F.least(F.size("t_keys"), F.size("p_keys"))
+    one = lambda i, j, s: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), s.alias("s"))
+    equal = F.filter(F.transform("t_keys", lambda a, i: one(i, F.array_position(F.col("p_keys"), a) - 1, F.lit(1.0))), lambda x: x["j"] >= 0)
+    alike = F.flatten(F.transform("t_keys", lambda a, i: F.filter(F.transform("p_keys", lambda b, j: one(i, j, anls(a, b, text_theta))), lambda x: x["s"] > 0)))
+    lists = rows.select("t_keys", "p_keys").distinct().withColumn("edges", F.when(nested, equal).otherwise(alike))
+    apart = lambda c: F.size(F.array_distinct(F.col("edges")[c])) == F.size("edges")
+    lists = lists.withColumn("picked", F.coalesce(_solved.asNondeterministic()(F.when(~(apart("i") & apart("j")), F.col("edges"))), F.col("edges"))).drop("edges")
+    return rows.join(lists, ["t_keys", "p_keys"]).drop("t_keys", "p_keys")
+
+
+def _dense_matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float) -> DataFrame:
+    """matched() for pairs of tables that are a row each."""
+    side = lambda points, name: points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "value"))).alias(name))
+    long = _picked(side(targets, "t").join(side(predictions, "p"), keys), text_theta).withColumn("x", F.explode("picked"))
     at = lambda c, k: F.get(F.col(c), F.col(f"x.{k}"))
-    score = F.when(F.col("matrix").isNull(), F.lit(1.0)).otherwise(F.get(at("matrix", "i"), F.col("x.j")))
-    long = picked.withColumn("x", F.explode("picked"))
-    return long.select(*keys, score.alias("key_score"), at("t", "i")["value"].alias("t_value"), at("p", "j")["value"].alias("p_value")).filter("key_score > 0")
+    return long.select(*keys, F.col("x.s").alias("key_score"), at("t", "i")["value"].alias("t_value"), at("p", "j")["value"].alias("p_value"))
+
+
+def _points(table: Column) -> Column:
+    """datapoints() of a plain table as one array of (pos, key, value), in order."""
+    lone = lambda r, h: F.transform(F.slice(h, F.lit(2), F.greatest(F.least(F.size(h), F.size(r)) - 1, F.lit(0))), lambda x, j: F.struct(F.concat(F.get(r, F.lit(0)), F.lit(" "), x).alias("key"), F.get(r, j + 1).alias("value")))
+    body = F.flatten(F.transform(table["rows"], lambda r: lone(r, table["headers"])))
+    title = F.array(F.struct(F.lit("title").alias("key"), F.coalesce(table["title"], F.lit("")).alias("value")))
+    placed = F.array_sort(F.transform(F.concat(title, body), lambda x, i: F.struct(x["key"].alias("key"), i.alias("pos"), x["value"].alias("value"))))
+
+    def distinct(a: Column) -> Column:
+        first = F.filter(a, lambda x, i: (i == 0) | ~F.get(a, i - 1)["key"].eqNullSafe(x["key"]))
+        last = F.filter(a, lambda x, i: ~F.coalesce(F.get(a, i + 1)["key"].eqNullSafe(x["key"]), F.lit(False)))
+        return F.array_sort(F.zip_with(first, last, lambda x, y: F.struct(x["pos"].alias("pos"), x["key"].alias("key"), y["value"].alias("value"))))
+
+    return let(placed, distinct)
 
 
 def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match", dense_cells: int | None = None) -> DataFrame:
@@ -114,7 +139,11 @@ def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_the
         F.sum(key * (1 - F.col("pen"))).alias("score"), F.sum(2 * (1 - key)).alias("label"), F.sum(2 * key * F.col("pen")).alias("value"), F.count(F.lit(1)).alias("hits"),
     )
     sizes = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("ng")).join(predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("np")), keys, "full_outer").fillna(0, ["ng", "np"])
-    all_ = sizes.join(sums, keys, "left").fillna(0, ["score", "label", "value", "hits"])
+    return _shares(sizes.join(sums, keys, "left").fillna(0, ["score", "label", "value", "hits"]), keys)
+
+
+def _shares(all_: DataFrame, keys: list[str]) -> DataFrame:
+    """scores() from the numbers of datapoints, ng and np, and the sums score, label, value and hits."""
     total = F.col("ng") + F.col("np")
     share = lambda x: F.when(total > 0, 100 * x / total).otherwise(F.lit(0.0))
     none = total == 0
@@ -126,6 +155,18 @@ def scores(targets: DataFrame, predictions: DataFrame, keys: list[str], text_the
     )
 
 
+def _row_scores(rows: DataFrame, keys: list[str], text_theta: float, number_theta: float, zero_target: str) -> DataFrame:
+    """scores() of pairs of tables that are a row each, with datapoints as arrays t and p: none of them is shuffled."""
+    penalty = lambda x: value_penalty(F.get("t", x["i"])["value"], F.get("p", x["j"])["value"], text_theta, number_theta, zero_target)
+    hits = _picked(rows, text_theta).withColumn("hit", F.transform("picked", lambda x: F.struct(x["s"].alias("key"), penalty(x).alias("pen"))))
+    total = lambda of: F.aggregate("hit", F.lit(0.0), lambda acc, x: acc + of(x["key"], x["pen"]))
+    sums = hits.select(
+        *keys, F.size("t").cast("long").alias("ng"), F.size("p").cast("long").alias("np"), total(lambda key, pen: key * (1 - pen)).alias("score"),
+        total(lambda key, pen: 2 * (1 - key)).alias("label"), total(lambda key, pen: 2 * key * pen).alias("value"), F.size("hit").cast("long").alias("hits"),
+    )
+    return _shares(sums, keys)
+
+
 def per_pair(pairs: DataFrame, add_title: bool = True, text_theta: float = 0.5, number_theta: float = 0.1, zero_target: str = "match", dense_cells: int | None = None) -> DataFrame:
     """Scores of each pair_id, the best of the prediction as it is and transposed, against each reference (transposed on ties, then the first).
 
@@ -137,11 +178,15 @@ def per_pair(pairs: DataFrame, add_title: bool = True, text_theta: float = 0.5,
     answers = F.when(F.size("gt_answer") > 0, F.col("gt_answer")).otherwise(F.array(F.lit(""))) if many else F.array("gt_answer")
     pairs = pairs.select("pair_id", "model_answer", F.posexplode(answers).alias("ref", "gt_answer"))
     flat = pairs.select("pair_id", "ref", plain_table(text("gt_answer")).alias("gt"), plain_table(text("model_answer")).alias("told"))
-    ways = F.array(F.struct(F.lit(True).alias("transposed"), transposed(F.col("told")).alias("table")), F.struct(F.lit(False).alias("transposed"), F.col("told").alias("table")))
-    told = flat.select("pair_id", "ref", F.explode(ways).alias("w")).select("pair_id", "ref", "w.transposed", "w.table")
-    gt = flat.select("pair_id", "ref", F.explode(F.array(F.lit(True), F.lit(False))).alias("transposed"), F.col("gt").alias("table"))
-    keys = ["pair_id", "ref", "transposed"]
-    out = scores(datapoints(gt, keys), datapoints(told, keys), keys, text_theta, number_theta, zero_target, dense_cells)
+    way = lambda yes, table: F.struct(F.lit(yes).alias("transposed"), let(table, _points).alias("p"))
+    held = once(flat.select("pair_id", "ref", _points(F.col("gt")).alias("t"), F.array(way(True, transposed(F.col("told"))), way(False, F.col("told"))).alias("ways")))
+    limit, keys = DENSE_CELLS if dense_cells is None else dense_cells, ["pair_id", "ref", "transposed"]
+    rows = held.select("pair_id", "ref", "t", F.explode("ways").alias("w")).select("pair_id", "ref", "w.transposed", "t", "w.p")
+    large = F.size("t").cast("long") * F.size("p") > limit
+    out = _row_scores(rows.filter(~large), keys, text_theta, number_theta, zero_target)
+    if held.filter(F.exists("ways", lambda w: F.size("t").cast("long") * F.size(w["p"]) > limit)).head(1):
+        side = lambda c: rows.filter(large).select(*keys, F.explode(c).alias("d")).select(*keys, "d.pos", "d.key", "d.value")
+        out = out.unionByName(scores(side("t"), side("p"), keys, text_theta, number_theta, zero_target, dense_cells))
     best = out.groupBy("pair_id").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("pair_id", "ref")]), F.struct("f1", "transposed", -F.col("ref"))).alias("b"))
     return best.select("pair_id", "b.*")
 
