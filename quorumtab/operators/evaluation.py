@@ -54,7 +54,7 @@ def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_th
     """Optimally matched datapoints whose keys are alike: keys, key_score, t_value, p_value.
 
     Pairs of tables with at most dense_cells pairs of datapoints are a row each, with a matrix of that size; larger ones go
-    through matching.sparse_matched(), where only like keys meet. Where one side's keys are all among the other's, matching
+    through matching.sparse_matched(), which gets their keys. Where one side's keys are all among the other's, matching
     equal keys is the optimum, and the only one, so neither is needed. Both tables are read several times: hold them.
     """
     limit = DENSE_CELLS if dense_cells is None else dense_cells
@@ -64,11 +64,11 @@ def matched(targets: DataFrame, predictions: DataFrame, keys: list[str], text_th
         return _dense_matched(targets, predictions, keys, text_theta)
     few = large.select(*keys)
     t, p = targets.join(few, keys, "left_semi"), predictions.join(few, keys, "left_semi")
-    equal = once(t.join(p.select(*keys, "key", F.col("pos").alias("p_pos")), [*keys, "key"]).select(*keys, F.col("pos").alias("t_pos"), "p_pos", F.lit(1.0).alias("key_score")))
+    equal = once(t.join(p.select(*keys, "key", F.col("pos").alias("p_pos")).hint("merge"), [*keys, "key"]).select(*keys, F.col("pos").alias("t_pos"), "p_pos", F.lit(1.0).alias("key_score")))
     nested = equal.groupBy(*keys).agg(F.count(F.lit(1)).alias("same")).join(large, keys).filter(F.col("same") == F.least("ng", "np")).select(*keys)
     found = sparse_matched(t.join(nested, keys, "left_anti"), p.join(nested, keys, "left_anti"), keys, text_theta).unionByName(equal.join(nested, keys, "left_semi"))
     value = lambda points, side: points.select(*keys, F.col("pos").alias(f"{side}_pos"), F.col("value").alias(f"{side}_value"))
-    found = found.join(value(t, "t"), [*keys, "t_pos"]).join(value(p, "p"), [*keys, "p_pos"]).select(*keys, "key_score", "t_value", "p_value")
+    found = found.join(value(t, "t").hint("merge"), [*keys, "t_pos"]).join(value(p, "p").hint("merge"), [*keys, "p_pos"]).select(*keys, "key_score", "t_value", "p_value")
     return _dense_matched(targets.join(few, keys, "left_anti"), predictions.join(few, keys, "left_anti"), keys, text_theta).unionByName(found)
 
 
