@@ -151,16 +151,16 @@ def test_no_pieces_are_broadcast(spark):
 @pytest.mark.parametrize("theta", [0.3, 0.5, 0.8, 1.0])
 def test_distances_are_those_of_each_pair(theta):
     """Keys of up to four words of 64 letters, some of them alike, found for several keys at once."""
-    from quorumtab.operators.matching import Distances
+    from quorumtab.operators.matching import Distances, width
 
     rng = random.Random(8)
-    for n in (5, 63, 64, 65, 200):
+    for n in (5, 32, 33, 63, 64, 65, 200):
         for letters in ("ab", "abcé 😀"):
             base = "".join(rng.choice(letters) for _ in range(n))
             keys = ["".join(rng.choice(letters) for _ in range(rng.randint(1, n))) for _ in range(8)] + [base[:i] + "z" + base[i + 1 :] for i in range(0, n, max(1, n // 5))]
             found, asked = Distances(keys, theta), [base, base[1:] + "y", base[: n - n // 9]]
-            for words in {(len(k) - 1) // 64 for k in asked}:
-                some = [k for k in asked if (len(k) - 1) // 64 == words]
+            for words in {width(k) for k in asked}:
+                some = [k for k in asked if width(k) == words]
                 for a, (places, d) in zip(some, found.near(some)):
                     want = {j: distance(a, b) / max(len(a), len(b)) for j, b in enumerate(keys)}
                     assert dict(zip(places.tolist(), d.tolist())) == {j: x for j, x in want.items() if x < theta}
